@@ -28,7 +28,7 @@ OBSERVATION_SCHEMA = T.StructType(
 )
 
 
-def _normalise(df: DataFrame) -> DataFrame:
+def normalise(df: DataFrame) -> DataFrame:
     """NaN -> NULL in double columns; keep only one notion of missing."""
     cols = []
     for f in df.schema.fields:
@@ -69,18 +69,21 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
         df = raw.select(*cols)
     else:
         df = spark.read.format(fmt).load(path)
-    return _normalise(df)
+    return normalise(df)
 
 
 # --------------------------------------------------------------------------- fixture views
 
-def fixture_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_observations(spark: SparkSession, sf_dir: str,
+                         lineitem: DataFrame | None = None) -> DataFrame:
     """observations derived from ``lineitem`` join ``part`` (FIXTURES.md).
 
     An inner equi-join on the part key; Catalyst/AQE choose broadcast or a
-    shuffle join from the runtime size of ``part``.
+    shuffle join from the runtime size of ``part``. ``lineitem`` may be a
+    streaming DataFrame (stream-static join).
     """
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    li = lineitem if lineitem is not None else spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
