@@ -1,0 +1,53 @@
+"""Model quality, importances, save -> load, and scoring behaviour."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from wearcast import schema as S
+from wearcast.operators.scoring import response, score
+from wearcast.sources.package import load_package, save_package
+from wearcast.sources.requests import requests_from_rows
+from wearcast.session import scratch_path
+
+
+def test_quality_and_importance(trained_small):
+    m = {r["Target"]: r for r in trained_small.metrics.collect()}
+    assert set(m) == set(S.TARGETS)
+    assert sum(r["Test_R2"] for r in m.values()) / 4 > 0.9
+    imp = trained_small.importance.groupBy("Target").agg(F.sum("Importance").alias("s")).collect()
+    assert all(math.isclose(r["s"], 1.0, rel_tol=1e-9) for r in imp)
+
+
+def test_save_load_same_predictions(spark, trained_small):
+    pkg = trained_small.package
+    path = scratch_path(spark, "pkg")
+    save_package(pkg, path)
+    assert load_package(spark, path + "-missing") is None
+    back = load_package(spark, path + "-missing", backup=path)
+    assert back is not None and back.prep == pkg.prep and back.targets == pkg.targets
+    ex = pkg.example_request()
+    req = requests_from_rows(spark, [dict(ex, request_id=1)])
+    a = score(req, pkg.prep, pkg.model).first()
+    b = score(req, back.prep, back.model).first()
+    assert a["success"] and [a[S.pred_col(t)] for t in S.TARGETS] == [b[S.pred_col(t)] for t in S.TARGETS]
+
+
+def test_bad_requests_fail_alone(spark, trained_small):
+    pkg = trained_small.package
+    ex = pkg.example_request()
+    rows = [dict(ex, request_id=1), dict(ex, request_id=2, volt="abc"),
+            dict(ex, request_id=3, pressure="nan", model="never-seen"),
+            {k: v for k, v in dict(ex, request_id=4).items() if k != "age"}]
+    out = {r["request_id"]: r for r in score(requests_from_rows(spark, rows), pkg.prep, pkg.model).collect()}
+    assert out[1]["success"] and out[3]["success"]
+    assert not out[2]["success"] and "volt" in out[2]["error"]
+    assert not out[4]["success"] and "age" in out[4]["error"]
+    assert out[2][S.pred_col(S.TARGETS[0])] is None
+    strict = {r["request_id"]: r for r in score(requests_from_rows(spark, rows), pkg.prep, pkg.model,
+                                                unseen="error").collect()}
+    assert not strict[3]["success"] and "unseen" in strict[3]["error"]
+    resp = response(score(requests_from_rows(spark, rows[:2]), pkg.prep, pkg.model),
+                    key="request_id", success_col="success").orderBy("request_id").collect()
+    assert resp[0]["response"]["success"] and len(resp[0]["response"]["results"]) == 4
+    assert resp[1]["response"]["success"] is False
