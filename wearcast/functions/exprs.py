@@ -28,35 +28,43 @@ def csv_na_to_null(c) -> Column:
     return F.when(c.isin(*S.CSV_NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c) -> Column:
-    """Trim all leading/trailing white space (tabs and newlines too)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Trim leading/trailing white space (tabs and newlines too); no regex."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
-def request_missing(c) -> Column:
+def request_missing(c, trimmed=None) -> Column:
     """True where a request text means "missing": NULL, exactly empty, a
     missing token in any case, or a text that parses to NaN."""
     c = _c(c)
-    low = F.lower(c)
+    t = strip_ws(c) if trimmed is None else _c(trimmed)
     return (
         c.isNull()
         | (c == F.lit(""))
-        | low.isin(*S.REQUEST_NA_TOKENS)
-        | F.lower(strip_ws(c)).isin("nan", "+nan", "-nan")
+        | F.lower(c).isin(*S.REQUEST_NA_TOKENS)
+        | F.lower(t).isin("nan", "+nan", "-nan")
     )
 
 
+def finite(num) -> Column:
+    """Non-NULL, not NaN, not infinite (NULL in gives False)."""
+    num = _c(num)
+    return F.coalesce(num.isNotNull() & ~F.isnan(num) & (F.abs(num) != F.lit(float("inf"))),
+                      F.lit(False))
+
+
 def request_number(c) -> tuple[Column, Column]:
-    """(value, bad) for a request text: value is a double or NULL (missing);
+    """(value, bad) for one request text: value is a double or NULL (missing);
     bad is True when the text is neither missing nor a finite number."""
     c = _c(c)
-    missing = request_missing(c)
     t = strip_ws(c)
+    missing = request_missing(c, t)
     num = F.when(t.rlike(S.NUMBER_PATTERN), t.try_cast("double"))
-    finite = num.isNotNull() & ~F.isnan(num) & (F.abs(num) != F.lit(float("inf")))
-    value = F.when(missing, F.lit(None).cast("double")).when(finite, num)
-    bad = ~missing & ~F.coalesce(finite, F.lit(False))
-    return value, bad
+    ok = finite(num)
+    return F.when(missing, F.lit(None).cast("double")).when(ok, num), ~missing & ~ok
 
 
 # --------------------------------------------------------------------------- strata

@@ -47,24 +47,30 @@ def feature_catalog(spark, prep: Prep) -> DataFrame:
 def coerce_numeric(df: DataFrame, cols, error_col: str = "error") -> DataFrame:
     """Request texts -> doubles (#13). Missing tokens become NULL (imputed
     later); any other non-number fails the row: ``error_col`` gets a message
-    for the first bad feature in order."""
-    out = df
-    err = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
-    bads = []
-    vals = {}
-    for c in cols:
-        if isinstance(df.schema[c].dataType, T.StringType):
-            v, bad = X.request_number(F.col(c))
-            vals[c] = v
-            bads.append((c, bad))
-        else:
-            vals[c] = X.nan_to_null(F.col(c).cast("double"))
+    for the first bad feature in order.
+
+    Staged projections: each text is trimmed once, matched once and cast
+    once; the error message only combines per-column boolean flags."""
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    typed = [c for c in cols if c not in texts]
+    d = df.withColumns({f"_t_{c}": X.strip_ws(F.col(c)) for c in texts})
+    d = d.withColumns({f"_n_{c}": F.when(F.col(f"_t_{c}").rlike(S.NUMBER_PATTERN),
+                                         F.col(f"_t_{c}").try_cast("double")) for c in texts})
+    d = d.withColumns({f"_f_{c}": X.finite(F.col(f"_n_{c}")) for c in texts})
+    # the (costlier) missing-token test only runs for texts that are not numbers
+    d = d.withColumns({f"_m_{c}": F.when(F.col(f"_f_{c}"), F.lit(False)).otherwise(
+        X.request_missing(F.col(c), F.col(f"_t_{c}"))) for c in texts})
     first_bad = F.lit(None).cast("string")
-    for c, bad in reversed(bads):
+    for c in reversed(texts):
+        bad = ~F.col(f"_m_{c}") & ~F.col(f"_f_{c}")
         msg = F.concat(F.lit(f"could not convert string to float: {c}='"), F.col(c), F.lit("'"))
         first_bad = F.when(bad, msg).otherwise(first_bad)
-    out = out.withColumn(error_col, F.coalesce(err, first_bad))
-    return out.withColumns(vals)
+    err = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
+    d = d.withColumn(error_col, F.coalesce(err, first_bad))
+    d = d.withColumns({
+        **{c: F.when(F.col(f"_f_{c}") & ~F.col(f"_m_{c}"), F.col(f"_n_{c}")) for c in texts},
+        **{c: X.nan_to_null(F.col(c).cast("double")) for c in typed}})
+    return d.drop(*[f"_{k}_{c}" for c in texts for k in "tnmf"])
 
 
 def known_category(df: DataFrame, prep: Prep, col: str = "model", out: str = "known") -> DataFrame:

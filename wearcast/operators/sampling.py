@@ -84,11 +84,10 @@ def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
     hash order ``md5(tag || key), key``. Exact; bounded work per task."""
     spark = df.sparkSession
     stype = df.schema[stratum].dataType if stratum else T.StringType()
-    # Per-stratum allocation: one row per stratum (bounded, collected once).
-    n_strata = alloc.count()
-    if n_strata > MAX_BROADCAST_STRATA:
-        raise ValueError(f"{n_strata} strata exceed the broadcast bound {MAX_BROADCAST_STRATA}")
-    arows = alloc.collect()
+    # Per-stratum allocation: one row per stratum, collected once with a bound.
+    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
+    if len(arows) > MAX_BROADCAST_STRATA:
+        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
     if all(r["take"] == r["n"] for r in arows):
         return df.withColumn(out, F.lit(True))
     if all(r["take"] == 0 for r in arows):

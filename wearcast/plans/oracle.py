@@ -242,7 +242,7 @@ LOG_TS = "2024-01-20 10:30:00"
 
 
 def _coerce(f: str) -> tuple[str, str]:
-    t = f"regexp_replace({f}, '^\\s+|\\s+$', '', 'g')"
+    t = f"trim({f}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
     missing = (f"({f} IS NULL OR {f} = '' OR lower({f}) IN ('nan', 'null', 'none') "
                f"OR lower({t}) IN ('nan', '+nan', '-nan'))")
     num = f"CASE WHEN regexp_full_match({t}, '{S.NUMBER_PATTERN}') THEN TRY_CAST({t} AS DOUBLE) END"

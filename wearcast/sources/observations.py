@@ -72,6 +72,27 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
     return normalise(df)
 
 
+SPREAD_MAX_BYTES = 1 << 30  # inputs below this may be spread over all cores
+
+
+def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Spread a small input over all cores with one round-robin repartition.
+
+    A parquet file with one row group is read by one task, however many
+    cores there are. Only when Catalyst's size estimate of the input is below
+    ``max_bytes`` and it has fewer partitions than the default parallelism;
+    large inputs (many files / row groups) are left alone: no extra shuffle.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes or df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores)
+
+
 # --------------------------------------------------------------------------- fixture views
 
 def fixture_observations(spark: SparkSession, sf_dir: str,
@@ -83,9 +104,9 @@ def fixture_observations(spark: SparkSession, sf_dir: str,
     streaming DataFrame (stream-static join).
     """
     li = lineitem if lineitem is not None else spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    li = li.select(
+    li = spread_small(li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount")
+        "l_extendedprice", "l_discount"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
     ok, pk, sk, ln = (F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"),
