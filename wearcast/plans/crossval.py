@@ -18,7 +18,7 @@ from .training import Prepared
 
 
 def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int = S.SEED,
-                   key: str = S.KEY) -> DataFrame:
+                   key: str = S.KEY, params: dict | None = None) -> DataFrame:
     data = fold_assignment(p.split.drop("split"), k, seed, key)
     targets = S.available(data.columns, S.TARGETS)
     out = []
@@ -29,7 +29,7 @@ def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int =
         x = apply_preprocess(d, prep).withColumns(
             {t: F.floor(F.col(t)).cast("double") for t in targets})
         model = ML.fit_multi(x.where(F.col("split") == "train"), prep.features,
-                             {t: t for t in targets}, ML.gbt_params(profile))
+                             {t: t for t in targets}, params or ML.gbt_params(profile))
         long = M.predictions_long(ML.predict(x, model), targets, key, "split")
         out.append(M.metrics_by_target(long).withColumn("fold", F.lit(fold)))
     return reduce(DataFrame.unionByName, out)

@@ -356,6 +356,9 @@ def queries() -> dict[str, str]:
     out["metrics_table"] = _with(_metrics()) + (
         'SELECT "Target", ' + ", ".join(f'round("{c}", 4) + 0.0E0 AS "{c}"' for c in
                                         ["Test_RMSE", "Test_MAE", "Test_R2", "Test_MAPE"]) + " FROM metrics")
+    out["efficiency"] = _with() + (
+        f"SELECT CAST({len(FEATS)} AS BIGINT) AS n_features, count_if(split = 'train') AS train_rows, "
+        f"CAST({S.REFERENCE_PARAMS['n_estimators'] * len(T)} AS BIGINT) AS n_estimators_total FROM split")
     cs = " UNION ALL ".join(
         f"SELECT obs_id, '{t}' AS target, '{S.component_name(t)}' AS component, "
         f"{S.pred_col(t)} AS exact_weeks, floor({S.pred_col(t)}) AS floor_weeks, "

@@ -254,6 +254,11 @@ def q_metrics_table(spark, sf_dir):
     return m.select("Target", *[(F.col(c) + F.lit(0.0)).alias(c) for c in m.columns if c != "Target"])
 
 
+def q_efficiency(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return M.efficiency(p.split, p.prep.features, S.TARGETS, S.REFERENCE_PARAMS["n_estimators"])
+
+
 def q_component_status(spark, sf_dir):
     return SC.component_status(_pred_all(spark, sf_dir))
 
