@@ -21,10 +21,10 @@ def test_quality_and_importance(trained_small):
 
 def test_save_load_same_predictions(spark, trained_small):
     pkg = trained_small.package
-    path = scratch_path(spark, "pkg")
-    save_package(pkg, path)
+    path, copy = scratch_path(spark, "pkg"), scratch_path(spark, "pkg-backup")
+    save_package(pkg, path, backup=copy)
     assert load_package(spark, path + "-missing") is None
-    back = load_package(spark, path + "-missing", backup=path)
+    back = load_package(spark, path + "-missing", backup=copy)
     assert back is not None and back.prep == pkg.prep and back.targets == pkg.targets
     ex = pkg.example_request()
     req = requests_from_rows(spark, [dict(ex, request_id=1)])
@@ -51,3 +51,19 @@ def test_bad_requests_fail_alone(spark, trained_small):
                     key="request_id", success_col="success").orderBy("request_id").collect()
     assert resp[0]["response"]["success"] and len(resp[0]["response"]["results"]) == 4
     assert resp[1]["response"]["success"] is False
+
+
+def test_topk_importance_with_ties(spark):
+    from wearcast.operators.model import topk_importance
+
+    rows = []
+    for i, t in enumerate(S.TARGETS):
+        for j, f in enumerate(S.FEATURE_ORDER):
+            rows.append((t, f, float(((j * 7 + i * 3) % 5) / 10.0)))  # values repeat: ties
+    imp = spark.createDataFrame(rows, "Target string, Feature string, Importance double")
+    got = [(r["Target"], r["Feature"], r["rank"]) for r in topk_importance(imp).collect()]
+    want = []
+    for t in S.TARGETS:
+        ranked = sorted([r for r in rows if r[0] == t], key=lambda r: (-r[2], r[1]))[:5]
+        want += [(t, r[1], k + 1) for k, r in enumerate(ranked)]
+    assert len(rows) == 44 and sorted(got) == sorted(want)

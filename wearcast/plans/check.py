@@ -7,6 +7,8 @@ import math
 
 import pandas as pd
 
+EXACT = True  # compare doubles bit for bit (the engines round where needed)
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -26,7 +28,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9) + 0.0
+        return v + 0.0 if EXACT else round(v, 9) + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
