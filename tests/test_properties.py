@@ -31,11 +31,13 @@ def test_sample_size_exact_and_proportional(labelled, n):
     assert all(got.get(k, 0) == take for k, (_, take) in alloc.items())
 
 
-def test_histogram_path_equals_direct_ranking(labelled, monkeypatch):
+@pytest.mark.parametrize("z", [10.0, 0.05])
+def test_band_path_equals_direct_ranking(labelled, monkeypatch, z):
     direct = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
-    monkeypatch.setattr(SM, "BUCKET_ROWS", 3)
-    hist = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
-    assert hist == direct
+    monkeypatch.setattr(SM, "FULL_BAND_ROWS", 0)  # force the band on every stratum
+    monkeypatch.setattr(SM, "BAND_Z", z)          # tiny z: bands miss and get widened
+    band = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
+    assert band == direct
 
 
 def test_sample_independent_of_partitioning(labelled):

@@ -5,21 +5,26 @@ rule: ``floor(n_s / total * draws)`` per stratum, and the rows still missing go
 to the largest remainders, ties by stratum name. Which rows: the first ``take``
 rows of the stratum in seeded hash order ``md5('<seed>-' || key), key``.
 
-Selection never ranks a whole stratum in one task (a stratum may hold a third
-of all rows). It finds each stratum's cut point in three bounded steps:
-
-1. a histogram of the hash prefix per (stratum, bucket), with a per-stratum
-   bucket width chosen so a bucket holds about ``BUCKET_ROWS`` rows
-   (map-side partial counts, so a hot stratum is no straggler);
-2. a running sum over that small histogram finds the bucket holding the cut;
-3. only the rows of that one bucket per stratum are ranked.
-
-The result is a map-only filter/label against a broadcast of one row per
-stratum. It is independent of partitioning and of the input row order.
+Selection never ranks a whole large stratum in one task (a stratum may
+hold a third of all rows), and every shuffle stays small:
+
+1. The take-th smallest of n uniform hashes lies near ``take / n`` of the
+   hash space. A band of +-``BAND_Z`` binomial deviations is put around
+   it, and one aggregate counts the rows below and inside the band per
+   stratum (each task emits one row per stratum). If the cut is not inside
+   the band, the band is widened and counted again, so the result is exact.
+   Strata of at most ``FULL_BAND_ROWS`` rows skip this pass.
+2. Only the band rows (about ``2 * BAND_Z * sqrt(take)`` per stratum) are
+   shuffled and ranked; the cut is the (take - below)-th of them.
+3. Every row is labelled by a map-only pass against a broadcast table of
+   one row per stratum (band and cut).
+
+The result does not depend on partitioning or input order.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +34,9 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import exprs as X
 
-BUCKET_ROWS = 50_000          # target rows per histogram bucket
+HASH_SPACE = 1 << 60             # hash prefixes are 60-bit integers
+BAND_Z = 10.0                    # band half-width in binomial deviations
+FULL_BAND_ROWS = 100_000         # strata up to this size are ranked whole
 MAX_BROADCAST_STRATA = 2_000_000  # one small row per stratum below this
 
 
@@ -67,17 +74,25 @@ def allocation(df: DataFrame, stratum: str | None, draw: Draw) -> DataFrame:
     return d.select("stratum", "n", take.cast("long").alias("take"))
 
 
-def _bucket(prefix: str, bits: str) -> Column:
-    """Top ``bits`` bits of the 60-bit hash prefix."""
-    return F.expr(f"shiftright({prefix}, 60 - {bits})")
-
-
 def _small_table(spark, rows, schema: T.StructType) -> DataFrame:
     if len(rows) > MAX_BROADCAST_STRATA:
         raise ValueError(f"{len(rows)} strata exceed the broadcast bound {MAX_BROADCAST_STRATA}")
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def _band(n: int, take: int, z: float) -> tuple[int, int]:
+    """[lo, hi] in 60-bit hash space that holds the take-th smallest hash of
+    n uniform hashes unless the count is ``z`` binomial deviations off."""
+    if take >= n:
+        return HASH_SPACE, HASH_SPACE  # everything lies below the band
+    if n <= FULL_BAND_ROWS or z == math.inf:
+        return 0, HASH_SPACE - 1
+    w = z * math.sqrt(take * (1.0 - take / n) + 1.0) + 2.0
+    lo = int(max(0.0, (take - w) / n) * HASH_SPACE)
+    hi = int(math.ceil(min(1.0, (take + w) / n) * HASH_SPACE))
+    return lo, min(hi, HASH_SPACE - 1)
+
+
 def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
                  key: str = S.KEY, out: str = "_selected") -> DataFrame:
     """Add boolean ``out``: row is among the first ``take`` of its stratum in
@@ -93,64 +108,69 @@ def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
     if all(r["take"] == 0 for r in arows):
         return df.withColumn(out, F.lit(False))
 
-    def bits(n: int) -> int:
-        b = 0
-        while (n >> b) > BUCKET_ROWS and b < 56:
-            b += 1
-        return b
-
-    a_schema = T.StructType([T.StructField("_s", stype), T.StructField("_take", T.LongType()),
-                             T.StructField("_bits", T.IntegerType())])
-    a_rows = [(r["stratum"], int(r["take"]), bits(int(r["n"]))) for r in arows if r["take"] > 0]
-    a_tab = _small_table(spark, a_rows, a_schema)
-
     s = _stratum_col(stratum)
     base = df.select(s.alias("_s"), F.col(key).alias("_k"),
                      X.hash_order(F.col(key), tag).alias("_h"))
     base = base.withColumn("_hp", X.hash_prefix(F.col("_h")))
-    d = base.join(a_tab, base["_s"].eqNullSafe(a_tab["_s"]), "inner").select(
-        base["_s"], "_k", "_h", "_take", "_bits", _bucket("_hp", "_bits").alias("_b"))
-
-    if all(b == 0 for *_, b in a_rows):
-        cut_rows = [(s_, 0, t) for s_, t, _ in a_rows]
-    else:
-        # 1-2. histogram per (stratum, bucket) -> bucket that holds the cut.
-        hist = d.groupBy("_s", "_take", "_b").agg(F.count(F.lit(1)).alias("_c"))
-        w = (Window.partitionBy("_s").orderBy("_b")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        cut = hist.where((F.col("_cum") >= F.col("_take"))
-                         & (F.col("_cum") - F.col("_c") < F.col("_take")))
-        cut_rows = [(r["_s"], int(r["_b"]), int(r["_take"] - (r["_cum"] - r["_c"])))
-                    for r in cut.select("_s", "_b", "_take", "_cum", "_c").collect()]
-    c_schema = T.StructType([T.StructField("_s", stype), T.StructField("_cb", T.LongType()),
-                             T.StructField("_need", T.LongType())])
-    c_tab = _small_table(spark, cut_rows, c_schema)
-
-    # 3. rank only the rows of the cut bucket of each stratum.
-    edge = d.join(c_tab, d["_s"].eqNullSafe(c_tab["_s"]), "inner").where(
-        F.col("_b") == F.col("_cb")).select(d["_s"], "_k", "_h", "_cb", "_need")
-    rn = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
-    last = edge.withColumn("_rn", rn).where(F.col("_rn") == F.col("_need")).select(
-        "_s", "_cb", F.col("_h").alias("_ch"), F.col("_k").alias("_ck"))
+    p_schema = T.StructType([T.StructField("_s", stype), T.StructField("_lo", T.LongType()),
+                             T.StructField("_hi", T.LongType())])
+
+    # 1. a band in hash space around each cut; count rows below and inside it.
+    plan = {}  # stratum -> [take, n, z, lo, hi, below, inside]
+    for r in arows:
+        if r["take"] > 0:
+            t, n = int(r["take"]), int(r["n"])
+            lo, hi = _band(n, t, BAND_Z)
+            full = lo == 0 and hi == HASH_SPACE - 1
+            plan[r["stratum"]] = [t, n, BAND_Z, lo, hi, 0 if full else None, n if full else None]
+    while True:
+        todo = [k for k, v in plan.items() if v[5] is None]
+        if not todo:
+            break
+        tab = _small_table(spark, [(k, plan[k][3], plan[k][4]) for k in todo], p_schema)
+        d = base.join(tab, base["_s"].eqNullSafe(tab["_s"]), "inner")
+        counts = d.groupBy(base["_s"]).agg(
+            F.count_if(F.col("_hp") < F.col("_lo")).alias("_below"),
+            F.count_if((F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))).alias("_in"))
+        for row in counts.collect():  # one row per stratum
+            v = plan[row["_s"]]
+            below, inside = int(row["_below"]), int(row["_in"])
+            if below <= v[0] <= below + inside:
+                v[5], v[6] = below, inside
+            else:  # the cut fell outside the band: widen it (eventually to everything)
+                v[2] = v[2] * 8 if v[2] < 1e3 else math.inf
+                v[3], v[4] = _band(v[1], v[0], v[2])
+                if v[3] == 0 and v[4] == HASH_SPACE - 1:
+                    v[5], v[6] = 0, v[1]
+
+    # 2. rank only the band rows of each stratum; the cut is the (take - below)-th.
+    need_rows = [(k, v[3], v[4], v[0] - v[5]) for k, v in plan.items() if v[0] - v[5] > 0]
+    cut = {}
+    if need_rows:
+        n_schema = T.StructType(p_schema.fields + [T.StructField("_need", T.LongType())])
+        tab = _small_table(spark, need_rows, n_schema)
+        band = base.join(tab, base["_s"].eqNullSafe(tab["_s"]), "inner").where(
+            (F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))).select(
+            base["_s"], "_k", "_h", "_need")
+        rn = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
+        for row in band.withColumn("_rn", rn).where(F.col("_rn") == F.col("_need")).collect():
+            cut[row["_s"]] = (row["_h"], row["_k"])
+
+    # 3. label every row: a map-only pass against the broadcast cut table.
     ktype = df.schema[key].dataType
-    f_schema = T.StructType([T.StructField("_s", stype), T.StructField("_cb", T.LongType()),
-                             T.StructField("_ch", T.StringType()), T.StructField("_ck", ktype)])
-    f_rows = [(r["_s"], r["_cb"], r["_ch"], r["_ck"]) for r in last.collect()]
-    bits_of = {r[0]: r[2] for r in a_rows}
-    f_rows = [(s_, cb, ch, ck, bits_of[s_]) for s_, cb, ch, ck in f_rows]
-    f_schema = T.StructType(f_schema.fields + [T.StructField("_bits", T.IntegerType())])
+    f_schema = T.StructType(p_schema.fields + [T.StructField("_ch", T.StringType()),
+                                               T.StructField("_ck", ktype)])
+    f_rows = [(k, v[3], v[4], *cut.get(k, (None, None))) for k, v in plan.items()]
     f_tab = _small_table(spark, f_rows, f_schema)
-
-    # 4. label every row: a map-only pass against the broadcast cut table.
     j = df.withColumn("_sv", s).withColumn("_h", X.hash_order(F.col(key), tag)).withColumn(
         "_hp", X.hash_prefix(F.col("_h")))
     j = j.join(f_tab, j["_sv"].eqNullSafe(f_tab["_s"]), "left")
-    b = _bucket("_hp", "_bits")
-    sel = (b < F.col("_cb")) | ((b == F.col("_cb")) & (
-        (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col(key) <= F.col("_ck")))))
+    in_band = (F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))
+    upto_cut = (F.col("_h") < F.col("_ch")) | (
+        (F.col("_h") == F.col("_ch")) & (F.col(key) <= F.col("_ck")))
+    sel = (F.col("_hp") < F.col("_lo")) | (in_band & F.coalesce(upto_cut, F.lit(False)))
     return j.withColumn(out, F.coalesce(sel, F.lit(False))).drop(
-        "_sv", "_s", "_cb", "_ch", "_ck", "_bits", "_h", "_hp")
+        "_sv", "_s", "_lo", "_hi", "_ch", "_ck", "_h", "_hp")
 
 
 def stratified_sample(df: DataFrame, stratum: str = "stratum", n: int = S.SAMPLE_SIZE,
