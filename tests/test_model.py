@@ -67,3 +67,17 @@ def test_topk_importance_with_ties(spark):
         ranked = sorted([r for r in rows if r[0] == t], key=lambda r: (-r[2], r[1]))[:5]
         want += [(t, r[1], k + 1) for k, r in enumerate(ranked)]
     assert len(rows) == 44 and sorted(got) == sorted(want)
+
+
+def test_xgboost_backend_is_optional(trained_small):
+    import importlib.util
+
+    import pytest
+
+    from wearcast.operators.model import fit_multi
+
+    if importlib.util.find_spec("xgboost") is not None:
+        pytest.skip("xgboost installed")
+    with pytest.raises(ImportError, match="xgboost"):
+        fit_multi(trained_small.scored, trained_small.package.prep.features,
+                  {S.TARGETS[0]: S.TARGETS[0]}, backend="xgboost")

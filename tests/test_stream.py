@@ -33,3 +33,29 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark, trained_small):
         assert a == b
     run()  # restart from the checkpoint, no new input files
     assert spark.read.parquet(out).count() == n
+
+
+def test_json_request_stream_matches_batch(spark, trained_small, tmp_path):
+    import json
+
+    from wearcast.sources.requests import read_request_stream, read_requests
+
+    pkg = trained_small.package
+    ex = pkg.example_request()
+    rows = [dict(ex, request_id=1), dict(ex, request_id=2, volt="oops"),
+            {k: v for k, v in dict(ex, request_id=3, pressure=None).items() if k != "rotate"},
+            dict(ex, request_id=4, model="never-seen", age="NaN")]
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "part-0.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+    batch = {r["request_id"]: r for r in score(read_requests(spark, str(src)), pkg.prep, pkg.model)
+             .collect()}
+    scored = stream_score(read_request_stream(spark, str(src)), pkg)
+    q = (scored.writeStream.format("memory").queryName("scored_requests")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["request_id"]: r for r in spark.table("scored_requests").collect()}
+    assert got.keys() == batch.keys() == {1, 2, 3, 4}
+    assert [got[i]["success"] for i in (1, 2, 3, 4)] == [True, False, False, True]
+    p = S.pred_col(S.TARGETS[0])
+    assert got[1][p] == batch[1][p] and got[4][p] == batch[4][p]

@@ -99,10 +99,11 @@ def encode_fit(train: DataFrame, categorical) -> dict[str, list[str]]:
     for c in categorical:
         vals = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN)).alias("v"))
                 .distinct())
-        n = vals.count()
-        if n > 50 * MAX_LITERAL_CLASSES:
-            raise ValueError(f"{c}: {n} categories is too many to label-encode")
-        classes = sorted({r["v"] for r in vals.collect()} | {S.UNKNOWN})
+        bound = 50 * MAX_LITERAL_CLASSES
+        rows = vals.limit(bound + 1).collect()
+        if len(rows) > bound:
+            raise ValueError(f"{c}: more than {bound} categories, too many to label-encode")
+        classes = sorted({r["v"] for r in rows} | {S.UNKNOWN})
         out[c] = classes
     return out
 

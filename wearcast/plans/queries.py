@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import extras as EX
@@ -39,7 +38,11 @@ def r6(c) -> Column:
 
 
 def _key(spark: SparkSession, sf_dir: str, *extra) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir, *extra)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext handle
+        app = id(spark)
+    return (app, sf_dir, *extra)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,10 +85,13 @@ def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > max_bytes or df.rdd.getNumPartitions() >= 2 * cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no plan statistics available: leave the input as it is
+        return df
+    if size > max_bytes or parts >= 2 * cores:
         return df
     return df.repartition(cores)
 
