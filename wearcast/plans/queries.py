@@ -59,7 +59,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
 def trained(spark: SparkSession, sf_dir: str, profile: str = MODEL_PROFILE) -> Trained:
     k = _key(spark, sf_dir, "trained", profile)
     if k not in _CACHE:
-        _CACHE[k] = train(spark, observations(spark, sf_dir), profile)
+        _CACHE[k] = train(spark, observations(spark, sf_dir), profile,
+                          prepared=prepared(spark, sf_dir))
     return _CACHE[k]
 
 

@@ -82,8 +82,11 @@ class Trained:
 
 def train(spark: SparkSession, obs: DataFrame, profile: str = "test",
           sample_size: int = S.SAMPLE_SIZE, seed: int = S.SEED, key: str = S.KEY,
-          params: dict | None = None, parallelism: int = 4) -> Trained:
-    p = prepare(obs, sample_size, seed, key)
+          params: dict | None = None, parallelism: int = 4,
+          prepared: Prepared | None = None) -> Trained:
+    """Fit the package. ``prepared`` reuses an earlier sample, split and
+    preprocessing fit of the same ``obs`` instead of drawing them again."""
+    p = prepared if prepared is not None else prepare(obs, sample_size, seed, key)
     data = processed(p, key)
     targets = S.available(data.columns, S.TARGETS)
     params = params or ML.gbt_params(profile)
