@@ -31,13 +31,27 @@ def test_sample_size_exact_and_proportional(labelled, n):
     assert all(got.get(k, 0) == take for k, (_, take) in alloc.items())
 
 
+def _window_sample(labelled, n):
+    """The definition, written plainly: first ``take`` rows per stratum in
+    ``md5('42-' || key), key`` order, by one window over every row."""
+    from pyspark.sql import Window
+    alloc = SM.allocation(labelled, "stratum", SM.Draw("count", n))
+    d = labelled.join(alloc.select("stratum", "take"), "stratum")
+    rn = F.row_number().over(Window.partitionBy("stratum").orderBy(
+        F.md5(F.concat(F.lit("42-"), F.col("obs_id").cast("string"))), "obs_id"))
+    return sorted(r[0] for r in d.withColumn("rn", rn).where(F.col("rn") <= F.col("take"))
+                  .select("obs_id").collect())
+
+
 @pytest.mark.parametrize("z", [10.0, 0.05])
-def test_band_path_equals_direct_ranking(labelled, monkeypatch, z):
-    direct = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
-    monkeypatch.setattr(SM, "FULL_BAND_ROWS", 0)  # force the band on every stratum
-    monkeypatch.setattr(SM, "BAND_Z", z)          # tiny z: bands miss and get widened
-    band = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
-    assert band == direct
+@pytest.mark.parametrize("ranked_take", [SM.MAX_RANKED_TAKE, 0])
+def test_draw_and_band_paths_equal_window_ranking(labelled, monkeypatch, z, ranked_take):
+    direct = _window_sample(labelled, 900)
+    monkeypatch.setattr(SM, "FULL_BAND_ROWS", 0)         # force the band on every stratum
+    monkeypatch.setattr(SM, "BAND_Z", z)                 # tiny z: thresholds miss, get widened
+    monkeypatch.setattr(SM, "MAX_RANKED_TAKE", ranked_take)  # 0: band path, else draw path
+    got = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
+    assert got == direct
 
 
 def test_sample_independent_of_partitioning(labelled):

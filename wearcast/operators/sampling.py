@@ -19,6 +19,14 @@ hold a third of all rows), and every shuffle stays small:
 3. Every row is labelled by a map-only pass against a broadcast table of
    one row per stratum (band and cut).
 
+A sample (rows, not labels) whose strata each draw a bounded number of rows
+takes a shorter way: one pass keeps the rows whose hash lies below a
+per-stratum threshold ``BAND_Z`` deviations above the expected cut, ranks
+only those within their stratum and keeps the first ``take``. The result is
+persisted; a stratum that kept fewer than ``take`` rows gets a wider threshold
+and the draw is repeated, so it is exact too. Three scans of the input
+(bin edges, allocation, draw) instead of five.
+
 The result does not depend on partitioning or input order.
 """
 
@@ -27,6 +35,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +47,7 @@ HASH_SPACE = 1 << 60             # hash prefixes are 60-bit integers
 BAND_Z = 10.0                    # band half-width in binomial deviations
 FULL_BAND_ROWS = 100_000         # strata up to this size are ranked whole
 MAX_BROADCAST_STRATA = 2_000_000  # one small row per stratum below this
+MAX_RANKED_TAKE = 2_000_000      # a stratum drawing more is cut by the band path
 
 
 @dataclass(frozen=True)
@@ -93,6 +103,49 @@ def _band(n: int, take: int, z: float) -> tuple[int, int]:
     return lo, min(hi, HASH_SPACE - 1)
 
 
+def _upper(n: int, take: int, z: float) -> int:
+    """Hash threshold (60-bit) with at least ``take`` of n uniform hashes
+    below it unless the count is ``z`` binomial deviations short."""
+    if take >= n or z == math.inf:
+        return HASH_SPACE - 1
+    w = z * math.sqrt(take * (1.0 - take / n) + 1.0) + 2.0
+    return min(HASH_SPACE - 1, int(math.ceil(min(1.0, (take + w) / n) * HASH_SPACE)))
+
+
+def draw_first(df: DataFrame, stratum: str | None, arows, tag: str,
+               key: str = S.KEY) -> DataFrame:
+    """The rows among the first ``take`` of their stratum in hash order
+    ``md5(tag || key), key``, drawn in one pass over ``df`` and persisted.
+
+    Only rows below the stratum's threshold are shuffled and ranked (about
+    ``take + BAND_Z * sqrt(take)`` per stratum), so a stratum holding a third
+    of the input sends no more than its own draw to one task."""
+    spark = df.sparkSession
+    stype = df.schema[stratum].dataType if stratum else T.StringType()
+    s = _stratum_col(stratum)
+    t_schema = T.StructType([T.StructField("_s", stype), T.StructField("_hi", T.LongType()),
+                             T.StructField("_take", T.LongType())])
+    plan = {r["stratum"]: [int(r["take"]), int(r["n"]), BAND_Z] for r in arows if r["take"] > 0}
+    cols = df.columns
+    while True:
+        tab = _small_table(spark, [(k, _upper(v[1], v[0], v[2]), v[0]) for k, v in plan.items()],
+                           t_schema)
+        d = df.withColumn("_sv", s).withColumn("_h", X.hash_order(F.col(key), tag))
+        d = d.join(tab, d["_sv"].eqNullSafe(tab["_s"]), "inner").where(
+            X.hash_prefix(F.col("_h")) <= F.col("_hi"))
+        rn = F.row_number().over(Window.partitionBy("_sv").orderBy("_h", key))
+        kept = d.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_take")).select(*cols)
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        got = {r["_sv"]: r["_n"] for r in
+               kept.groupBy(s.alias("_sv")).agg(F.count(F.lit(1)).alias("_n")).collect()}
+        short = [k for k, v in plan.items() if got.get(k, 0) < v[0]]
+        if not short:
+            return kept
+        kept.unpersist()
+        for k in short:  # the threshold was too low: widen it (eventually to everything)
+            plan[k][2] = plan[k][2] * 8 if plan[k][2] < 1e3 else math.inf
+
+
 def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
                  key: str = S.KEY, out: str = "_selected") -> DataFrame:
     """Add boolean ``out``: row is among the first ``take`` of its stratum in
@@ -175,8 +228,18 @@ def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
 
 def stratified_sample(df: DataFrame, stratum: str = "stratum", n: int = S.SAMPLE_SIZE,
                       seed: int = S.SEED, key: str = S.KEY) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, proportional per stratum (#28)."""
+    """Exactly ``min(n, rows)`` rows, proportional per stratum (#28).
+
+    The result is persisted (``MEMORY_AND_DISK``) when every stratum draws at
+    most ``MAX_RANKED_TAKE`` rows; larger draws go through the band path."""
     alloc = allocation(df, stratum, Draw("count", n))
+    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
+    if len(arows) > MAX_BROADCAST_STRATA:
+        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
+    if all(r["take"] == r["n"] for r in arows):  # the draw is everything
+        return df
+    if max(r["take"] for r in arows) <= MAX_RANKED_TAKE:
+        return draw_first(df, stratum, arows, f"{seed}-", key)
     return select_first(df, stratum, alloc, f"{seed}-", key, "_selected").where(
         F.col("_selected")).drop("_selected")
 

@@ -45,7 +45,7 @@ def prepare(obs: DataFrame, sample_size: int = S.SAMPLE_SIZE, seed: int = S.SEED
             key: str = S.KEY, persist: bool = True) -> Prepared:
     labelled = strata_labels(obs)
     sample = stratified_sample(labelled, "stratum", sample_size, seed, key)
-    if persist:  # at most ``sample_size`` rows, whatever the input size
+    if persist and not sample.is_cached:  # at most ``sample_size`` rows, whatever the input size
         sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     chosen = select_features(sample, keep=(key,))
     split = stratified_split(chosen, "model", S.TEST_FRACTION, seed, key)
