@@ -56,7 +56,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     return _CACHE[k]
 
 
-def trained(spark: SparkSession, sf_dir: str, profile: str = MODEL_PROFILE) -> Trained:
+def trained(spark: SparkSession, sf_dir: str, profile: str | None = None) -> Trained:
+    profile = profile or MODEL_PROFILE  # read at call time: bench.py sets it
     k = _key(spark, sf_dir, "trained", profile)
     if k not in _CACHE:
         _CACHE[k] = train(spark, observations(spark, sf_dir), profile,

@@ -92,7 +92,8 @@ def train(spark: SparkSession, obs: DataFrame, profile: str = "test",
     params = params or ML.gbt_params(profile)
     model = ML.fit_multi(data.where(F.col("split") == "train"), p.prep.features,
                          {t: t for t in targets}, params, parallelism)
-    scored = ML.predict(data, model)
+    # reused by the metrics, the holdout and the test predictions; bounded by the sample
+    scored = ML.predict(data, model).persist(StorageLevel.MEMORY_AND_DISK)
     long = M.predictions_long(scored, targets, key, "split")
     metrics = M.metrics_by_target(long)
     imp = ML.importance(spark, model, p.prep.features)
