@@ -74,14 +74,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
         ranges = sorted({(c, v[0], v[1]) for (c, _), v in state.items()})
         rid = {rg: i for i, rg in enumerate(ranges)}
         hits = []
+        inside = None
         for i, (c, lo, hi) in enumerate(ranges):
             v = F.col(c)
             bucket = F.least(F.lit(buckets - 1),
                              F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
                              ).cast("int")
-            hits.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                               F.struct(F.lit(i).alias("r"), bucket.alias("b"), v.alias("v"))))
-        exploded = x.select(F.explode(F.array(*hits)).alias("h")).where(F.col("h").isNotNull())
+            cond = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            inside = cond if inside is None else inside | cond
+            hits.append(F.when(cond, F.struct(F.lit(i).alias("r"), bucket.alias("b"),
+                                              v.alias("v"))))
+        # After the first round the ranges are narrow: rows outside all of them
+        # are dropped by a codegen filter, and only the hits of a row are
+        # generated (no null rows to explode and filter afterwards).
+        rows = x.where(inside) if rounds > 1 else x
+        exploded = rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
         hist = (exploded.groupBy(F.col("h.r").alias("r"), F.col("h.b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx"))
                 .collect())  # at most len(ranges) * buckets small rows
