@@ -72,6 +72,9 @@ def main() -> None:
         "avg_test_r2": round(sum(r["Test_R2"] for r in m) / n, 4),
         "avg_test_mape_pct": round(sum(r["Test_MAPE"] for r in m) / n, 4),
         "avg_short_term_mae_weeks": round(sum(r["Short_Term_MAE"] for r in m) / n, 4),
+        "per_target": {r["Target"]: {"test_r2": round(r["Test_R2"], 4),
+                                     "test_mape_pct": round(r["Test_MAPE"], 4)}
+                       for r in sorted(m, key=lambda r: r["Target"])},
         "train_rows": Q.prepared(spark, sf_dir).train.count(),
         "profile": Q.MODEL_PROFILE,
     }
