@@ -183,7 +183,7 @@ met AS (SELECT target AS "Target",
   coalesce(avg(CASE WHEN {st} THEN abs(actual - predicted) END), 0.0E0) AS "Short_Term_MAE",
   coalesce(avg(CASE WHEN {st} THEN abs(actual - predicted) / greatest(actual, 1.0E0) END) * 100, 0.0E0)
     AS "Short_Term_MAPE",
-  count_if({st}) AS "Short_Term_Count"
+  CAST(count_if({st}) AS BIGINT) AS "Short_Term_Count"
   FROM mlong GROUP BY target),
 metrics AS (SELECT *, "Train_R2" - "Test_R2" AS "Overfitting" FROM met)"""
 
@@ -302,13 +302,14 @@ def queries() -> dict[str, str]:
     out["sample_report"] = _with() + (
         "SELECT (SELECT count(*) FROM obs) AS full_rows, (SELECT count(*) FROM samp) AS sample_rows, "
         + r6("(SELECT count(*) FROM samp) / (SELECT count(*) FROM obs) * 100") + " AS sample_pct, "
-        "count_if(split = 'train') AS train_rows, count_if(split = 'test') AS test_rows, "
+        "CAST(count_if(split = 'train') AS BIGINT) AS train_rows, "
+        "CAST(count_if(split = 'test') AS BIGINT) AS test_rows, "
         + r6("count_if(split = 'train') / count(*) * 100") + " AS train_pct, "
         + r6("count_if(split = 'test') / count(*) * 100") + " AS test_pct FROM split")
     out["stratified_sample"] = _with() + "SELECT obs_id, stratum FROM samp"
     out["train_test_split"] = _with() + "SELECT obs_id, model, split FROM split"
     miss = " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, count_if({c} IS NULL) AS n_missing, "
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing, "
         f"{r6(f'count_if({c} IS NULL) / count(*) * 100')} AS pct_missing FROM train"
         for i, c in enumerate(NUM))
     out["missing_report"] = _with(f"mr AS ({miss})") + "SELECT * FROM mr WHERE n_missing > 0"
@@ -357,7 +358,7 @@ def queries() -> dict[str, str]:
         'SELECT "Target", ' + ", ".join(f'round("{c}", 4) + 0.0E0 AS "{c}"' for c in
                                         ["Test_RMSE", "Test_MAE", "Test_R2", "Test_MAPE"]) + " FROM metrics")
     out["efficiency"] = _with() + (
-        f"SELECT CAST({len(FEATS)} AS BIGINT) AS n_features, count_if(split = 'train') AS train_rows, "
+        f"SELECT CAST({len(FEATS)} AS BIGINT) AS n_features, CAST(count_if(split = 'train') AS BIGINT) AS train_rows, "
         f"CAST({S.REFERENCE_PARAMS['n_estimators'] * len(T)} AS BIGINT) AS n_estimators_total FROM split")
     cs = " UNION ALL ".join(
         f"SELECT obs_id, '{t}' AS target, '{S.component_name(t)}' AS component, "
@@ -405,6 +406,6 @@ def queries() -> dict[str, str]:
         "ol AS (" + " UNION ALL ".join(
             f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM obs" for c in NUM) + ")") + (
         f"SELECT fe.feature, {r6('fe.q1')} AS q1, {r6('fe.q3')} AS q3, {r6('fe.lower')} AS lower, "
-        f"{r6('fe.upper')} AS upper, count_if(ol.x < fe.lower OR ol.x > fe.upper) AS n_outliers "
+        f"{r6('fe.upper')} AS upper, CAST(count_if(ol.x < fe.lower OR ol.x > fe.upper) AS BIGINT) AS n_outliers "
         "FROM fe JOIN ol ON fe.feature = ol.feature GROUP BY fe.feature, fe.q1, fe.q3, fe.lower, fe.upper")
     return out
