@@ -25,6 +25,25 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values_match"], r["first_diff"]
 
 
+# Spark type -> DuckDB type of the same values (a count must not come back
+# as HUGEINT, which pandas turns into float).
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+
+
+def test_result_types_match_oracle(spark, con):
+    bad = {}
+    for name in sorted(SQL):
+        spark_types = {f.name: f.dataType.simpleString()
+                       for f in E.queries()[name](spark, SF01).schema.fields}
+        rel = con.sql(SQL[name])
+        duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+        for col, t in spark_types.items():
+            if DUCK_TYPE.get(t, t) != duck_types.get(col):
+                bad[(name, col)] = (t, duck_types.get(col))
+    assert not bad, bad
+
+
 def test_every_query_has_oracle_or_is_model_backed():
     from wearcast.plans.queries import NO_ORACLE
 
