@@ -4,6 +4,7 @@ evaluated on it with the holdout metric aggregation."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,11 +19,12 @@ from .training import Prepared
 
 
 def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int = S.SEED,
-                   key: str = S.KEY, params: dict | None = None) -> DataFrame:
+                   key: str = S.KEY, params: dict | None = None,
+                   parallelism: int = 3) -> DataFrame:
     data = fold_assignment(p.split.drop("split"), k, seed, key)
     targets = S.available(data.columns, S.TARGETS)
-    out = []
-    for fold in range(k):
+
+    def one_fold(fold: int) -> DataFrame:
         d = data.withColumn("split", F.when(F.col("fold") == fold, F.lit("test"))
                             .otherwise(F.lit("train")))
         prep = fit_preprocess(d.where(F.col("split") == "train"))
@@ -31,5 +33,9 @@ def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int =
         model = ML.fit_multi(x.where(F.col("split") == "train"), prep.features,
                              {t: t for t in targets}, params or ML.gbt_params(profile))
         long = M.predictions_long(ML.predict(x, model), targets, key, "split")
-        out.append(M.metrics_by_target(long).withColumn("fold", F.lit(fold)))
+        return M.metrics_by_target(long).withColumn("fold", F.lit(fold))
+
+    # folds are independent: their jobs share the cluster
+    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
+        out = list(pool.map(one_fold, range(k)))
     return reduce(DataFrame.unionByName, out)
