@@ -91,3 +91,35 @@ def test_allocation_sums_to_draws(spark, sizes, n):
     tot = sum(sizes)
     assert sum(r["take"] for r in alloc) == min(n, tot)
     assert all(0 <= r["take"] <= r["n"] for r in alloc)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=5), st.integers(1, 150),
+       st.sampled_from([10.0, 0.01]), st.integers(0, 2 ** 31))
+def test_draw_on_skewed_strata_equals_window_ranking(spark, small, n, z, salt):
+    """A hot stratum (at least a third of the rows) and a NULL stratum; tiny
+    ``z`` forces thresholds to miss and widen."""
+    import wearcast.operators.sampling as SMod
+    from pyspark.sql import Window
+    hot = 2 * sum(small) + 1
+    sizes = [("hot", hot)] + [(f"s{i}", k) for i, k in enumerate(small)] + [(None, 3)]
+    rows, key = [], salt % 100_000
+    for s, k in sizes:
+        for _ in range(k):
+            key += 1
+            rows.append((key, s))
+    df = spark.createDataFrame(rows, "obs_id long, stratum string")
+    old = SMod.BAND_Z
+    SMod.BAND_Z = z
+    try:
+        got = sorted(r[0] for r in SMod.stratified_sample(df, "stratum", n).select("obs_id").collect())
+    finally:
+        SMod.BAND_Z = old
+    alloc = SMod.allocation(df, "stratum", SMod.Draw("count", n))
+    d = df.join(alloc.select("stratum", "take"), df["stratum"].eqNullSafe(alloc["stratum"])).select(
+        "obs_id", df["stratum"], "take")
+    rn = F.row_number().over(Window.partitionBy("stratum").orderBy(
+        F.md5(F.concat(F.lit("42-"), F.col("obs_id").cast("string"))), "obs_id"))
+    want = sorted(r[0] for r in d.withColumn("rn", rn).where(F.col("rn") <= F.col("take"))
+                  .select("obs_id").collect())
+    assert got == want and len(got) == min(n, len(rows))
