@@ -103,6 +103,14 @@ def _band(n: int, take: int, z: float) -> tuple[int, int]:
     return lo, min(hi, HASH_SPACE - 1)
 
 
+def _collect_allocation(alloc: DataFrame) -> list:
+    """The allocation rows (one per stratum), with the broadcast bound checked."""
+    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
+    if len(arows) > MAX_BROADCAST_STRATA:
+        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
+    return arows
+
+
 def _upper(n: int, take: int, z: float) -> int:
     """Hash threshold (60-bit) with at least ``take`` of n uniform hashes
     below it unless the count is ``z`` binomial deviations short."""
@@ -147,15 +155,15 @@ def draw_first(df: DataFrame, stratum: str | None, arows, tag: str,
 
 
 def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
-                 key: str = S.KEY, out: str = "_selected") -> DataFrame:
+                 key: str = S.KEY, out: str = "_selected", arows=None) -> DataFrame:
     """Add boolean ``out``: row is among the first ``take`` of its stratum in
     hash order ``md5(tag || key), key``. Exact; bounded work per task."""
     spark = df.sparkSession
     stype = df.schema[stratum].dataType if stratum else T.StringType()
-    # Per-stratum allocation: one row per stratum, collected once with a bound.
-    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
-    if len(arows) > MAX_BROADCAST_STRATA:
-        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
+    # Per-stratum allocation: one row per stratum, collected once with a bound
+    # (``arows``: already collected by the caller).
+    if arows is None:
+        arows = _collect_allocation(alloc)
     if all(r["take"] == r["n"] for r in arows):
         return df.withColumn(out, F.lit(True))
     if all(r["take"] == 0 for r in arows):
@@ -233,14 +241,12 @@ def stratified_sample(df: DataFrame, stratum: str = "stratum", n: int = S.SAMPLE
     The result is persisted (``MEMORY_AND_DISK``) when every stratum draws at
     most ``MAX_RANKED_TAKE`` rows; larger draws go through the band path."""
     alloc = allocation(df, stratum, Draw("count", n))
-    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
-    if len(arows) > MAX_BROADCAST_STRATA:
-        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
+    arows = _collect_allocation(alloc)
     if all(r["take"] == r["n"] for r in arows):  # the draw is everything
         return df
     if max(r["take"] for r in arows) <= MAX_RANKED_TAKE:
         return draw_first(df, stratum, arows, f"{seed}-", key)
-    return select_first(df, stratum, alloc, f"{seed}-", key, "_selected").where(
+    return select_first(df, stratum, alloc, f"{seed}-", key, "_selected", arows).where(
         F.col("_selected")).drop("_selected")
 
 
