@@ -72,26 +72,19 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
     return normalise(df)
 
 
-SPREAD_MAX_BYTES = 1 << 30  # inputs below this may be spread over all cores
-
-
-def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Spread a small input over all cores with one round-robin repartition.
-
-    A parquet file with one row group is read by one task, however many
-    cores there are. Only when Catalyst's size estimate of the input is below
-    ``max_bytes`` and it has fewer partitions than the default parallelism;
-    large inputs (many files / row groups) are left alone: no extra shuffle.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input read by too few tasks over all cores with one
+    round-robin repartition.
+
+    A parquet file with one row group (or an unsplittable compressed file)
+    is read by one task, however many cores there are. Only when the scan
+    yields fewer partitions than the default parallelism; an input of many
+    files or row groups (any large table) is left alone: no extra shuffle.
     """
     if df.isStreaming:
         return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no plan statistics available: leave the input as it is
-        return df
-    if size > max_bytes or parts >= 2 * cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
