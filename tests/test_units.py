@@ -195,3 +195,24 @@ def test_json_requests_absent_vs_null(spark, tmp_path):
     assert "missing feature" in v[0]["error"]  # rotate etc. absent, pressure explicit null is fine
     assert "pressure" not in v[0]["error"]
     assert v[1]["success"] is False
+
+
+@pytest.mark.parametrize("n_short,n_long,expect", [(0, 20, 8), (3, 20, 3), (30, 20, 8)])
+def test_sample_predictions_prefers_short_term_rows(spark, n_short, n_long, expect):
+    """Short-term rows (any target < 10) only when any exist, at most 8 shown,
+    every target of a picked row listed."""
+    rows = []
+    for i in range(n_short + n_long):
+        base = 3.0 if i < n_short else 30.0
+        rows.append((i, base, base + 20, base + 40, base + 60,
+                     base + 1, base + 21, base + 41, base + 61))
+    cols = ["obs_id", *S.TARGETS, *[S.pred_col(t) for t in S.TARGETS]]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'obs_id' else 'double'}"
+                                               for c in cols))
+    out = SC.sample_predictions(df).collect()
+    ids = {r["obs_id"] for r in out}
+    assert len(ids) == expect and len(out) == 4 * expect
+    if n_short:
+        assert all(i < n_short for i in ids)
+    assert {r["short_term"] for r in out if r["target"] == S.TARGETS[0]} == {
+        "Yes" if n_short else "No"}
