@@ -103,6 +103,14 @@ def _band(n: int, take: int, z: float) -> tuple[int, int]:
     return lo, min(hi, HASH_SPACE - 1)
 
 
+def _kept_if(cond: Column) -> Column:
+    """A filter on the row hash that is not null-intolerant. A plain
+    comparison lets the optimizer infer ``isnotnull(md5(...))`` and push it
+    to the scan, so every row would be hashed twice; NULL is rejected
+    either way."""
+    return F.coalesce(cond, F.lit(False))
+
+
 def _collect_allocation(alloc: DataFrame) -> list:
     """The allocation rows (one per stratum), with the broadcast bound checked."""
     arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
@@ -140,7 +148,7 @@ def draw_first(df: DataFrame, stratum: str | None, arows, tag: str,
                            t_schema)
         d = df.withColumn("_sv", s).withColumn("_h", X.hash_order(F.col(key), tag))
         d = d.join(tab, d["_sv"].eqNullSafe(tab["_s"]), "inner").where(
-            X.hash_prefix(F.col("_h")) <= F.col("_hi"))
+            _kept_if(X.hash_prefix(F.col("_h")) <= F.col("_hi")))
         rn = F.row_number().over(Window.partitionBy("_sv").orderBy("_h", key))
         kept = d.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_take")).select(*cols)
         kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
@@ -211,7 +219,7 @@ def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
         n_schema = T.StructType(p_schema.fields + [T.StructField("_need", T.LongType())])
         tab = _small_table(spark, need_rows, n_schema)
         band = base.join(tab, base["_s"].eqNullSafe(tab["_s"]), "inner").where(
-            (F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))).select(
+            _kept_if((F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi")))).select(
             base["_s"], "_k", "_h", "_need")
         rn = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
         for row in band.withColumn("_rn", rn).where(F.col("_rn") == F.col("_need")).collect():
