@@ -81,3 +81,28 @@ def test_xgboost_backend_is_optional(trained_small):
     with pytest.raises(ImportError, match="xgboost"):
         fit_multi(trained_small.scored, trained_small.package.prep.features,
                   {S.TARGETS[0]: S.TARGETS[0]}, backend="xgboost")
+
+
+def test_reports_on_scored_rows_call_each_model_once(spark, trained_small, capsys):
+    """A filter on predictions must not be pushed below the model call (it
+    would score every row twice): count model calls in the optimized plan."""
+    from wearcast.operators.scoring import component_priority, machine_summary, score
+    from wearcast.sources.observations import fixture_observations, fixture_requests
+
+    from conftest import SF001
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    pkg = trained_small.package
+    req = fixture_requests(fixture_observations(spark, SF001))
+    scored = score(req, pkg.prep, pkg.model)
+
+    def model_calls(df):
+        df.explain("extended")
+        text = capsys.readouterr().out
+        opt = text.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        return opt.count("UDF(")
+
+    base = model_calls(scored)
+    assert base >= len(pkg.targets)
+    assert model_calls(component_priority(scored, key="request_id")) == base
+    assert model_calls(machine_summary(scored, key="request_id")) == base
