@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearcast.llm.store import written
+
 #: White space stripped at both ends of a line before comparing it.
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,31 +37,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     one document. An empty table gives an empty result.
     """
     k = line_key(F.col("_line"))
-    lines = (
+    lines = written(
         docs.where(F.col(key).isNotNull())
         .select(F.col(key).alias("_d"), F.xxhash64(text).alias("_t"),
                 F.posexplode(split_lines(F.col(text))).alias("_pos", "_line"))
         .where(F.length("_line") >= min_chars)
         .select("_d", "_t", "_pos", k.alias("_k"))
         .where(F.length("_k") >= min_chars)
-        .select(F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(7), "_k").alias("_h2"), "_d", "_t", "_pos")
-    )
+        .select(F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(7), "_k").alias("_h2"), "_d", "_t", "_pos"), "lines")
     held = (  # the range partitioning already clusters the grouping, so this adds no shuffle
         lines.repartitionByRange("_h1", "_h2", "_d")
         .sortWithinPartitions("_h1", "_h2", "_d", "_pos")
-        .groupBy("_h1", "_h2", "_d")
-        .agg(F.collect_list(F.struct("_t", "_pos")).alias("_at"))
+        .groupBy("_h1", "_h2", "_d").agg(F.min("_pos").alias("_first"))
     )
     common = (
         held.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_keep"))
         .where(F.col("_n") >= min_docs).drop("_n")
     )
-    drops = held.join(common, ["_h1", "_h2"]).where(F.col("_d") < F.col("_keep"))
-    return (
-        drops.select("_d", F.explode("_at").alias("_o"))
-        .groupBy(F.col("_d").alias(key), F.col("_o._t").alias("_text_hash"))
-        .agg(F.sort_array(F.collect_set("_o._pos")).alias("_drops"))
-    )
+    drops = lines.join(common, ["_h1", "_h2"]).where(F.col("_d") < F.col("_keep"))
+    return drops.groupBy(F.col("_d").alias(key), F.col("_t").alias("_text_hash")).agg(
+        F.sort_array(F.collect_set("_pos")).alias("_drops"))
 
 
 def keep_runs(drops: Column, n_lines: Column) -> Column:
