@@ -22,10 +22,12 @@ from wearcast.llm.store import written
 from wearcast.llm.tokens import encoder, tokenizer_path
 
 
-def exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, longest first; ``left`` counts by length."""
+def exact_fill(left: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """One to ``most`` (at most 3) available lengths that sum to ``gap``, longest first; ``left`` counts by length."""
     if left[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
     have = left > 0
 
     def pair(total: int, most: int) -> tuple[int, int] | None:
@@ -36,7 +38,7 @@ def exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
         hit = np.flatnonzero(fits)
         return (int(a[hit[-1]]), total - int(a[hit[-1]])) if len(hit) else None
 
-    if found := pair(gap, gap):
+    if (found := pair(gap, gap)) or most < 3:
         return found
     for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
         if 3 * a < gap:
@@ -52,6 +54,14 @@ def exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with the fewest sequences among those with complements of up to one, two and three pieces.
+
+    Longer complements win on large histograms; on small ones they use up short pieces that best-fit needs.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences), using every piece once."""
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
@@ -64,7 +74,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
                 combo: tuple[int, ...] = (n,)
             else:
                 left[n] -= 1
-                fill = exact_fill(left, capacity - n)
+                fill = exact_fill(left, capacity - n, most)
                 left[n] += 1
                 if fill is None:
                     rest[n], left[n] = left[n], 0
@@ -86,14 +96,14 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
                 combo, times = (n,) * per, int(rest[n]) // per
                 after = capacity - n * per
             else:
-                prefix, most = open_by_gap[gap].pop()
+                prefix, same = open_by_gap[gap].pop()
                 if not open_by_gap[gap]:
                     del open_by_gap[gap]
                 per = min(gap // n, int(rest[n]))
-                times = min(most, int(rest[n]) // per)
+                times = min(same, int(rest[n]) // per)
                 combo, after = prefix + (n,) * per, gap - n * per
-                if most > times:
-                    open_by_gap.setdefault(gap, []).append((prefix, most - times))
+                if same > times:
+                    open_by_gap.setdefault(gap, []).append((prefix, same - times))
             rest[n] -= per * times
             if after:
                 open_by_gap.setdefault(after, []).append((combo, times))

@@ -6,10 +6,12 @@ from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
 from wearcast.llm.quality_rules import op7_quality_rules
 from wearcast.llm.sharding import op1_sharding
+from wearcast.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
 }
