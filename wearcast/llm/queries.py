@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wearcast.llm.html_text import op3_html_text
 from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
 from wearcast.llm.quality_rules import op7_quality_rules
@@ -10,6 +11,7 @@ from wearcast.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_html_text": op3_html_text,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
