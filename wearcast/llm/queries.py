@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wearcast.llm.decontaminate import op2_decontaminate
 from wearcast.llm.html_text import op3_html_text
 from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
@@ -11,6 +12,7 @@ from wearcast.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_decontaminate": op2_decontaminate,
     "op3_html_text": op3_html_text,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
