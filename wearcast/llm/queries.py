@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wearcast.llm.decontaminate import op2_decontaminate
 from wearcast.llm.html_text import op3_html_text
+from wearcast.llm.jaccard_join import op4_jaccard_join
 from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
 from wearcast.llm.quality_rules import op7_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_html_text": op3_html_text,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
