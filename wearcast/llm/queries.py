@@ -5,8 +5,10 @@ from __future__ import annotations
 from wearcast.llm.decontaminate import op2_decontaminate
 from wearcast.llm.html_text import op3_html_text
 from wearcast.llm.jaccard_join import op4_jaccard_join
+from wearcast.llm.language_id import op9_language_id
 from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
+from wearcast.llm.quality_classifier import op10_quality_classifier
 from wearcast.llm.quality_rules import op7_quality_rules
 from wearcast.llm.sharding import op1_sharding
 from wearcast.llm.token_files import op6_token_files
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
