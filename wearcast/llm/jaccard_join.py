@@ -417,8 +417,9 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **pa
     told = jaccard_join(docs, key=key, text=text, **parameters)
     keep = told.where(F.col(key).eqNullSafe(F.col("group_id"))).select(
         F.coalesce(key, "_k").alias("_m"), F.col("_k").alias("_h")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64(text)).withColumn("_m", F.coalesce(F.col(key).cast("long"), "_h"))
-    return rows.join(keep, ["_m", "_h"], "left_semi").dropDuplicates(["_m", "_h"]).select(*docs.columns)
+    h = F.xxhash64(text)
+    rows = docs.select(F.struct("*").alias("row"), h.alias("_h"), F.coalesce(F.col(key).cast("long"), h).alias("_m"))
+    return rows.join(keep, ["_m", "_h"], "left_semi").dropDuplicates(["_m", "_h"]).select("row.*")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -71,30 +71,32 @@ def keep_runs(drops: Column, n_lines: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut to the kept lines, plus ``_n_lines``, ``_n_dropped``, ``_keep``.
+    """(row, kept, n_lines, n_dropped, keep) for every row of ``docs``.
 
-    ``_keep`` is the keep bitmap as runs. A null text stays null; a document that loses every line gets ''.
+    ``row``: the row as it stands, as a struct, so that no column of it can clash; ``kept``: its text cut to
+    the kept lines; ``keep``: the keep bitmap as runs of lines. A null text stays null and counts as one
+    empty line; a document that loses every line gets ''.
     """
-    bitmaps = (keep_bitmaps(docs, min_chars, min_docs, key, text)
-               .withColumnRenamed(key, "_bd").withColumnRenamed("_text_hash", "_bt"))
-    rows = docs.withColumn("_t", F.xxhash64(text))
-    out = rows.join(bitmaps, (rows[key] == F.col("_bd")) & (F.col("_t") == F.col("_bt")), "left")
-    lines = split_lines(F.col(text))
-    none = F.array().cast("array<int>")
-    out = out.withColumn("_n_lines", F.size(lines).cast("long")).withColumn(
-        "_n_dropped", F.size(F.coalesce("_drops", none)).cast("long")).withColumn(
-        "_keep", keep_runs(F.coalesce("_drops", none), F.col("_n_lines").cast("int")))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs, key, text).select(
+        F.col(key).alias("_bd"), F.col("_text_hash").alias("_bt"), "_drops")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_d"), F.xxhash64(text).alias("_t"))
+    out = rows.join(bitmaps, (F.col("_d") == F.col("_bd")) & (F.col("_t") == F.col("_bt")), "left")
+    whole = F.col("row").getField(text)
+    lines = split_lines(whole)
+    out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn(
+        "_drops", F.coalesce("_drops", F.array().cast("array<int>"))).withColumn(
+        "n_dropped", F.size("_drops").cast("long")).withColumn(
+        "keep", keep_runs(F.col("_drops"), F.col("n_lines").cast("int")))
     cut = F.array_join(F.flatten(F.transform(
-        F.col("_keep"), lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
-    return out.withColumn(text, F.when(F.col("_n_dropped") == 0, F.col(text)).otherwise(cut)).drop(
-        "_t", "_bd", "_bt", "_drops")
+        F.col("keep"), lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    return out.withColumn("kept", F.when(F.col("n_dropped") == 0, whole).otherwise(cut)).select(
+        "row", "kept", "n_lines", "n_dropped", "keep")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP8_SQL = """

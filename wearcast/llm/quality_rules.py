@@ -122,21 +122,38 @@ def quality_rules(
     repeated results, a null key is passed through, and a text of any length is read whole.
     """
     key_type = docs.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in SCHEMA.format(key="key", key_type="").split(", ")][1:]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = measure(as_text(batch.column(1)), least_repeat)
-        n = m["n_words"]
-        failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
-        bad = (m["covered_words"] > max_covered * n) | (
-            (m["longest_repeat"] > longest_words) & (m["longest_repeat"] > max_longest * n))
-        cols = [m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        cols += [failed, ~failed & ~bad, m["covered_words"], m["longest_repeat"]]
-        names = [x.split()[0] for x in SCHEMA.format(key="key", key_type="").split(", ")]
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[key, *names[1:]])
+        m = verdicts(as_text(batch.column(1)), least_repeat, max_covered, max_longest, longest_words)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[c]) for c in names)], names=[key, *names])
 
     return docs.select(key, text).mapInArrow(
         by_slice(work, text), SCHEMA.format(key=f"`{key}`", key_type=key_type))
 
 
+def verdicts(texts: pa.Array, least_repeat: int, max_covered: float, max_longest: float, longest_words: int):
+    """``measure`` with the two verdicts added."""
+    m = measure(texts, least_repeat)
+    n = m["n_words"]
+    m["base_failed"] = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
+    bad = (m["covered_words"] > max_covered * n) | (
+        (m["longest_repeat"] > longest_words) & (m["longest_repeat"] > max_longest * n))
+    m["kept"] = ~m["base_failed"] & ~bad
+    return m
+
+
+def keep_good(docs: DataFrame, text: str = "text", least_repeat: int = 10, max_covered: float = 0.4,
+              max_longest: float = 0.25, longest_words: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns unchanged; one pass without a join."""
+    at = docs.columns.index(text)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(
+            verdicts(as_text(batch.column(at)), least_repeat, max_covered, max_longest, longest_words)["kept"]))
+
+    return docs.mapInArrow(by_slice(work, text), docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -84,6 +84,8 @@ def shard_documents(
 ) -> DataFrame:
     """Put every row into a shard; returns all columns of ``docs`` but ``text``, plus the columns below.
 
+    A column of ``docs`` that has the name of one of them is left out.
+
     ``_size`` (bytes of the text plus 1), ``_crc32`` (of the text; 0 if null), ``_shard``, ``_slot`` (gapless
     from 0 within the shard), ``_home`` (the shard on the ring before overflow).
 
@@ -98,9 +100,9 @@ def shard_documents(
     # share a key don't meet in one cell.
     h = F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
     order = F.xxhash64(F.lit(1), F.col(key), F.col(text))
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "_size", "_crc32", "_shard", "_slot", "_home")]
     rows = docs.select(
-        *rest,
+        F.struct(*rest).alias("row"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_len"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc32"),
         order.alias("_order"),
@@ -111,13 +113,13 @@ def shard_documents(
     plan = fill(cells, preferences(points, shards), capacities(sum(c[2] for c in cells), shards, load))
     plan_df = docs.sparkSession.createDataFrame(
         plan, "_pc int, _pa int, _lo long, _hi long, _shard int, _home int, _base long")
-    w = Window.partitionBy("_chunk", "_arc").orderBy("_order", key, "_len", "_crc32")
+    w = Window.partitionBy("_chunk", "_arc").orderBy("_order", "_len", "_crc32")
     ranked = rows.withColumn("_rank", F.row_number().over(w) - 1)
     # The plan has at most one row per cell and shard that fills up in it: its size is bounded by parameters.
     hit = ((F.col("_chunk") == F.col("_pc")) & (F.col("_arc") == F.col("_pa"))
            & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return ranked.join(F.broadcast(plan_df), hit).select(
-        *rest, (F.col("_len") + 1).alias("_size"), "_crc32", "_shard",
+        "row.*", (F.col("_len") + 1).alias("_size"), "_crc32", "_shard",
         (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("_slot"), "_home")
 
 
