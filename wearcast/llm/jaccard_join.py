@@ -120,7 +120,12 @@ def _children(path: Column) -> Column:
 
 
 def leaves(classes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
-    """(_k, _path, _size): the buckets of at least two classes where the splitting ended."""
+    """(_k, _path, _size): the buckets of at least two classes where the splitting ended.
+
+    ``limit`` is what moving a row costs in comparisons. Splitting s classes of mean similarity j moves 1.25 s
+    rows and leaves 1.25 j of the comparisons, so a bucket is split while s (1 - 1.25 j) exceeds the limit;
+    near copies, which no split would part, are compared at once.
+    """
     order = np.random.default_rng(runs).permutation(COORDINATES).tolist()
     roots, at = [], 0
     for run in range(runs):
@@ -133,15 +138,25 @@ def leaves(classes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
     for level in range(1, depth + 1):
         size = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
         here = written(rows.join(size, "_path").select("_k", "_path", "_size"), f"paths{level}")
-        done = here if level == depth else here.where(F.col("_size") <= limit)
-        found = done if found is None else found.unionByName(done)
         large = here.where(F.col("_size") > limit)
         if level == depth or large.isEmpty():
-            return found
-        rows = large.join(classes.select("_k", "_sig"), "_k").select("_k", _children(F.col("_path")).alias("_path"))
+            return here if found is None else found.unionByName(here)
+        sampled = written(large.join(classes.select("_k", "_sig"), "_k"), f"large{level}")
+        split = written(sampled.groupBy("_path", "_size").agg(_likeness().alias("_like")).where(
+            F.col("_size") * (1 - 1.25 * F.col("_like")) > limit).select("_path"), f"split{level}")
+        done = here.join(split, "_path", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        rows = sampled.join(split, "_path", "left_semi").select("_k", _children(F.col("_path")).alias("_path"))
     return found
 
 
+def _likeness() -> Column:
+    """The mean similarity of a bucket's classes, from how often their sampled tokens' last bits agree."""
+    one = [F.avg(F.get("_sig", F.lit(c)).bitwiseAND(1)) for c in range(0, COORDINATES, 2)]
+    agree = sum((m * m + (1 - m) * (1 - m) for m in one[1:]), one[0] * one[0] + (1 - one[0]) * (1 - one[0])) / len(one)
+    return F.greatest(2 * agree - 1, F.lit(0.0))
+
+
 # Buckets ------------------------------------------------------------------------------------------------
 
 GROUP = ["_path", "_p", "_q"]
@@ -208,8 +223,14 @@ def _common(lists: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _candidates(t: pa.Table, least: float, ratio: float) -> pa.RecordBatch | None:
-    """Per row the pairs it leads: a bitmap over its group. Only pairs whose smallest common path is this one."""
+def _candidates(t: pa.Table, least_similarity: float) -> pa.RecordBatch | None:
+    """Per row the pairs it leads: a bitmap over its group. Only pairs whose smallest common path is this one.
+
+    Pairs go that are more than five standard deviations of the sample below the sought similarity, and pairs
+    whose sizes rule it out.
+    """
+    least = least_similarity - 5 * (least_similarity * (1 - least_similarity) / COORDINATES) ** 0.5
+    ratio = least_similarity - 0.01
     n = t.num_rows
     sig = t.column("_sig").combine_chunks().flatten().to_numpy().reshape(n, COORDINATES)
     size = t.column("_n").to_numpy()
@@ -220,6 +241,10 @@ def _candidates(t: pa.Table, least: float, ratio: float) -> pa.RecordBatch | Non
     own_len = pc.list_value_length(own_list).to_numpy(zero_copy_only=False)
     own = np.split(own_list.flatten().to_numpy(), np.cumsum(own_len)[:-1])
     agree_at = int(least * COORDINATES)
+    # Unequal tokens agree in their last bit half the time.
+    bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.uint64).reshape(-1)
+    bit = (1 + least_similarity) / 2
+    apart_at = int(COORDINATES * (1 - bit + 5 * (bit * (1 - bit) / COORDINATES) ** 0.5)) + 1
     row, pos, mask = [], [], []
     for a, z in _bounds(t):
         b = z - a
@@ -238,15 +263,21 @@ def _candidates(t: pa.Table, least: float, ratio: float) -> pa.RecordBatch | Non
             pairs = np.zeros((b, b), bool)
             pairs[i[first], j[first]] = True
         else:
-            same = np.zeros((b, b), np.uint8)
-            for c in range(COORDINATES):
-                same += sig[a:z, c, None] == sig[None, a:z, c]
+            # The tokens' last bits in one word: most pairs end at one comparison of words.
+            word = bits[a:z]
+            pairs = np.bitwise_count(word[:, None] ^ word[None, :]) <= apart_at
             s = size[a:z].astype(np.float64)
-            pairs = (same >= agree_at) & (np.minimum(s[:, None], s) >= ratio * np.maximum(s[:, None], s))
+            pairs &= np.minimum(s[:, None], s) >= ratio * np.maximum(s[:, None], s)
             if cross[a]:
                 pairs &= blk[a:z, None] != blk[None, a:z]
-            pairs &= _common([x[x < path[a]] for x in own[a:z]]) == 0
-            pairs = np.triu(pairs, 1)
+            i, j = np.nonzero(np.triu(pairs, 1))
+            close = np.concatenate([np.zeros(0, bool), *(
+                (sig[a + i[k:k + 100_000]] == sig[a + j[k:k + 100_000]]).sum(axis=1) >= agree_at
+                for k in range(0, len(i), 100_000))])
+            pairs = np.zeros((b, b), bool)
+            pairs[i[close], j[close]] = True
+            if close.any():
+                pairs &= _common([x[x < path[a]] for x in own[a:z]]) == 0
         used = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
         if len(used):
             bits = np.packbits(pairs[used], axis=1)
@@ -327,11 +358,9 @@ def link_counts(docs: DataFrame, classes: DataFrame, similarity: float, size: in
         .join(classes.select("_k", "_n", "_sig").join(own, "_k"), "_k")
         .select(*GROUP, "_k", "_b", "_n", "_sig", "_own")
     )
-    # Five standard deviations of the sampled agreement below the sought similarity.
-    least = similarity - 5 * (similarity * (1 - similarity) / COORDINATES) ** 0.5
     light = written(
         placed.repartition(*GROUP).sortWithinPartitions(*GROUP, "_k").mapInArrow(
-            _by_group(lambda t: _candidates(t, least, similarity - 0.01)),
+            _by_group(lambda t: _candidates(t, similarity)),
             "_path long, _p int, _q int, _k long, _pos int, _mask binary"), "candidates")
     wanted = light.select("_k").distinct().join(classes.select("_k", "_m"), "_k")
     texts = docs.select("_k", F.coalesce("_id", "_k").alias("_m"), text).join(wanted, ["_k", "_m"]).dropDuplicates(["_k"])
