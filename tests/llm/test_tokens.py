@@ -20,7 +20,7 @@ def test_parts_give_the_library_s_ids(name):
     g = random.Random(6)
     texts = ["", " ", "  ", "a  b", "a   b", "a\n b", "a\n \nb", "a\n\nb", "a \n", "x<|endoftext|>y", "it's we'll 's",
              "été ½ 12 345", "漢字 かな", "a b", "éx", "İstanbul", "\x01 a", "\x00a", "- -- —", "a.\n", "\t\tx"]
-    texts += ["".join(g.choice("ab'st \n\té.1—\r") for _ in range(g.randint(0, 25))) for _ in range(1500)]
+    texts += ["".join(g.choice("ab'sTÉ \n\té.1—\r,") for _ in range(g.randint(0, 25))) for _ in range(1500)]
     texts += [r[1] or "" for r in awkward_rows()]
     enc = PartEncoder(tokenizer_path(name))
     for _ in range(2):  # with an empty and a filled cache

@@ -21,8 +21,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Parts kept between slices of one worker; the cache starts anew beyond this.
 CACHE_PARTS = 400_000
 GROUP = 500
-#: Characters for which cutting at spaces is exact: ASCII without controls, Latin letters, dashes, quotes, euro.
-PLAIN = r"\t\n\r\x20-\x7e\x{a1}-\x{24f}\x{2010}-\x{2027}\x{20ac}"
+#: Characters for which cutting at spaces is exact: ASCII without controls, Latin letters (but the dotted
+#: capital I, whose small form is two characters), dashes, quotes, euro.
+PLAIN = r"\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}"
+#: Punctuation that stands apart from words where white space is dropped; the apostrophe may join a word.
+APART = r"([^\p{L}\p{N}\s']+)"
 START = "\x00"
 
 
@@ -36,7 +39,7 @@ class PartEncoder:
         one = lambda s: self.tok.encode(s, add_special_tokens=False).ids
         # A word's ids may depend on the space before it (byte-level) or not (white space is dropped).
         self.spaced = one(" a b") != one("a b") or one("a") != one(" a")
-        self.odd = f"[^{PLAIN}]|<\\|" + (r"|\s \s|\s $" if self.spaced else "")
+        self.odd = f"[^{PLAIN}]|<\\|" + (r"|\s \s|\s $" if self.spaced else r"|[^\p{L}\p{N}\s']'|'[^\p{L}\p{N}\s']")
         self.glue = "\t " if self.spaced else " \x01 "
         mark = one("a" + self.glue + "a")[len(one("a")):][:1]
         self.mark = mark[0] if one("a" + self.glue + "b") == one("a") + mark + one(" b") else None
@@ -87,7 +90,12 @@ class PartEncoder:
         self.uses = np.concatenate([self.uses, np.zeros(len(kept), np.int64)])
 
     def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(pc.binary_join_element_wise(*(pa.scalar(START, pa.large_string()), texts, pa.scalar("", pa.large_string()))), " ")
+        if self.spaced:
+            start, end = pa.scalar(START, pa.large_string()), pa.scalar("", pa.large_string())
+            parts = pc.split_pattern(pc.binary_join_element_wise(start, texts, end), " ")
+        else:  # capitals and white space don't matter, and words and punctuation are merged apart
+            parts = pc.ascii_split_whitespace(
+                pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \1 "))
         each = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
