@@ -44,7 +44,7 @@ def near_copies(g, base, n, most):
 def corpus():
     g = random.Random(11)
     texts = [prose(i, g.randint(3, 120)) for i in range(60)]
-    texts += list(near_copies(g, prose(900, 200), 160, 5)) + list(near_copies(g, prose(901, 90), 25, 3))
+    texts += list(near_copies(g, prose(900, 200), 160, 5)) + list(near_copies(g, prose(901, 90), 150, 3))
     passage = prose(902, 60)  # one passage in many different texts
     texts += [f"{prose(2000 + i, 70)} {passage} {prose(3000 + i, 70)}" for i in range(80)]
     texts += [g.choice(texts) for _ in range(40)] + ["", "one", "one", "a b", None]

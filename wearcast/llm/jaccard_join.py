@@ -242,7 +242,7 @@ def _candidates(t: pa.Table, least_similarity: float) -> pa.RecordBatch | None:
     own = np.split(own_list.flatten().to_numpy(), np.cumsum(own_len)[:-1])
     agree_at = int(least * COORDINATES)
     # Unequal tokens agree in their last bit half the time.
-    bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.uint64).reshape(-1)
+    words = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.uint64).reshape(-1)
     bit = (1 + least_similarity) / 2
     apart_at = int(COORDINATES * (1 - bit + 5 * (bit * (1 - bit) / COORDINATES) ** 0.5)) + 1
     row, pos, mask = [], [], []
@@ -264,7 +264,7 @@ def _candidates(t: pa.Table, least_similarity: float) -> pa.RecordBatch | None:
             pairs[i[first], j[first]] = True
         else:
             # The tokens' last bits in one word: most pairs end at one comparison of words.
-            word = bits[a:z]
+            word = words[a:z]
             pairs = np.bitwise_count(word[:, None] ^ word[None, :]) <= apart_at
             s = size[a:z].astype(np.float64)
             pairs &= np.minimum(s[:, None], s) >= ratio * np.maximum(s[:, None], s)
@@ -280,10 +280,9 @@ def _candidates(t: pa.Table, least_similarity: float) -> pa.RecordBatch | None:
                 pairs &= _common([x[x < path[a]] for x in own[a:z]]) == 0
         used = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
         if len(used):
-            bits = np.packbits(pairs[used], axis=1)
             row += (a + used).tolist()
             pos += used.tolist()
-            mask += [x.tobytes() for x in bits]
+            mask += [x.tobytes() for x in np.packbits(pairs[used], axis=1)]
     if not row:
         return None
     at = pa.array(row)
