@@ -25,7 +25,7 @@ def test_save_load_same_predictions(spark, trained_small):
     save_package(pkg, path, backup=copy)
     assert load_package(spark, path + "-missing") is None
     back = load_package(spark, path + "-missing", backup=copy)
-    assert back is not None and back.prep == pkg.prep and back.targets == pkg.targets
+    assert back is not None and back.prep.to_json() == pkg.prep.to_json() and back.targets == pkg.targets
     ex = pkg.example_request()
     req = requests_from_rows(spark, [dict(ex, request_id=1)])
     a = score(req, pkg.prep, pkg.model).first()
@@ -40,13 +40,13 @@ def test_bad_requests_fail_alone(spark, trained_small):
             dict(ex, request_id=3, pressure="nan", model="never-seen"),
             {k: v for k, v in dict(ex, request_id=4).items() if k != "age"}]
     out = {r["request_id"]: r for r in score(requests_from_rows(spark, rows), pkg.prep, pkg.model).collect()}
-    assert out[1]["success"] and out[3]["success"]
-    assert not out[2]["success"] and "volt" in out[2]["error"]
-    assert not out[4]["success"] and "age" in out[4]["error"]
-    assert out[2][S.pred_col(S.TARGETS[0])] is None
+    assert out["1"]["success"] and out["3"]["success"]
+    assert not out["2"]["success"] and "volt" in out["2"]["error"]
+    assert not out["4"]["success"] and "age" in out["4"]["error"]
+    assert out["2"][S.pred_col(S.TARGETS[0])] is None
     strict = {r["request_id"]: r for r in score(requests_from_rows(spark, rows), pkg.prep, pkg.model,
                                                 unseen="error").collect()}
-    assert not strict[3]["success"] and "unseen" in strict[3]["error"]
+    assert not strict["3"]["success"] and "unseen" in strict["3"]["error"]
     resp = response(score(requests_from_rows(spark, rows[:2]), pkg.prep, pkg.model),
                     key="request_id", success_col="success").orderBy("request_id").collect()
     assert resp[0]["response"]["success"] and len(resp[0]["response"]["results"]) == 4
@@ -69,18 +69,61 @@ def test_topk_importance_with_ties(spark):
     assert len(rows) == 44 and sorted(got) == sorted(want)
 
 
-def test_xgboost_backend_is_optional(trained_small):
-    import importlib.util
+def test_one_set_of_rows_gives_one_model(spark, trained_small):
+    from wearcast.operators.model import fit_multi, gbt_params, predict
 
+    t, feats = S.TARGETS[0], trained_small.package.prep.features
+    rows = trained_small.scored.where("split = 'train'").select("obs_id", *feats, t)
+    got = []
+    for n in (2, 6):
+        model = fit_multi(rows.repartition(n), feats, {t: t}, gbt_params("smoke"))
+        got.append(sorted((r[0], r[1]) for r in predict(rows, model).select("obs_id", S.pred_col(t)).collect()))
+    assert got[0] == got[1]
+
+
+def test_key_of_a_keyless_file_ignores_its_splits(spark, tmp_path):
+    from wearcast.jobs import with_row_key
+
+    spark.range(3000).selectExpr("id % 7 AS a", "sqrt(id) AS b").coalesce(1).write.option("header", True).csv(str(tmp_path / "x"))
+    keys = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        keys.append(sorted(r[0] for r in with_row_key(spark.read.option("header", True).csv(str(tmp_path / "x"))).select("obs_id").collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert keys[0] == keys[1] and len(set(keys[0])) == 3000
+
+
+def test_package_is_published_last(spark, trained_small, monkeypatch):
+    import wearcast.sources.package as P
+
+    path = scratch_path(spark, "pkg-atomic")
+    save_package(trained_small.package, path)
+    before = load_package(spark, path)
+    monkeypatch.setattr(P, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    try:
+        save_package(trained_small.package, path)
+    except RuntimeError:
+        pass
+    after = load_package(spark, path)
+    assert after.prep.to_json() == before.prep.to_json()
+
+
+def test_cluster_without_shared_folder_raises(monkeypatch):
     import pytest
 
-    from wearcast.operators.model import fit_multi
+    from wearcast import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
 
-    if importlib.util.find_spec("xgboost") is not None:
-        pytest.skip("xgboost installed")
-    with pytest.raises(ImportError, match="xgboost"):
-        fit_multi(trained_small.scored, trained_small.package.prep.features,
-                  {S.TARGETS[0]: S.TARGETS[0]}, backend="xgboost")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
 
 
 def test_reports_on_scored_rows_call_each_model_once(spark, trained_small, capsys):

@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
 from wearcast.plans.check import compare, duck
+from wearcast.plans.queries import NO_ORACLE, QUERIES, oracle_sql
 
 from conftest import SF01
 
-SQL = E.oracle_sql()
+SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF01).toPandas()
+    got = QUERIES[name](spark, SF01).toPandas()
     want = con.sql(SQL[name]).df()
     r = compare(got, want)
     assert r["cols_match"], (r["cols_spark"], r["cols_oracle"])
@@ -35,7 +35,7 @@ def test_result_types_match_oracle(spark, con):
     bad = {}
     for name in sorted(SQL):
         spark_types = {f.name: f.dataType.simpleString()
-                       for f in E.queries()[name](spark, SF01).schema.fields}
+                       for f in QUERIES[name](spark, SF01).schema.fields}
         rel = con.sql(SQL[name])
         duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
         for col, t in spark_types.items():
@@ -45,13 +45,10 @@ def test_result_types_match_oracle(spark, con):
 
 
 def test_every_query_has_oracle_or_is_model_backed():
-    from wearcast.plans.queries import NO_ORACLE
+    assert set(QUERIES) == set(SQL) | NO_ORACLE
 
-    assert set(E.queries()) == set(SQL) | NO_ORACLE
 
-
-# At sf0.01 the sample takes every row (200,000 > 60,000); at sf0.1 it is a
-# real 200,000-of-600,000 draw, so check the sampling chain there too.
+# The sampling chain and what is fitted on all rows, at ten times the rows too.
 SAMPLING = ["strata_sizes", "stratified_sample", "train_test_split", "sample_report",
             "impute_fit", "encode_fit", "metrics_by_target", "efficiency"]
 
@@ -63,7 +60,7 @@ def con_big():
 
 @pytest.mark.parametrize("name", SAMPLING)
 def test_sampling_chain_matches_oracle_at_sf01(spark, con_big, name):
-    got = E.queries()[name](spark, "/root/testdata/sf0.1").toPandas()
+    got = QUERIES[name](spark, "/root/testdata/sf0.1").toPandas()
     want = con_big.sql(SQL[name]).df()
     r = compare(got, want)
     assert r["cols_match"] and r["rows_match"], r

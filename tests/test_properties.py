@@ -43,15 +43,11 @@ def _window_sample(labelled, n):
                   .select("obs_id").collect())
 
 
-@pytest.mark.parametrize("z", [10.0, 0.05])
-@pytest.mark.parametrize("ranked_take", [SM.MAX_RANKED_TAKE, 0])
-def test_draw_and_band_paths_equal_window_ranking(labelled, monkeypatch, z, ranked_take):
-    direct = _window_sample(labelled, 900)
-    monkeypatch.setattr(SM, "FULL_BAND_ROWS", 0)         # force the band on every stratum
-    monkeypatch.setattr(SM, "BAND_Z", z)                 # tiny z: thresholds miss, get widened
-    monkeypatch.setattr(SM, "MAX_RANKED_TAKE", ranked_take)  # 0: band path, else draw path
+@pytest.mark.parametrize("digits", [1, 3])
+def test_sample_equals_window_ranking(labelled, monkeypatch, digits):
+    monkeypatch.setattr(SM, "CELL_DIGITS", digits)
     got = sorted(r[0] for r in SM.stratified_sample(labelled, "stratum", 900).select("obs_id").collect())
-    assert got == direct
+    assert got == _window_sample(labelled, 900)
 
 
 def test_sample_independent_of_partitioning(labelled):
@@ -67,7 +63,6 @@ def test_split_disjoint_complete_and_sized(labelled):
     c = {r["split"]: r["count"] for r in sp.groupBy("split").count().collect()}
     assert c["train"] + c["test"] == n
     assert c["test"] == -(-n * 2 // 10)  # ceil(0.2 n)
-    # one duplicate key pair exists at sf0.001: compare distinct keys
     assert sp.select("obs_id").distinct().count() == labelled.select("obs_id").distinct().count()
 
 
@@ -95,11 +90,9 @@ def test_allocation_sums_to_draws(spark, sizes, n):
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=5), st.integers(1, 150),
-       st.sampled_from([10.0, 0.01]), st.integers(0, 2 ** 31))
-def test_draw_on_skewed_strata_equals_window_ranking(spark, small, n, z, salt):
-    """A hot stratum (at least a third of the rows) and a NULL stratum; tiny
-    ``z`` forces thresholds to miss and widen."""
-    import wearcast.operators.sampling as SMod
+       st.integers(0, 2 ** 31))
+def test_draw_on_skewed_strata_equals_window_ranking(spark, small, n, salt):
+    """A hot stratum (at least a third of the rows) and a NULL stratum."""
     from pyspark.sql import Window
     hot = 2 * sum(small) + 1
     sizes = [("hot", hot)] + [(f"s{i}", k) for i, k in enumerate(small)] + [(None, 3)]
@@ -109,13 +102,8 @@ def test_draw_on_skewed_strata_equals_window_ranking(spark, small, n, z, salt):
             key += 1
             rows.append((key, s))
     df = spark.createDataFrame(rows, "obs_id long, stratum string")
-    old = SMod.BAND_Z
-    SMod.BAND_Z = z
-    try:
-        got = sorted(r[0] for r in SMod.stratified_sample(df, "stratum", n).select("obs_id").collect())
-    finally:
-        SMod.BAND_Z = old
-    alloc = SMod.allocation(df, "stratum", SMod.Draw("count", n))
+    got = sorted(r[0] for r in SM.stratified_sample(df, "stratum", n).select("obs_id").collect())
+    alloc = SM.allocation(df, "stratum", SM.Draw("count", n))
     d = df.join(alloc.select("stratum", "take"), df["stratum"].eqNullSafe(alloc["stratum"])).select(
         "obs_id", df["stratum"], "take")
     rn = F.row_number().over(Window.partitionBy("stratum").orderBy(

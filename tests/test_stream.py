@@ -55,7 +55,7 @@ def test_json_request_stream_matches_batch(spark, trained_small, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r["request_id"]: r for r in spark.table("scored_requests").collect()}
-    assert got.keys() == batch.keys() == {1, 2, 3, 4}
-    assert [got[i]["success"] for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert got.keys() == batch.keys() == {"1", "2", "3", "4"}
+    assert [got[i]["success"] for i in "1234"] == [True, False, False, True]
     p = S.pred_col(S.TARGETS[0])
-    assert got[1][p] == batch[1][p] and got[4][p] == batch[4][p]
+    assert got["1"][p] == batch["1"][p] and got["4"][p] == batch["4"][p]

@@ -66,12 +66,64 @@ def test_exact_quantiles_match_numpy(spark, seed):
     pdf = pd.DataFrame({"a": a, "b": b, "c": c})
     df = spark.createDataFrame(pdf).select(*[X.nan_to_null(c).alias(c) for c in "abc"])
     probs = (0.25, 0.5, 0.75, 0.9)
-    got = exact_quantiles(df, ["a", "b", "c"], probs, buckets=16)
+    got = exact_quantiles(df, ["a", "b", "c"], probs, accuracy=200)
     for col in "abc":
         want = np.nanquantile(pdf[col].to_numpy(), probs)
         assert np.allclose(got[col], want, rtol=0, atol=1e-9), col
 
 
+def test_exact_quantiles_of_extreme_doubles(spark):
+    inf, big = math.inf, 1.5e308
+    for values, want in (([1.0, 2.0, 3.0, inf], [1.75, 2.5, inf]), ([-big, 1.0, 2.0, 3.0, big], [1.0, 2.0, 3.0]),
+                         ([-big, big], [-big / 2, 0.0, big / 2]), ([math.nan, None, 4.0], [4.0, 4.0, 4.0])):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert exact_quantiles(df, ["x"], (0.25, 0.5, 0.75))["x"] == want
+
+
+def test_many_classes_are_a_table_not_literals(spark, capsys):
+    df = spark.range(50_000).selectExpr("CAST(id AS string) AS obs_id", "concat('m', id) AS model", "CAST(id AS double) AS volt")
+    prep = PP.fit_preprocess(df)
+    enc = PP.encode(df, prep)
+    want = {k: i for i, k in enumerate(sorted([f"m{i}" for i in range(50_000)] + ["unknown"]))}
+    got = enc.join(df.selectExpr("obs_id", "model AS raw"), "obs_id").select("raw", "model").collect()
+    assert all(want[r["raw"]] == r["model"] for r in got)
+    enc.explain("extended")
+    assert "m49999" not in capsys.readouterr().out
+
+
+def test_keys_beyond_bigint_digits(spark):
+    from wearcast.sources.observations import fixture_observations
+
+    li = spark.createDataFrame([(10**8 + i, 10**7 + i, i, 1, 5.0, 100.0, 0.1) for i in range(20)],
+                               "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, "
+                               "l_extendedprice double, l_discount double")
+    from wearcast.session import scratch_path
+    d = scratch_path(spark, "big")
+    spark.createDataFrame([(10**7 + i, 3) for i in range(20)], "p_partkey long, p_size long").write.parquet(f"{d}/part.parquet")
+    got = [r["obs_id"] for r in fixture_observations(spark, d, lineitem=li).collect()]
+    assert sorted(got) == sorted(f"{10**8 + i}-{10**7 + i}-{i}-1" for i in range(20))
+
+
+def test_request_bodies(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"volt": 1}\n\n{"volt": \n{"request_id": "abc-7", "volt": "2"}\n{"volt": 1}\n')
+    rows = read_requests(spark, str(tmp_path), features=["volt"]).collect()
+    by_error = sorted((r["error"] or "", r["volt"] or "") for r in rows)
+    assert by_error == [("", "1"), ("", "1"), ("", "2"), ("empty request body", ""), ("malformed request body", "")]
+    ids = [r["request_id"] for r in rows]
+    assert all(ids) and "abc-7" in ids and len(set(ids)) == 4  # equal bodies without an id share one
+
+
+def test_failed_response_says_why(spark):
+    cols = ", ".join(f"{S.pred_col(t)} double" for t in S.TARGETS)
+    df = spark.createDataFrame([("a", True, None, -1.0, 2.0, 3.0, 4.0), ("b", False, "bad volt", None, None, None, None)],
+                               f"request_id string, success boolean, error string, {cols}")
+    got = {r["request_id"]: r["response_json"] for r in SC.response(df, "request_id", success_col="success").collect()}
+    assert got["b"] == '{"success":false,"error":"bad volt"}' and '"error"' not in got["a"]
+    plain = SC.recommendation(df.where("success"), "request_id").first()["title"]
+    clamped = SC.recommendation(df.where("success"), "request_id", clamp_negative=True).first()["title"]
+    assert plain.startswith("URGENT") and clamped.startswith("IMMEDIATE")
+
+
 def test_all_null_feature_fails_fit(spark):
     rows = [(1, "model1", None, 1.0), (2, "model2", None, 2.0)]
     df = spark.createDataFrame(rows, "obs_id long, model string, volt double, rotate double")
@@ -93,7 +145,7 @@ def test_scaling_uses_population_std_and_zero_variance(spark):
 def test_unseen_category(spark):
     train = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "obs_id long, model string, volt double")
     prep = PP.fit_preprocess(train)
-    assert prep.classes["model"] == ["a", "b", "unknown"]
+    assert [tuple(r) for r in prep.classes["model"].orderBy("code").collect()] == [("a", 0), ("b", 1), ("unknown", 2)]
     req = spark.createDataFrame([(3, "zzz", 1.0), (4, None, 1.0), (5, "b", 1.0)],
                                 "obs_id long, model string, volt double")
     codes = [r["model"] for r in PP.encode(req, prep).orderBy("obs_id").collect()]

@@ -56,17 +56,6 @@ def finite(num) -> Column:
                       F.lit(False))
 
 
-def request_number(c) -> tuple[Column, Column]:
-    """(value, bad) for one request text: value is a double or NULL (missing);
-    bad is True when the text is neither missing nor a finite number."""
-    c = _c(c)
-    t = strip_ws(c)
-    missing = request_missing(c, t)
-    num = F.when(t.rlike(S.NUMBER_PATTERN), t.try_cast("double"))
-    ok = finite(num)
-    return F.when(missing, F.lit(None).cast("double")).when(ok, num), ~missing & ~ok
-
-
 # --------------------------------------------------------------------------- strata
 
 def row_mean(cols: Sequence[str]) -> Column:
@@ -160,12 +149,6 @@ def priority(floor_weeks) -> Column:
     )
 
 
-def component_of(target) -> Column:
-    """``ttf_comp1_weeks`` -> ``COMP1`` as an expression over a target-name column."""
-    return F.upper(F.replace(F.replace(_c(target), F.lit("ttf_"), F.lit("")),
-                             F.lit("_weeks"), F.lit("")))
-
-
 def days_since_guidance(feature) -> Column:
     """``Days since <third '_' part> maintenance``."""
     part = F.split(_c(feature), "_").getItem(2)

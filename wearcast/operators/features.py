@@ -29,15 +29,14 @@ def feature_catalog(spark, prep: Prep) -> DataFrame:
     """One row per model feature: position, name, type, options (sorted
     classes, comma-joined) for categorical ones, guidance text for numerical
     ones (#11). Built from the fitted package: a handful of rows."""
-    rows = []
-    for i, f in enumerate(prep.features):
-        if f in prep.classes:
-            rows.append((i, f, "categorical", ",".join(prep.classes[f]), None))
-        else:
-            rows.append((i, f, "numerical", None, None))
-    df = spark.createDataFrame(rows, "position int, name string, type string, options string, "
-                                     "guidance string")
-    expr =F.when(F.col("type") == "categorical", F.lit(None).cast("string"))
+    rows = [(i, f, "categorical" if f in prep.categorical else "numerical") for i, f in enumerate(prep.features)]
+    df = spark.createDataFrame(rows, "position int, name string, type string")
+    options = F.lit(None).cast("string")
+    for f, classes in prep.classes.items():
+        joined = classes.agg(F.array_join(F.array_sort(F.collect_list("class")), ",").alias("o")).scalar()
+        options = F.when(F.col("name") == f, joined).otherwise(options)
+    df = df.withColumn("options", options)
+    expr = F.when(F.col("type") == "categorical", F.lit(None).cast("string"))
     for name, text in S.GUIDANCE.items():
         expr = expr.when(F.col("name") == name, F.lit(text))
     expr = expr.when(F.col("name").contains("days_since"), X.days_since_guidance(F.col("name")))
@@ -74,10 +73,13 @@ def coerce_numeric(df: DataFrame, cols, error_col: str = "error") -> DataFrame:
 
 
 def known_category(df: DataFrame, prep: Prep, col: str = "model", out: str = "known") -> DataFrame:
-    """True where the category (NULL read as 'unknown') is a fitted class (#14)."""
-    classes = prep.classes.get(col, [])
-    v = F.coalesce(F.col(col).cast("string"), F.lit(S.UNKNOWN))
-    return df.withColumn(out, v.isin(*classes) if classes else F.lit(False))
+    """True where the category (NULL read as 'unknown') is a fitted class (#14): a join with the class table."""
+    if col not in prep.classes:
+        return df.withColumn(out, F.lit(False))
+    known = prep.classes[col].select(F.col("class").alias("_class"))
+    value = F.coalesce(F.col(col).cast("string"), F.lit(S.UNKNOWN))
+    d = df.withColumn("_value", value).join(known, F.col("_value") == F.col("_class"), "left")
+    return d.withColumn(out, F.col("_class").isNotNull()).drop("_value", "_class")
 
 
 def validate_requests(df: DataFrame, features, error_col: str = "error") -> DataFrame:

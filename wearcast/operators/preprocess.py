@@ -1,42 +1,45 @@
 """Preprocessing (#30-#38): missing report, target floors, label encoding,
-median imputation, standard scaling. Fitted state is a small set of plain
-values (classes, medians, means, scales) applied as literals, so every
-transform is a projection inside whole-stage codegen: no join, no shuffle.
+median imputation, standard scaling. Medians, means and scales are a few plain
+values applied as literals; the classes of a categorical feature are a table
+(class, code) that is joined on the class and never passes through the driver.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import written
 from .stats import exact_median
 
-MAX_LITERAL_CLASSES = 10_000  # beyond this a broadcast join encodes categories
-
 
 @dataclass
 class Prep:
     features: list[str]
     categorical: list[str]
     numerical: list[str]
-    classes: dict[str, list[str]] = field(default_factory=dict)
+    classes: dict[str, DataFrame] = field(default_factory=dict)  # feature -> (class, code)
+    unknown: dict[str, int] = field(default_factory=dict)  # feature -> code of 'unknown'
     medians: dict[str, float] = field(default_factory=dict)
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        """Everything but the class tables."""
+        return json.dumps({k: v for k, v in vars(self).items() if k != "classes"}, sort_keys=True)
 
     @staticmethod
-    def from_json(text: str) -> "Prep":
-        return Prep(**json.loads(text))
+    def from_json(text: str, classes: dict[str, DataFrame] | None = None) -> "Prep":
+        return Prep(**json.loads(text), classes=classes or {})
 
-    def code_of(self, feature: str, value: str) -> int:
-        return self.classes[feature].index(value)
+    def first_class(self, feature: str) -> str | None:
+        """The first class of a feature but 'unknown'."""
+        r = self.classes[feature].where(F.col("class") != S.UNKNOWN).orderBy("code").first()
+        return r["class"] if r else None
 
 
 # --------------------------------------------------------------------------- reports
@@ -89,22 +92,24 @@ def feature_lists(columns) -> tuple[list[str], list[str], list[str]]:
     return features, categorical, numerical
 
 
-def encode_fit(train: DataFrame, categorical) -> dict[str, list[str]]:
-    """Sorted distinct categories per categorical feature (#34).
+def encode_fit(train: DataFrame, categorical) -> dict[str, DataFrame]:
+    """(class, code) per categorical feature (#34): distinct classes in sorted order, codes from 0.
 
     Missing becomes ``'unknown'``; ``'unknown'`` is always a class, in its
-    sorted place, so unseen values have a code. One distinct aggregate per
-    column (partial aggregation: a hot category costs nothing extra)."""
+    sorted place, so unseen values have a code. Codes come from ranks within
+    the classes' first characters plus a running sum over those, so no task
+    sorts all classes."""
     out = {}
     for c in categorical:
-        vals = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN)).alias("v"))
-                .distinct())
-        bound = 50 * MAX_LITERAL_CLASSES
-        rows = vals.limit(bound + 1).collect()
-        if len(rows) > bound:
-            raise ValueError(f"{c}: more than {bound} categories, too many to label-encode")
-        classes = sorted({r["v"] for r in rows} | {S.UNKNOWN})
-        out[c] = classes
+        seen = train.select(F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN)).alias("class"))
+        always = train.sparkSession.createDataFrame([(S.UNKNOWN,)], "class string")
+        vals = seen.unionByName(always).distinct().withColumn("_head", F.substring("class", 1, 3))
+        heads = vals.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)  # one row a head
+        heads = heads.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        rank = F.row_number().over(Window.partitionBy("_head").orderBy("class"))
+        out[c] = vals.withColumn("_rank", rank).join(heads, "_head").select(
+            "class", (F.col("_rank") - 1 + F.col("_before")).cast("int").alias("code"))
     return out
 
 
@@ -112,7 +117,9 @@ def fit_preprocess(train: DataFrame) -> Prep:
     """Fit encoder, imputer and scaler on the training rows (#33, #34, #37)."""
     features, categorical, numerical = feature_lists(train.columns)
     prep = Prep(features=features, categorical=categorical, numerical=numerical)
-    prep.classes = encode_fit(train, categorical)
+    # Written once: every transform reads the small tables instead of fitting them again.
+    prep.classes = {c: written(t, f"classes-{c}") for c, t in encode_fit(train, categorical).items()}
+    prep.unknown = {c: t.where(F.col("class") == S.UNKNOWN).first()["code"] for c, t in prep.classes.items()}
     medians = exact_median(train, numerical)
     empty = [c for c, v in medians.items() if v is None]
     if empty:
@@ -137,30 +144,18 @@ def encode(df: DataFrame, prep: Prep, unseen: str = "unknown",
     or, with ``unseen='error'``, NULL code plus a message in ``error_col``."""
     out = df
     for c in prep.categorical:
-        classes = prep.classes[c]
+        tab = prep.classes[c].select(F.col("class").alias("_class"), F.col("code").alias("_code"))
         v = F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN))
-        if len(classes) <= MAX_LITERAL_CLASSES:
-            lookup = F.create_map(*[x for i, k in enumerate(classes) for x in (F.lit(k), F.lit(i))])
-            code = F.element_at(lookup, v) if classes else F.lit(None)
-            out = out.withColumn(f"_code_{c}", code)
-        else:
-            spark = df.sparkSession
-            tab = spark.createDataFrame([(k, i) for i, k in enumerate(classes)],
-                                        f"_cls_{c} string, _code_{c} int")
-            # size known at fit time; broadcast only within the literal bound x 50
-            out = out.withColumn(f"_v_{c}", v).join(F.broadcast(tab), F.col(f"_v_{c}") == F.col(f"_cls_{c}"),
-                                                   "left").drop(f"_v_{c}", f"_cls_{c}")
-        unknown_code = F.lit(classes.index(S.UNKNOWN))
+        out = out.withColumn("_value", v).join(tab, F.col("_value") == F.col("_class"), "left")
         if unseen == "error":
-            bad = F.col(f"_code_{c}").isNull()
             if error_col:
                 msg = F.concat(F.lit(f"unseen category for {c}: '"), F.col(c).cast("string"), F.lit("'"))
                 prev = F.col(error_col) if error_col in out.columns else F.lit(None).cast("string")
-                out = out.withColumn(error_col, F.coalesce(prev, F.when(bad, msg)))
-            out = out.withColumn(c, F.col(f"_code_{c}").cast("double"))
+                out = out.withColumn(error_col, F.coalesce(prev, F.when(F.col("_code").isNull(), msg)))
+            out = out.withColumn(c, F.col("_code").cast("double"))
         else:
-            out = out.withColumn(c, F.coalesce(F.col(f"_code_{c}"), unknown_code).cast("double"))
-        out = out.drop(f"_code_{c}")
+            out = out.withColumn(c, F.coalesce(F.col("_code"), F.lit(prep.unknown[c])).cast("double"))
+        out = out.drop("_value", "_class", "_code")
     return out
 
 

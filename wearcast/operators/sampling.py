@@ -5,102 +5,85 @@ rule: ``floor(n_s / total * draws)`` per stratum, and the rows still missing go
 to the largest remainders, ties by stratum name. Which rows: the first ``take``
 rows of the stratum in seeded hash order ``md5('<seed>-' || key), key``.
 
-Selection never ranks a whole large stratum in one task (a stratum may
-hold a third of all rows), and every shuffle stays small:
-
-1. The take-th smallest of n uniform hashes lies near ``take / n`` of the
-   hash space. A band of +-``BAND_Z`` binomial deviations is put around
-   it, and one aggregate counts the rows below and inside the band per
-   stratum (each task emits one row per stratum). If the cut is not inside
-   the band, the band is widened and counted again, so the result is exact.
-   Strata of at most ``FULL_BAND_ROWS`` rows skip this pass.
-2. Only the band rows (about ``2 * BAND_Z * sqrt(take)`` per stratum) are
-   shuffled and ranked; the cut is the (take - below)-th of them.
-3. Every row is labelled by a map-only pass against a broadcast table of
-   one row per stratum (band and cut).
-
-A sample (rows, not labels) whose strata each draw a bounded number of rows
-takes a shorter way: one pass keeps the rows whose hash lies below a
-per-stratum threshold ``BAND_Z`` deviations above the expected cut, ranks
-only those within their stratum and keeps the first ``take``. The result is
-persisted; a stratum that kept fewer than ``take`` rows gets a wider threshold
-and the draw is repeated, so it is exact too. Three scans of the input
-(bin edges, allocation, draw) instead of five.
-
-The result does not depend on partitioning or input order.
+One way for every size, and no stratum is ranked whole (one may hold a third
+of all rows):
+
+1. one aggregate counts the rows of each (stratum, cell), a cell being one of
+   ``CELLS`` equal parts of the hash space; every task emits one row per cell;
+2. running sums over the cells of a stratum say in which cell its cut lies;
+   only the rows of that cell (one in ``CELLS``) are shuffled and ranked, and the
+   row at the cut is the stratum's threshold;
+3. every row is labelled by comparing its hash with the threshold of its
+   stratum: an equi-join with one row per stratum, whose physical kind (and
+   the splitting of skewed strata) is left to adaptive execution.
+
+Nothing but a handful of totals passes through the driver. The result does not
+depend on partitioning or input order. Rows that share a key share a hash, so
+they fall on the same side.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import exprs as X
 
-HASH_SPACE = 1 << 60             # hash prefixes are 60-bit integers
-BAND_Z = 10.0                    # band half-width in binomial deviations
-FULL_BAND_ROWS = 100_000         # strata up to this size are ranked whole
-MAX_BROADCAST_STRATA = 2_000_000  # one small row per stratum below this
-MAX_RANKED_TAKE = 2_000_000      # a stratum drawing more is cut by the band path
+CELL_DIGITS = 3                  # hex digits of the hash that name its cell
+CELLS = 16 ** CELL_DIGITS
 
 
 @dataclass(frozen=True)
 class Draw:
     """How many rows to draw from a population of ``tot`` rows."""
-    kind: str     # "count" (draw min(n, tot)) or "complement_of_fraction"
+    kind: str     # "count" (min(n, tot)), "fraction" or "complement_of_fraction"
     value: float
 
-    def column(self, tot: Column) -> Column:
+    def rows(self, tot: int) -> int:
+        from math import ceil, floor
+
         if self.kind == "count":
-            return F.least(F.lit(int(self.value)).cast("long"), tot)
+            return min(int(self.value), tot)
+        if self.kind == "fraction":
+            return int(floor(float(self.value) * tot))
         # train part of a split: tot - ceil(fraction * tot)
-        return tot - F.ceil(F.lit(float(self.value)) * tot).cast("long")
+        return tot - int(ceil(float(self.value) * tot))
 
 
 def _stratum_col(stratum: str | None) -> Column:
     return F.col(stratum) if stratum else F.lit("all")
 
 
+def _cell(h: Column) -> Column:
+    return F.conv(F.substring(h, 1, CELL_DIGITS), 16, 10).cast("int")
+
+
+def _allocate(counts: DataFrame, draw: Draw) -> DataFrame:
+    """(stratum, n, take) from (stratum, n).
+
+    Two single-row aggregates give the totals; the largest remainders are a
+    top-k over strata (per-task top-k, then merged), not a window over all."""
+    tot = int(counts.agg(F.sum("n")).first()[0] or 0)
+    draws = draw.rows(tot)
+    share = F.col("n").cast("double") / F.lit(float(max(tot, 1))) * F.lit(float(draws))
+    d = counts.select("stratum", "n", F.floor(share).cast("long").alias("base"),
+                      (share - F.floor(share)).alias("rem"))
+    if draws >= tot:
+        return d.select("stratum", "n", F.col("n").alias("take"))
+    need = draws - int(d.agg(F.sum("base")).first()[0] or 0)
+    extra = d.orderBy(F.col("rem").desc(), F.col("stratum").asc_nulls_last()).limit(need).select(
+        F.col("stratum").alias("_x"), F.lit(1).alias("_one"))
+    return d.join(extra, d["stratum"].eqNullSafe(extra["_x"]), "left").select(
+        "stratum", "n", (F.col("base") + F.coalesce("_one", F.lit(0))).cast("long").alias("take"))
+
+
 def allocation(df: DataFrame, stratum: str | None, draw: Draw) -> DataFrame:
-    """(stratum, n, take) per stratum (#25). Windows run over strata, not rows."""
-    s = _stratum_col(stratum).alias("stratum")
-    cnt = df.groupBy(s).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy()
-    tot = F.sum("n").over(everything)
-    d = cnt.withColumn("tot", tot).withColumn("draws", draw.column(F.col("tot")))
-    share = F.col("n").cast("double") / F.col("tot").cast("double") * F.col("draws").cast("double")
-    d = d.withColumn("base", F.floor(share).cast("long")).withColumn(
-        "rem", share - F.floor(share))
-    need = F.col("draws") - F.sum("base").over(everything)
-    order = Window.orderBy(F.col("rem").desc(), F.col("stratum").asc_nulls_last())
-    extra = F.when(F.row_number().over(order) <= need, F.lit(1)).otherwise(F.lit(0))
-    take = F.when(F.col("draws") >= F.col("tot"), F.col("n")).otherwise(F.col("base") + extra)
-    return d.select("stratum", "n", take.cast("long").alias("take"))
-
-
-def _small_table(spark, rows, schema: T.StructType) -> DataFrame:
-    if len(rows) > MAX_BROADCAST_STRATA:
-        raise ValueError(f"{len(rows)} strata exceed the broadcast bound {MAX_BROADCAST_STRATA}")
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def _band(n: int, take: int, z: float) -> tuple[int, int]:
-    """[lo, hi] in 60-bit hash space that holds the take-th smallest hash of
-    n uniform hashes unless the count is ``z`` binomial deviations off."""
-    if take >= n:
-        return HASH_SPACE, HASH_SPACE  # everything lies below the band
-    if n <= FULL_BAND_ROWS or z == math.inf:
-        return 0, HASH_SPACE - 1
-    w = z * math.sqrt(take * (1.0 - take / n) + 1.0) + 2.0
-    lo = int(max(0.0, (take - w) / n) * HASH_SPACE)
-    hi = int(math.ceil(min(1.0, (take + w) / n) * HASH_SPACE))
-    return lo, min(hi, HASH_SPACE - 1)
+    """(stratum, n, take) per stratum (#25)."""
+    counts = df.groupBy(_stratum_col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return _allocate(counts, draw)
 
 
 def _kept_if(cond: Column) -> Column:
@@ -111,151 +94,40 @@ def _kept_if(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _collect_allocation(alloc: DataFrame) -> list:
-    """The allocation rows (one per stratum), with the broadcast bound checked."""
-    arows = alloc.limit(MAX_BROADCAST_STRATA + 1).collect()
-    if len(arows) > MAX_BROADCAST_STRATA:
-        raise ValueError(f"more than {MAX_BROADCAST_STRATA} strata: too many to broadcast")
-    return arows
-
-
-def _upper(n: int, take: int, z: float) -> int:
-    """Hash threshold (60-bit) with at least ``take`` of n uniform hashes
-    below it unless the count is ``z`` binomial deviations short."""
-    if take >= n or z == math.inf:
-        return HASH_SPACE - 1
-    w = z * math.sqrt(take * (1.0 - take / n) + 1.0) + 2.0
-    return min(HASH_SPACE - 1, int(math.ceil(min(1.0, (take + w) / n) * HASH_SPACE)))
-
-
-def draw_first(df: DataFrame, stratum: str | None, arows, tag: str,
-               key: str = S.KEY) -> DataFrame:
-    """The rows among the first ``take`` of their stratum in hash order
-    ``md5(tag || key), key``, drawn in one pass over ``df`` and persisted.
-
-    Only rows below the stratum's threshold are shuffled and ranked (about
-    ``take + BAND_Z * sqrt(take)`` per stratum), so a stratum holding a third
-    of the input sends no more than its own draw to one task."""
-    spark = df.sparkSession
-    stype = df.schema[stratum].dataType if stratum else T.StringType()
-    s = _stratum_col(stratum)
-    t_schema = T.StructType([T.StructField("_s", stype), T.StructField("_hi", T.LongType()),
-                             T.StructField("_take", T.LongType())])
-    plan = {r["stratum"]: [int(r["take"]), int(r["n"]), BAND_Z] for r in arows if r["take"] > 0}
-    cols = df.columns
-    while True:
-        tab = _small_table(spark, [(k, _upper(v[1], v[0], v[2]), v[0]) for k, v in plan.items()],
-                           t_schema)
-        d = df.withColumn("_sv", s).withColumn("_h", X.hash_order(F.col(key), tag))
-        d = d.join(tab, d["_sv"].eqNullSafe(tab["_s"]), "inner").where(
-            _kept_if(X.hash_prefix(F.col("_h")) <= F.col("_hi")))
-        rn = F.row_number().over(Window.partitionBy("_sv").orderBy("_h", key))
-        kept = d.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_take")).select(*cols)
-        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
-        got = {r["_sv"]: r["_n"] for r in
-               kept.groupBy(s.alias("_sv")).agg(F.count(F.lit(1)).alias("_n")).collect()}
-        short = [k for k, v in plan.items() if got.get(k, 0) < v[0]]
-        if not short:
-            return kept
-        kept.unpersist()
-        for k in short:  # the threshold was too low: widen it (eventually to everything)
-            plan[k][2] = plan[k][2] * 8 if plan[k][2] < 1e3 else math.inf
-
-
-def select_first(df: DataFrame, stratum: str | None, alloc: DataFrame, tag: str,
-                 key: str = S.KEY, out: str = "_selected", arows=None) -> DataFrame:
+def thresholds(df: DataFrame, stratum: str | None, draw: Draw, tag: str, key: str = S.KEY) -> DataFrame:
+    """(_s, _ch, _ck): hash and key of the last selected row of each stratum that gives any."""
+    base = df.select(_stratum_col(stratum).alias("_s"), X.hash_order(F.col(key), tag).alias("_h"),
+                     F.col(key).alias("_k"))
+    cells = base.groupBy("_s", _cell(F.col("_h")).alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
+    alloc = _allocate(cells.groupBy(F.col("_s").alias("stratum")).agg(F.sum("_c").alias("n")), draw)
+    upto = F.sum("_c").over(Window.partitionBy("_s").orderBy("_cell"))  # at most CELLS rows a stratum
+    run = cells.withColumn("_upto", upto)
+    cut = run.join(alloc, run["_s"].eqNullSafe(alloc["stratum"])).where(
+        (F.col("take") > 0) & (F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_c") < F.col("take"))
+    ).select(run["_s"].alias("_cs"), F.col("_cell").alias("_cc"), (F.col("take") - F.col("_upto") + F.col("_c")).alias("_need"))
+    near = base.join(cut, base["_s"].eqNullSafe(cut["_cs"])).where(_kept_if(_cell(F.col("_h")) == F.col("_cc")))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
+    return near.withColumn("_rn", rank).where(F.col("_rn") == F.col("_need")).select(
+        "_s", F.col("_h").alias("_ch"), F.col("_k").alias("_ck"))
+
+
+def select_first(df: DataFrame, stratum: str | None, draw: Draw, tag: str,
+                 key: str = S.KEY, out: str = "_selected") -> DataFrame:
     """Add boolean ``out``: row is among the first ``take`` of its stratum in
-    hash order ``md5(tag || key), key``. Exact; bounded work per task."""
-    spark = df.sparkSession
-    stype = df.schema[stratum].dataType if stratum else T.StringType()
-    # Per-stratum allocation: one row per stratum, collected once with a bound
-    # (``arows``: already collected by the caller).
-    if arows is None:
-        arows = _collect_allocation(alloc)
-    if all(r["take"] == r["n"] for r in arows):
-        return df.withColumn(out, F.lit(True))
-    if all(r["take"] == 0 for r in arows):
-        return df.withColumn(out, F.lit(False))
-
-    s = _stratum_col(stratum)
-    base = df.select(s.alias("_s"), F.col(key).alias("_k"),
-                     X.hash_order(F.col(key), tag).alias("_h"))
-    base = base.withColumn("_hp", X.hash_prefix(F.col("_h")))
-    p_schema = T.StructType([T.StructField("_s", stype), T.StructField("_lo", T.LongType()),
-                             T.StructField("_hi", T.LongType())])
-
-    # 1. a band in hash space around each cut; count rows below and inside it.
-    plan = {}  # stratum -> [take, n, z, lo, hi, below, inside]
-    for r in arows:
-        if r["take"] > 0:
-            t, n = int(r["take"]), int(r["n"])
-            lo, hi = _band(n, t, BAND_Z)
-            full = lo == 0 and hi == HASH_SPACE - 1
-            plan[r["stratum"]] = [t, n, BAND_Z, lo, hi, 0 if full else None, n if full else None]
-    while True:
-        todo = [k for k, v in plan.items() if v[5] is None]
-        if not todo:
-            break
-        tab = _small_table(spark, [(k, plan[k][3], plan[k][4]) for k in todo], p_schema)
-        d = base.join(tab, base["_s"].eqNullSafe(tab["_s"]), "inner")
-        counts = d.groupBy(base["_s"]).agg(
-            F.count_if(F.col("_hp") < F.col("_lo")).alias("_below"),
-            F.count_if((F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))).alias("_in"))
-        for row in counts.collect():  # one row per stratum
-            v = plan[row["_s"]]
-            below, inside = int(row["_below"]), int(row["_in"])
-            if below <= v[0] <= below + inside:
-                v[5], v[6] = below, inside
-            else:  # the cut fell outside the band: widen it (eventually to everything)
-                v[2] = v[2] * 8 if v[2] < 1e3 else math.inf
-                v[3], v[4] = _band(v[1], v[0], v[2])
-                if v[3] == 0 and v[4] == HASH_SPACE - 1:
-                    v[5], v[6] = 0, v[1]
-
-    # 2. rank only the band rows of each stratum; the cut is the (take - below)-th.
-    need_rows = [(k, v[3], v[4], v[0] - v[5]) for k, v in plan.items() if v[0] - v[5] > 0]
-    cut = {}
-    if need_rows:
-        n_schema = T.StructType(p_schema.fields + [T.StructField("_need", T.LongType())])
-        tab = _small_table(spark, need_rows, n_schema)
-        band = base.join(tab, base["_s"].eqNullSafe(tab["_s"]), "inner").where(
-            _kept_if((F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi")))).select(
-            base["_s"], "_k", "_h", "_need")
-        rn = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
-        for row in band.withColumn("_rn", rn).where(F.col("_rn") == F.col("_need")).collect():
-            cut[row["_s"]] = (row["_h"], row["_k"])
-
-    # 3. label every row: a map-only pass against the broadcast cut table.
-    ktype = df.schema[key].dataType
-    f_schema = T.StructType(p_schema.fields + [T.StructField("_ch", T.StringType()),
-                                               T.StructField("_ck", ktype)])
-    f_rows = [(k, v[3], v[4], *cut.get(k, (None, None))) for k, v in plan.items()]
-    f_tab = _small_table(spark, f_rows, f_schema)
-    j = df.withColumn("_sv", s).withColumn("_h", X.hash_order(F.col(key), tag)).withColumn(
-        "_hp", X.hash_prefix(F.col("_h")))
-    j = j.join(f_tab, j["_sv"].eqNullSafe(f_tab["_s"]), "left")
-    in_band = (F.col("_hp") >= F.col("_lo")) & (F.col("_hp") <= F.col("_hi"))
-    upto_cut = (F.col("_h") < F.col("_ch")) | (
-        (F.col("_h") == F.col("_ch")) & (F.col(key) <= F.col("_ck")))
-    sel = (F.col("_hp") < F.col("_lo")) | (in_band & F.coalesce(upto_cut, F.lit(False)))
-    return j.withColumn(out, F.coalesce(sel, F.lit(False))).drop(
-        "_sv", "_s", "_lo", "_hi", "_ch", "_ck", "_h", "_hp")
-
-
-def stratified_sample(df: DataFrame, stratum: str = "stratum", n: int = S.SAMPLE_SIZE,
-                      seed: int = S.SEED, key: str = S.KEY) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, proportional per stratum (#28).
+    hash order ``md5(tag || key), key``."""
+    cut = thresholds(df, stratum, draw, tag, key)
+    j = df.withColumn("_sv", _stratum_col(stratum)).withColumn("_h", X.hash_order(F.col(key), tag))
+    j = j.join(cut, j["_sv"].eqNullSafe(cut["_s"]), "left")
+    upto = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col(key) <= F.col("_ck")))
+    return j.withColumn(out, F.coalesce(upto, F.lit(False))).drop("_sv", "_s", "_ch", "_ck", "_h")
 
-    The result is persisted (``MEMORY_AND_DISK``) when every stratum draws at
-    most ``MAX_RANKED_TAKE`` rows; larger draws go through the band path."""
-    alloc = allocation(df, stratum, Draw("count", n))
-    arows = _collect_allocation(alloc)
-    if all(r["take"] == r["n"] for r in arows):  # the draw is everything
-        return df
-    if max(r["take"] for r in arows) <= MAX_RANKED_TAKE:
-        return draw_first(df, stratum, arows, f"{seed}-", key)
-    return select_first(df, stratum, alloc, f"{seed}-", key, "_selected", arows).where(
-        F.col("_selected")).drop("_selected")
+
+def stratified_sample(df: DataFrame, stratum: str | None = "stratum", n: int | Draw = S.SAMPLE_SIZE,
+                      seed: int = S.SEED, key: str = S.KEY) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows (or what ``Draw`` says), proportional per stratum (#28)."""
+    draw = n if isinstance(n, Draw) else Draw("count", n)
+    return select_first(df, stratum, draw, f"{seed}-", key).where(
+        _kept_if(F.col("_selected"))).drop("_selected")
 
 
 def stratified_split(df: DataFrame, by: str | None = "model", test_frac: float = S.TEST_FRACTION,
@@ -264,8 +136,7 @@ def stratified_split(df: DataFrame, by: str | None = "model", test_frac: float =
     allocated per ``by`` group by largest remainder (#29). NULL is a group.
     Without a ``by`` column the split is plain (one group)."""
     by = by if by and by in df.columns else None
-    alloc = allocation(df, by, Draw("complement_of_fraction", test_frac))
-    d = select_first(df, by, alloc, f"{seed}-split-", key, "_selected")
+    d = select_first(df, by, Draw("complement_of_fraction", test_frac), f"{seed}-split-", key)
     return d.withColumn(out, F.when(F.col("_selected"), F.lit("train")).otherwise(F.lit("test"))).drop(
         "_selected")
 

@@ -1,14 +1,14 @@
-"""Exact quantiles of many columns, computed with bounded memory per task.
+"""Exact quantiles of many columns in two passes, with bounded memory per task.
 
 ``percentile``/``median`` keep every distinct value of a column in one buffer
 and merge the buffers in one task: fine for low-cardinality columns, not for
-a continuous sensor column over billions of rows. Here each target rank is
-found by histogram refinement: every round is one aggregate pass (all
-columns at once, map-side partial counts) over ``BUCKETS`` equal-width
-buckets of the current value range of each target; the bucket that holds the
-rank becomes the next range. A range shrinks at least ``BUCKETS``-fold per
-round, so integer-like columns finish in one round and doubles in a few.
-The result equals the exact (linearly interpolated) quantile.
+a continuous sensor column over billions of rows. Here the first pass takes
+the mergeable sketch ``approx_percentile`` a little below and above each rank;
+its rank error is bounded, so the wanted order statistics lie between. The
+second pass counts the rows below each bracket and the rows per distinct value
+inside it (about four in ``ACCURACY`` of the column), and the values at the
+ranks are read off running sums. No arithmetic on the values, so huge ranges
+and infinities are safe. Equal to the linearly interpolated quantile.
 """
 
 from __future__ import annotations
@@ -16,117 +16,76 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-MAX_ROUNDS = 80
+ACCURACY = 10_000
+
+
+def _between(a: float, b: float, frac: float) -> float:
+    """Linear interpolation that stays finite between finite neighbours."""
+    if a == b or frac == 0:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        # Between a number and an infinity lies the infinity; between both nothing.
+        return math.nan if a == -b else (a if math.isinf(a) else b)
+    if not math.isfinite(b - a):
+        return a * (1 - frac) + b * frac
+    return (a + b) / 2.0 if frac == 0.5 and math.isfinite(a + b) else a + (b - a) * frac
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
-                    buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """``{col: [q(p) for p in probs]}``; NULLs ignored; None for an all-NULL column.
+                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """``{col: [q(p) for p in probs]}``; NULL and NaN ignored; None for a column of them.
 
     Interpolation between the two neighbouring order statistics is linear
     (numpy's default, scikit-learn's median, Spark ``percentile``)."""
-    cols = list(cols)
+    cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    head = x.agg(*aggs).first()
+    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
+                    for i, c in enumerate(cols)])
+    margin = 2.0 / accuracy if accuracy > 2 else 1.0
+    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    head = x.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"c{i}").alias(f"n{i}"),
+        F.percentile_approx(f"c{i}", F.array(*map(F.lit, edges)), F.lit(max(accuracy, 100))).alias(f"e{i}"))]).first()
 
-    # targets: (col, rank) -> [lo, hi, offset]; resolved: (col, rank) -> value
-    state: dict[tuple[str, int], list] = {}
-    resolved: dict[tuple[str, int], float] = {}
-    plan: dict[str, list[tuple[int, int, float]] | None] = {}
-    for c in cols:
-        n = head[f"n_{c}"]
-        if not n:
-            plan[c] = None
-            continue
-        lo, hi = head[f"lo_{c}"], head[f"hi_{c}"]
-        plan[c] = []
-        for p in probs:
-            pos = (n - 1) * float(p)
-            r0, r1 = math.floor(pos), math.ceil(pos)
-            plan[c].append((r0, r1, pos - r0))
-            for r in (r0, r1):
-                if (c, r) in state or (c, r) in resolved:
-                    continue
-                if lo == hi:
-                    resolved[(c, r)] = lo
-                else:
-                    state[(c, r)] = [lo, hi, 0]
-        for r in (0, n - 1):
-            # the extremes are known already
-            if (c, r) in state:
-                resolved[(c, r)] = lo if r == 0 else hi
-                del state[(c, r)]
+    brackets: list[tuple[int, int, float, float]] = []  # (column, probability, low, high)
+    for i in range(len(cols)):
+        if head[f"n{i}"]:
+            e = head[f"e{i}"]
+            brackets += [(i, j, e[2 * j], e[2 * j + 1]) for j in range(len(probs))]
+    if not brackets:
+        return {c: [None] * len(probs) for c in cols}
 
-    rounds = 0
-    while state:
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("exact_quantiles did not converge")
-        ranges = sorted({(c, v[0], v[1]) for (c, _), v in state.items()})
-        rid = {rg: i for i, rg in enumerate(ranges)}
-        hits = []
-        inside = None
-        for i, (c, lo, hi) in enumerate(ranges):
-            v = F.col(c)
-            bucket = F.least(F.lit(buckets - 1),
-                             F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
-                             ).cast("int")
-            cond = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            inside = cond if inside is None else inside | cond
-            hits.append(F.when(cond, F.struct(F.lit(i).alias("r"), bucket.alias("b"),
-                                              v.alias("v"))))
-        # After the first round the ranges are narrow: rows outside all of them
-        # are dropped by a codegen filter, and only the hits of a row are
-        # generated (no null rows to explode and filter afterwards).
-        rows = x.where(inside) if rounds > 1 else x
-        exploded = rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        hist = (exploded.groupBy(F.col("h.r").alias("r"), F.col("h.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx"))
-                .collect())  # at most len(ranges) * buckets small rows
-        by_range: dict[int, list] = {}
-        for row in hist:
-            by_range.setdefault(row["r"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-        for key in list(state):
-            c, r = key
-            lo, hi, offset = state[key]
-            cells = sorted(by_range.get(rid[(c, lo, hi)], []))
-            cum = offset
-            for _, cnt, mn, mx in cells:
-                if r < cum + cnt:
-                    if mn == mx:
-                        resolved[key] = mn
-                        del state[key]
-                    else:
-                        state[key] = [mn, mx, cum]
-                    break
-                cum += cnt
-            else:  # pragma: no cover - ranks always fall inside the histogram
-                raise RuntimeError(f"rank {r} of {c} not found")
+    # Second pass: (bracket, value or NULL for "below") with counts; neighbours of a bracket's
+    # ends are inside, since both ends are values of the column and the margin exceeds the error.
+    hits = F.array_compact(F.array(*[
+        F.when(F.col(f"c{i}") <= F.lit(high), F.struct(
+            F.lit(b).alias("b"), F.when(F.col(f"c{i}") >= F.lit(low), F.col(f"c{i}")).alias("v")))
+        for b, (i, _, low, high) in enumerate(brackets)]))
+    counts = x.select(F.inline(hits)).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
+    running = counts.withColumn("upto", F.sum("c").over(
+        Window.partitionBy("b").orderBy(F.col("v").asc_nulls_first())))
+    wanted = []
+    for b, (i, j, _, _) in enumerate(brackets):
+        pos = (head[f"n{i}"] - 1) * probs[j]
+        wanted += [(b, math.floor(pos)), (b, math.ceil(pos))]
+    at = F.lit(False)
+    for b, r in sorted(set(wanted)):
+        at = at | ((F.col("b") == b) & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r))
+    found: dict[int, list] = {}
+    for row in running.where(at).collect():  # at most two rows per bracket
+        found.setdefault(row["b"], []).append((row["upto"] - row["c"], row["upto"], row["v"]))
 
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if plan[c] is None:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for r0, r1, frac in plan[c]:
-            a, b = resolved[(c, r0)], resolved[(c, r1)]
-            if r0 == r1 or a == b:
-                vals.append(a)
-            elif frac == 0.5:
-                vals.append((a + b) / 2.0)
-            else:
-                vals.append(a + (b - a) * frac)
-        out[c] = vals
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for b, (i, j, _, _) in enumerate(brackets):
+        pos = (head[f"n{i}"] - 1) * probs[j]
+        value = [v for r in (math.floor(pos), math.ceil(pos)) for low, upto, v in found.get(b, ()) if low <= r < upto]
+        if len(value) < 2 or None in value:  # the sketch was off by more than its bound: wider brackets
+            return exact_quantiles(df, cols, probs, max(2, accuracy // 10))
+        out[cols[i]][j] = _between(value[0], value[1], pos - math.floor(pos))
     return out
 
 

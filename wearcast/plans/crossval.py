@@ -15,14 +15,16 @@ from ..operators import metrics as M
 from ..operators import model as ML
 from ..operators.extras import fold_assignment
 from ..operators.preprocess import apply_preprocess, fit_preprocess
+from ..operators.sampling import stratified_sample
 from .training import Prepared
 
 
 def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int = S.SEED,
                    key: str = S.KEY, params: dict | None = None,
-                   parallelism: int = 3) -> DataFrame:
+                   parallelism: int = 3, fit_rows: int = S.SAMPLE_SIZE) -> DataFrame:
     data = fold_assignment(p.split.drop("split"), k, seed, key)
     targets = S.available(data.columns, S.TARGETS)
+    by = "model" if "model" in data.columns else None
 
     def one_fold(fold: int) -> DataFrame:
         d = data.withColumn("split", F.when(F.col("fold") == fold, F.lit("test"))
@@ -30,8 +32,9 @@ def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int =
         prep = fit_preprocess(d.where(F.col("split") == "train"))
         x = apply_preprocess(d, prep).withColumns(
             {t: F.floor(F.col(t)).cast("double") for t in targets})
-        model = ML.fit_multi(x.where(F.col("split") == "train"), prep.features,
-                             {t: t for t in targets}, params or ML.gbt_params(profile))
+        drawn = stratified_sample(d.where(F.col("split") == "train"), by, fit_rows, seed, key).select(key)
+        model = ML.fit_multi(x.join(drawn, key, "left_semi"), prep.features,
+                             {t: t for t in targets}, params or ML.gbt_params(profile), key=key)
         long = M.predictions_long(ML.predict(x, model), targets, key, "split")
         return M.metrics_by_target(long).withColumn("fold", F.lit(fold))
 
@@ -39,3 +42,14 @@ def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int =
     with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
         out = list(pool.map(one_fold, range(k)))
     return reduce(DataFrame.unionByName, out)
+
+
+def fold_metrics(predicted: DataFrame, k: int = 5, seed: int = S.SEED, key: str = S.KEY) -> DataFrame:
+    """Metrics of given ``pred_*`` columns with each fold in turn as the test rows (the aggregation
+    of ``cross_validate``)."""
+    data = fold_assignment(predicted, k, seed, key)
+    targets = S.available(data.columns, S.TARGETS)
+    side = lambda i: F.when(F.col("fold") == i, F.lit("test")).otherwise(F.lit("train"))
+    out = [M.metrics_by_target(M.predictions_long(data.withColumn("split", side(i)), targets, key, "split"))
+           .withColumn("fold", F.lit(i)) for i in range(k)]
+    return reduce(DataFrame.unionByName, out)

@@ -10,6 +10,7 @@ every ORDER BY states its NULL placement.
 from __future__ import annotations
 
 from .. import schema as S
+from ..sources.observations import REQUEST_TEXTS
 
 # The F1 fixture view (FIXTURES.md), verbatim.
 F1 = """SELECT t.*,
@@ -23,7 +24,7 @@ FROM (
     (60 - days_since_comp3_maint) / 5.0E0 + (7 - error_count) * 0.5E0 AS ttf_comp3_weeks,
     (60 - days_since_comp4_maint) / 4.0E0 + (rotate - 300) / 100.0E0 AS ttf_comp4_weeks
   FROM (
-    SELECT ((l_orderkey * 1000000 + l_partkey) * 100000 + l_suppkey) * 10 + l_linenumber AS obs_id,
+    SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS obs_id,
       l_suppkey AS machineID,
       CASE WHEN p_partkey % 101 = 0 THEN NULL
            ELSE concat('model', CAST(1 + p_partkey % 4 AS varchar(10))) END AS model,
@@ -87,6 +88,15 @@ def _hash(tag: str, key: str = "obs_id") -> str:
     return f"md5(concat({q(tag)}, CAST({key} AS VARCHAR)))"
 
 
+def _split(src: str, name: str) -> str:
+    """CTE ``name``: the rows of ``src`` as train and test rows."""
+    return _alloc(src, "model", f"tot - CAST(ceil({S.TEST_FRACTION}E0 * tot) AS BIGINT)", f"{name}_p").lstrip() + f""",
+{name} AS (SELECT r.* EXCLUDE (rn, take), CASE WHEN rn <= take THEN 'train' ELSE 'test' END AS split FROM (
+    SELECT x.*, p.take, row_number() OVER (PARTITION BY x.model
+        ORDER BY {_hash(f'{S.SEED}-split-', 'x.obs_id')}, x.obs_id) AS rn
+    FROM {src} x JOIN {name}_p p ON x.model IS NOT DISTINCT FROM p.stratum) r)"""
+
+
 _ROW_MEAN = ("(coalesce(ttf_comp1_weeks, 0.0E0) + coalesce(ttf_comp2_weeks, 0.0E0) + "
              "coalesce(ttf_comp3_weeks, 0.0E0) + coalesce(ttf_comp4_weeks, 0.0E0))")
 _ROW_N = " + ".join(f"CAST({t} IS NOT NULL AS INTEGER)" for t in T)
@@ -109,6 +119,15 @@ def scaled_sql(c: str) -> str:
     return f"(p.{c} - sc.m_{c}) / CASE WHEN sc.s_{c} = 0 THEN 1.0E0 ELSE sc.s_{c} END"
 
 
+_ORDER = "CAST(split_part(obs_id, '-', 1) AS BIGINT)"
+
+
+def _text(f: str) -> str:
+    """A request text of F3 with what FIXTURES.md plants in it."""
+    planted = " ".join(f"WHEN {_ORDER} % {m} = 0 THEN {q(t)}" for m, c, t in reversed(REQUEST_TEXTS) if c == f)
+    return f"CASE {planted} ELSE CAST({f} AS VARCHAR) END" if planted else f"CAST({f} AS VARCHAR)"
+
+
 BASE = f"""WITH obs AS ({F1}),
 rm AS (SELECT obs.*, CASE WHEN ({_ROW_N}) > 0 THEN {_ROW_MEAN} / ({_ROW_N}) END AS mean_ttf FROM obs),
 st AS (SELECT min(mean_ttf) AS mn_t, max(mean_ttf) AS mx_t,
@@ -119,16 +138,13 @@ lab AS (SELECT rm.*,
     {bin_sql('CAST(age AS DOUBLE)', 'mn_a', 'mx_a', S.AGE_GROUP_LABELS)} AS age_group,
     {bin_sql('CAST(error_count AS DOUBLE)', 'mn_e', 'mx_e', S.ERROR_LEVEL_LABELS)} AS error_level,
     {_STRATUM} AS stratum FROM rm, st),
-{_alloc('lab', 'stratum', f'least(CAST({S.SAMPLE_SIZE} AS BIGINT), tot)', 'salloc')},
+{_alloc('lab', 'stratum', 'CAST(floor(0.2E0 * tot) AS BIGINT)', 'salloc')},
 samp AS (SELECT r.* EXCLUDE (rn, take) FROM (
     SELECT lab.*, salloc.take, row_number() OVER (PARTITION BY lab.stratum
         ORDER BY {_hash(f'{S.SEED}-', 'lab.obs_id')}, lab.obs_id) AS rn
     FROM lab JOIN salloc ON lab.stratum = salloc.stratum) r WHERE rn <= take),
-{_alloc('samp', 'model', f'tot - CAST(ceil({S.TEST_FRACTION}E0 * tot) AS BIGINT)', 'palloc')},
-split AS (SELECT r.* EXCLUDE (rn, take), CASE WHEN rn <= take THEN 'train' ELSE 'test' END AS split FROM (
-    SELECT samp.*, palloc.take, row_number() OVER (PARTITION BY samp.model
-        ORDER BY {_hash(f'{S.SEED}-split-', 'samp.obs_id')}, samp.obs_id) AS rn
-    FROM samp JOIN palloc ON samp.model IS NOT DISTINCT FROM palloc.stratum) r),
+{_split('samp', 'ssplit')},
+{_split('obs', 'split')},
 train AS (SELECT * FROM split WHERE split = 'train'),
 test AS (SELECT * FROM split WHERE split = 'test'),
 cls AS (SELECT v AS class, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST) - 1 AS BIGINT) AS code
@@ -141,7 +157,7 @@ sc AS (SELECT {_SC} FROM proc WHERE split = 'train'),
 scaled AS (SELECT p.obs_id, p.split, {", ".join(f"{scaled_sql(c)} AS {c}" for c in FEATS)} FROM proc p, sc),
 pred AS (SELECT split.*, {", ".join(f"{t} * 0.9E0 - 0.6E0 AS {S.pred_col(t)}" for t in T)} FROM split),
 predall AS (SELECT obs.*, {", ".join(f"{t} * 0.9E0 - 0.6E0 AS {S.pred_col(t)}" for t in T)} FROM obs),
-req AS (SELECT obs_id AS request_id, {", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in FEATS)} FROM obs)
+req AS (SELECT obs_id AS request_id, {_ORDER} AS k, {", ".join(f"{_text(f)} AS {f}" for f in FEATS)} FROM obs)
 """
 
 
@@ -264,8 +280,19 @@ def _coerce_select() -> str:
 
 def queries() -> dict[str, str]:
     out: dict[str, str] = {}
-    out["scan_observations"] = _with() + "SELECT * FROM obs"
-    out["scan_requests"] = _with() + "SELECT * FROM req"
+    out["scan_observations"] = _with() + (
+        f"SELECT * REPLACE (CASE WHEN {_ORDER} % 43 = 0 OR {_ORDER} % 47 = 0 OR {_ORDER} % 49 = 0 "
+        "THEN NULL ELSE volt END AS volt) FROM obs")
+    # Lines by order key: blank, cut off, without an id, without volt.
+    shown = "CASE WHEN k % 83 = 0 OR k % 89 = 0 OR k % 97 = 0 THEN 'md5' ELSE request_id END AS request_id"
+    body = ("CASE WHEN k % 83 = 0 THEN 'empty request body' WHEN k % 89 = 0 THEN 'malformed request body' END")
+    no_volt = "k % 83 <> 0 AND k % 89 <> 0 AND k % 97 <> 0 AND k % 101 = 0"
+    lost = "k % 83 = 0 OR k % 89 = 0"
+    texts = ", ".join(f"CASE WHEN {lost}{f' OR ({no_volt})' if f == 'volt' else ''} THEN NULL ELSE {f} END AS {f}"
+                      for f in FEATS)
+    out["scan_requests"] = _with() + (
+        f"SELECT {shown}, {texts}, CASE WHEN {lost} THEN NULL WHEN {no_volt} THEN 'volt' ELSE '' END "
+        f"AS absent_features, {body} AS error FROM req")
     out["select_features"] = _with() + f"SELECT obs_id, {', '.join(FEATS)}, {', '.join(T)} FROM obs"
     feats_rows = ", ".join(
         f"({i}, {q(f)}, {q('categorical' if f in S.CATEGORICAL_FEATURES else 'numerical')})"
@@ -280,7 +307,11 @@ def queries() -> dict[str, str]:
     out["coerce_numeric"] = _with() + f"SELECT request_id, model, {vals}, {err} AS error FROM req"
     out["known_category"] = _with() + (
         "SELECT request_id, model, coalesce(model, 'unknown') IN (SELECT class FROM cls) AS known FROM req")
-    out["validate_request"] = _with() + f"SELECT request_id, ({err}) IS NULL AS success, {err} AS error FROM req"
+    why = f"coalesce({body}, CASE WHEN {no_volt} THEN 'missing feature(s): volt' END, {err})"
+    out["validate_request"] = _with() + f"SELECT {shown}, ({why}) IS NULL AS success, {why} AS error FROM req"
+    out["score_fleet"] = _with() + (
+        f"SELECT request_id, model, {vals}, ({err}) IS NULL AS success, {err} AS error, "
+        f"CASE WHEN ({err}) IS NULL THEN {len(T)} ELSE 0 END AS n_predictions FROM req")
     out["short_term_rows"] = _with() + (
         f"SELECT obs_id, {', '.join(f'floor({t}) AS {t}' for t in T)} FROM obs "
         f"WHERE least({', '.join(f'floor({t})' for t in T)}) < {S.SHORT_TERM_WEEKS}.0E0")
@@ -305,7 +336,7 @@ def queries() -> dict[str, str]:
         "CAST(count_if(split = 'train') AS BIGINT) AS train_rows, "
         "CAST(count_if(split = 'test') AS BIGINT) AS test_rows, "
         + r6("count_if(split = 'train') / count(*) * 100") + " AS train_pct, "
-        + r6("count_if(split = 'test') / count(*) * 100") + " AS test_pct FROM split")
+        + r6("count_if(split = 'test') / count(*) * 100") + " AS test_pct FROM ssplit")
     out["stratified_sample"] = _with() + "SELECT obs_id, stratum FROM samp"
     out["train_test_split"] = _with() + "SELECT obs_id, model, split FROM split"
     miss = " UNION ALL ".join(
@@ -394,18 +425,32 @@ def queries() -> dict[str, str]:
         "FROM lg WHERE split = 'train'")
     out["fleet_status_counts"] = _with(f"cs AS ({cs})") + (
         "SELECT component, status, count(*) AS n_machines FROM cs GROUP BY component, status")
-    out["fold_assignment"] = _with() + (
-        "SELECT CAST(('0x' || substr(" + _hash(f"{S.SEED}-fold-") + ", 1, 15))::BIGINT % 5 AS INTEGER) AS fold, "
-        "count(*) AS n_rows FROM obs GROUP BY 1")
-    oq = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, "
-        f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM obs" for c in NUM)
-    out["outlier_flags"] = _with(
-        f"qq AS ({oq})",
-        "fe AS (SELECT feature, q1, q3, q1 - 1.5E0 * (q3 - q1) AS lower, q3 + 1.5E0 * (q3 - q1) AS upper FROM qq)",
-        "ol AS (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM obs" for c in NUM) + ")") + (
-        f"SELECT fe.feature, {r6('fe.q1')} AS q1, {r6('fe.q3')} AS q3, {r6('fe.lower')} AS lower, "
-        f"{r6('fe.upper')} AS upper, CAST(count_if(ol.x < fe.lower OR ol.x > fe.upper) AS BIGINT) AS n_outliers "
-        "FROM fe JOIN ol ON fe.feature = ol.feature GROUP BY fe.feature, fe.q1, fe.q3, fe.lower, fe.upper")
+    fold = lambda k: f"CAST(('0x' || substr({_hash(f'{S.SEED}-fold-')}, 1, 15))::BIGINT % {k} AS INTEGER)"
+    out["fold_assignment"] = _with() + f"SELECT obs_id, {fold(5)} AS fold FROM obs"
+    quart = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {p}) AS {c}_{n}" for c in NUM for p, n in ((0.25, "q1"), (0.75, "q3")))
+    out["outlier_flags"] = _with(f"qq AS (SELECT {quart} FROM obs)") + "SELECT obs_id, " + ", ".join(
+        f"CAST({c} < {c}_q1 - 1.5E0 * ({c}_q3 - {c}_q1) OR {c} > {c}_q3 + 1.5E0 * ({c}_q3 - {c}_q1) AS VARCHAR) "
+        f"AS {c}_outlier"
+        for c in NUM) + " FROM obs, qq"
+    corr = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"Target\", '{f}' AS \"Feature\", abs(corr(CAST({f} AS DOUBLE), floor({t}))) AS a FROM obs"
+        for t in T for f in NUM)
+    out["topk_importance"] = _with(
+        f"co AS ({corr})", f'im AS (SELECT "Target", "Feature", {r6('a / sum(a) OVER (PARTITION BY "Target")')} AS "Importance" FROM co)',
+        'rk AS (SELECT *, row_number() OVER (PARTITION BY "Target" ORDER BY "Importance" DESC, "Feature" ASC) AS rank FROM im)') + (
+        f'SELECT "Target", "Feature", "Importance", CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {S.TOP_K_FEATURES}')
+    held = [f"sp.{f} AS orig_{f}" for f in FEATS] + [f"p.{f} AS proc_{f}" for f in FEATS]
+    held += [f"{r6(f'c.{f}')} AS scaled_{f}" for f in FEATS] + [f"sp.{t} AS {t}_orig" for t in T]
+    held += [f"floor(sp.{t}) AS {t}_floor" for t in T] + [f"sp.{t} * 0.9E0 - 0.6E0 AS {S.pred_col(t)}" for t in T]
+    out["holdout_table"] = _with() + (
+        f"SELECT sp.obs_id, {', '.join(held)} FROM split sp JOIN proc p ON sp.obs_id = p.obs_id "
+        "JOIN scaled c ON sp.obs_id = c.obs_id WHERE sp.split = 'test'")
+    out["stream_score"] = out["component_status"]
+    each = " UNION ALL ".join(
+        f"SELECT predall.*, {i} AS fold, CASE WHEN {fold(3)} = {i} THEN 'test' ELSE 'train' END AS split FROM predall"
+        for i in range(3))
+    cv = _metrics().replace("FROM pred", "FROM cvrows").replace("obs_id, split", "obs_id, fold, split").replace(
+        'target AS "Target"', 'fold, target AS "Target"').replace("GROUP BY target", "GROUP BY fold, target")
+    out["cross_validation"] = _with(f"cvrows AS ({each})", cv) + (
+        f'SELECT CAST(fold AS INTEGER) AS fold, "Target", {mr([*mcols, "Overfitting"])}, "Short_Term_Count" FROM metrics')
     return out

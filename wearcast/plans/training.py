@@ -1,16 +1,17 @@
-"""The training pipeline: strata -> exact sample -> features -> stratified
-split -> fit preprocessing on train -> floor targets -> one GBT per target
--> predictions -> metrics and importances -> package.
+"""The training pipeline: features -> exact stratified split of all rows -> fit
+preprocessing on all train rows -> floor targets -> one GBT per target on a
+bounded stratified draw of the train rows -> predictions -> metrics and
+importances -> package.
 
-Eager steps are the "fits" (a few small aggregates collected as literals);
-everything else stays a lazy DataFrame plan for Catalyst.
+Only the model fit is bounded (``fit_rows``, the reference's training size);
+every statistic, transform, prediction and metric covers all rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +20,49 @@ from ..operators import metrics as M
 from ..operators import model as ML
 from ..operators.features import select_features
 from ..operators.preprocess import Prep, encode, fit_preprocess, impute, scale
-from ..operators.sampling import stratified_sample, stratified_split
+from ..operators.sampling import Draw, stratified_sample, stratified_split
 from ..operators.strata import strata_labels
+from ..session import written
 from ..sources.package import Package
 
 
 @dataclass
 class Prepared:
-    obs: DataFrame        # the input observations
-    labelled: DataFrame   # + stratum
-    sample: DataFrame     # exact stratified sample (+ stratum)
-    split: DataFrame      # key, features, targets, split  (persisted)
-    prep: Prep            # fitted on the train rows
+    """The steps up to the model, each worked out when first asked for."""
+    obs: DataFrame                              # the input observations
+    sample_size: int | Draw = S.SAMPLE_SIZE     # of the sampling step and its reports
+    seed: int = S.SEED
+    key: str = S.KEY
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """All rows with their stratum."""
+        return strata_labels(self.obs)
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        """The exact stratified sample (with its strata)."""
+        return stratified_sample(self.labelled, "stratum", self.sample_size, self.seed, self.key)
+
+    @cached_property
+    def sample_split(self) -> DataFrame:
+        """The sample as train and test rows, for the sample report."""
+        return self._split(self.sample)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """Key, features and targets of all rows as train and test rows; the fits pass over it several
+        times, so it is written once to the shared folder."""
+        return written(self._split(self.obs), "split")
+
+    def _split(self, df: DataFrame) -> DataFrame:
+        chosen = select_features(df, keep=(self.key,))
+        return stratified_split(chosen, "model", S.TEST_FRACTION, self.seed, self.key)
+
+    @cached_property
+    def prep(self) -> Prep:
+        """Fitted on all train rows."""
+        return fit_preprocess(self.train)
 
     @property
     def train(self) -> DataFrame:
@@ -41,18 +73,9 @@ class Prepared:
         return self.split.where(F.col("split") == "test")
 
 
-def prepare(obs: DataFrame, sample_size: int = S.SAMPLE_SIZE, seed: int = S.SEED,
-            key: str = S.KEY, persist: bool = True) -> Prepared:
-    labelled = strata_labels(obs)
-    sample = stratified_sample(labelled, "stratum", sample_size, seed, key)
-    if persist and not sample.is_cached:  # at most ``sample_size`` rows, whatever the input size
-        sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    chosen = select_features(sample, keep=(key,))
-    split = stratified_split(chosen, "model", S.TEST_FRACTION, seed, key)
-    if persist:
-        split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    prep = fit_preprocess(split.where(F.col("split") == "train"))
-    return Prepared(obs, labelled, sample, split, prep)
+def prepare(obs: DataFrame, sample_size: int | Draw = S.SAMPLE_SIZE, seed: int = S.SEED,
+            key: str = S.KEY) -> Prepared:
+    return Prepared(obs, sample_size, seed, key)
 
 
 def processed(p: Prepared, key: str = S.KEY) -> DataFrame:
@@ -81,19 +104,23 @@ class Trained:
 
 
 def train(spark: SparkSession, obs: DataFrame, profile: str = "test",
-          sample_size: int = S.SAMPLE_SIZE, seed: int = S.SEED, key: str = S.KEY,
+          fit_rows: int = S.SAMPLE_SIZE, seed: int = S.SEED, key: str = S.KEY,
           params: dict | None = None, parallelism: int = 4,
           prepared: Prepared | None = None) -> Trained:
-    """Fit the package. ``prepared`` reuses an earlier sample, split and
-    preprocessing fit of the same ``obs`` instead of drawing them again."""
-    p = prepared if prepared is not None else prepare(obs, sample_size, seed, key)
+    """Fit the package. ``fit_rows`` bounds the rows the trees are fitted on (an
+    exact draw of the train rows, proportional by model); predictions and metrics
+    cover all rows. ``prepared`` reuses an earlier split and preprocessing fit
+    of the same ``obs``."""
+    p = prepared if prepared is not None else prepare(obs, fit_rows, seed, key)
     data = processed(p, key)
     targets = S.available(data.columns, S.TARGETS)
     params = params or ML.gbt_params(profile)
-    model = ML.fit_multi(data.where(F.col("split") == "train"), p.prep.features,
-                         {t: t for t in targets}, params, parallelism)
-    # reused by the metrics, the holdout and the test predictions; bounded by the sample
-    scored = ML.predict(data, model).persist(StorageLevel.MEMORY_AND_DISK)
+    by = "model" if "model" in p.split.columns else None
+    drawn = stratified_sample(p.train, by, fit_rows, seed, key).select(key)
+    model = ML.fit_multi(data.join(drawn, key, "left_semi"), p.prep.features,
+                         {t: t for t in targets}, params, parallelism, key=key)
+    # Metrics, holdout and test predictions read it: scored once, kept in the shared folder.
+    scored = written(ML.predict(data, model), "scored")
     long = M.predictions_long(scored, targets, key, "split")
     metrics = M.metrics_by_target(long)
     imp = ML.importance(spark, model, p.prep.features)
@@ -103,11 +130,14 @@ def train(spark: SparkSession, obs: DataFrame, profile: str = "test",
 
 
 def holdout(t: Trained, key: str = S.KEY) -> DataFrame:
+    """Test rows of a trained pipeline (#8)."""
+    return holdout_table(t.scored, t.prepared.prep.features, t.package.targets, key)
+
+
+def holdout_table(scored: DataFrame, feats, targets, key: str = S.KEY) -> DataFrame:
     """Test rows: original, processed and scaled features, original and
     floored targets, predictions (#8)."""
-    feats = t.prepared.prep.features
-    targets = t.package.targets
-    test = t.scored.where(F.col("split") == "test")
+    test = scored.where(F.col("split") == "test")
     return test.select(
         key,
         *[F.col(f"orig_{f}") for f in feats],

@@ -76,7 +76,6 @@ GUIDANCE = {
     "age": "Machine age in years",
     "error_count": "Recent error count",
 }
-DAYS_SINCE_GUIDANCE = "Days since {} maintenance"
 
 # The example request and the value for any other feature.
 EXAMPLE_VALUES = {
@@ -93,7 +92,6 @@ SAMPLE_SIZE = 200_000
 SEED = 42
 TEST_FRACTION = 0.2
 SHORT_TERM_WEEKS = 10
-SAMPLE_PICKS = 10
 SAMPLE_SHOWN = 8
 TOP_K_FEATURES = 5
 

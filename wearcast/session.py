@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,7 +32,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or the one
     already set on the context). Only when neither is set, as in tests, a
-    fresh local folder is created and registered.
+    fresh local folder is created and registered; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +41,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="wearcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -50,3 +52,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new unique folder under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once as Parquet to a new shared folder and read back: cuts lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

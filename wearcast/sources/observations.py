@@ -12,7 +12,7 @@ from ..functions import exprs as X
 
 OBSERVATION_SCHEMA = T.StructType(
     [
-        T.StructField("obs_id", T.LongType()),
+        T.StructField("obs_id", T.StringType()),
         T.StructField("machineID", T.LongType()),
         T.StructField("model", T.StringType()),
         T.StructField("volt", T.DoubleType()),
@@ -29,11 +29,12 @@ OBSERVATION_SCHEMA = T.StructType(
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """NaN -> NULL in double columns; keep only one notion of missing."""
+    """NaN and infinities -> NULL in double columns: one notion of missing, and
+    no value that arithmetic over a column can't take."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(X.nan_to_null(f.name).alias(f.name))
+            cols.append(F.when(X.finite(F.col(f.name).cast("double")), F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -72,23 +73,6 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
     return normalise(df)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input read by too few tasks over all cores with one
-    round-robin repartition.
-
-    A parquet file with one row group (or an unsplittable compressed file)
-    is read by one task, however many cores there are. Only when the scan
-    yields fewer partitions than the default parallelism; an input of many
-    files or row groups (any large table) is left alone: no extra shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 # --------------------------------------------------------------------------- fixture views
 
 def fixture_observations(spark: SparkSession, sf_dir: str,
@@ -100,15 +84,15 @@ def fixture_observations(spark: SparkSession, sf_dir: str,
     streaming DataFrame (stream-static join).
     """
     li = lineitem if lineitem is not None else spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    li = spread_small(li.select(
+    li = li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount"))
+        "l_extendedprice", "l_discount")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
     ok, pk, sk, ln = (F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"),
                       F.col("l_linenumber"))
     o = j.select(
-        ((((ok * 1000000 + pk) * 100000 + sk) * 10) + ln).alias("obs_id"),
+        F.concat_ws("-", *[k.cast("string") for k in (ok, pk, sk, ln)]).alias("obs_id"),
         sk.alias("machineID"),
         F.when(F.col("p_partkey") % 101 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("model"), (1 + F.col("p_partkey") % 4).cast("string")))
@@ -148,7 +132,28 @@ def with_fixed_predictions(df: DataFrame) -> DataFrame:
                             for t in S.TARGETS])
 
 
+#: Texts planted in F3 by (modulus of the order key, feature, text).
+REQUEST_TEXTS = ((53, "volt", "abc"), (59, "rotate", "nan"), (61, "pressure", ""), (67, "vibration", "inf"),
+                 (71, "model", "never-seen"), (73, "age", " 7 "), (79, "error_count", "None"))
+
+
 def fixture_requests(df: DataFrame) -> DataFrame:
-    """F3 at scale: ``request_id`` plus the 11 features cast to text."""
-    return df.select(F.col(S.KEY).alias("request_id"),
-                     *[F.col(c).cast("string").alias(c) for c in S.FEATURE_ORDER])
+    """text ``request_id`` plus the 11 features as text, with planted missing
+    tokens, bad numbers, infinities and unseen categories (FIXTURES.md)."""
+    order = F.substring_index(F.col(S.KEY), "-", 1).cast("long")
+    cols = {c: F.col(c).cast("string") for c in S.FEATURE_ORDER}
+    for m, c, text in REQUEST_TEXTS:
+        cols[c] = F.when(order % m == 0, F.lit(text)).otherwise(cols[c])
+    return df.select(F.col(S.KEY).alias("request_id"), *[v.alias(c) for c, v in cols.items()])
+
+
+def fixture_request_lines(df: DataFrame) -> DataFrame:
+    """F3 as JSON lines (column ``value``): some lines are blank, cut off, without an id or without ``volt``."""
+    r = fixture_requests(df)
+    order = F.substring_index("request_id", "-", 1).cast("long")
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    whole, no_id = text("*"), text(*S.FEATURE_ORDER)
+    no_volt = text("request_id", *[c for c in S.FEATURE_ORDER if c != "volt"])
+    return r.select(
+        F.when(order % 83 == 0, F.lit(" ")).when(order % 89 == 0, F.concat(F.lit('{"volt": '), F.col("request_id")))
+        .when(order % 97 == 0, no_id).when(order % 101 == 0, no_volt).otherwise(whole).alias("value"))

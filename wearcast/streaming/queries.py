@@ -1,6 +1,5 @@
 """Stream scoring over the driver tables: ``lineitem`` arrives as a file
-stream, is joined with the static ``part`` table into requests, scored with a
-fitted package and appended to a parquet sink with a checkpoint."""
+stream, is joined with the static ``part`` table and reported on."""
 
 from __future__ import annotations
 
@@ -8,10 +7,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.scoring import component_status
 from ..session import scratch_path
-from ..sources.observations import fixture_observations, fixture_requests
-from ..sources.package import Package
-from .scoring import stream_score
+from ..sources.observations import fixture_observations, with_fixed_predictions
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +22,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.load(path)
 
 
-def stream_score_tables(spark: SparkSession, sf_dir: str, pkg: Package) -> DataFrame:
+def stream_status_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a file stream -> observations -> F2 predictions -> the status report, through a
+    checkpointed parquet sink in the shared folder."""
     li = table_stream(spark, sf_dir, "lineitem")
-    requests = fixture_requests(fixture_observations(spark, sf_dir, lineitem=li))
-    scored = stream_score(requests, pkg)
-    out, ckpt = scratch_path(spark, "stream-scored"), scratch_path(spark, "stream-ckpt")
-    q = (scored.writeStream.format("parquet").outputMode("append")
+    status = component_status(with_fixed_predictions(fixture_observations(spark, sf_dir, lineitem=li)))
+    out, ckpt = scratch_path(spark, "stream-status"), scratch_path(spark, "stream-ckpt")
+    q = (status.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
