@@ -146,7 +146,9 @@ def leaves(classes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
             F.col("_size") * (1 - 1.25 * F.col("_like")) > limit).select("_path"), f"split{level}")
         done = here.join(split, "_path", "left_anti")
         found = done if found is None else found.unionByName(done)
-        rows = sampled.join(split, "_path", "left_semi").select("_k", _children(F.col("_path")).alias("_path"))
+        # Written, since the next level counts the paths and then joins them with their counts.
+        rows = written(sampled.join(split, "_path", "left_semi").select(
+            "_k", _children(F.col("_path")).alias("_path")), f"children{level}")
     return found
 
 
