@@ -166,8 +166,6 @@ GROUP = ["_path", "_p", "_q"]
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa.Table]:
     """Tables of whole groups (rows sorted by GROUP), each of about ``most`` rows or one group."""
-    held: list[pa.RecordBatch] = []
-
     def starts(t: pa.Table) -> np.ndarray:
         cols = [t.column(c).to_numpy() for c in GROUP]
         return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
@@ -189,7 +187,6 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa
         if cut > begin:
             yield t.slice(begin, cut - begin)
         rest = t.slice(cut)
-    del held
     if rest is not None and rest.num_rows:
         s = np.r_[starts(rest), rest.num_rows].tolist()
         begin = 0

@@ -1,14 +1,5 @@
 """Intermediate tables in the shared folder the cluster names in spark.checkpoint.dir."""
 
-from __future__ import annotations
+from wearcast.session import written
 
-from pyspark.sql import DataFrame
-
-from wearcast.session import scratch_path
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written once as Parquet to a new shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["written"]
