@@ -44,3 +44,23 @@ def test_article_of_every_page(spark):
         blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", " " if "br" in b else "", b)).split())
                   for b in re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", inner))]
         assert main_text(r["html"]) == "\n".join(b for b in blocks if b)
+
+
+P = "<p>" + "x" * 49 + " " + "y" * 50 + "</p>"
+ONE = "x" * 49 + " " + "y" * 50
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<main><article>{P * 3}</article><article>{P * 3}</article></main>", [ONE] * 6),
+    (f"<main><h1>Title</h1><p>Lead</p><article>{P * 3}</article></main>", ["Title", "Lead"] + [ONE] * 3),
+    (f"<main><h1>Title</h1>{P}<article>{P * 3}</article></main><nav><a href=/>Home</a></nav>", ["Title"] + [ONE] * 4),
+    (f"<body><article>{P * 3}</article><article><p>Short entry</p></article><article>{P * 3}</article></body>",
+     [ONE] * 3 + ["Short entry"] + [ONE] * 3),
+    (f"<ul><li><a href=/>Menu</a></ul><div><h1>Title</h1></div><p>Lead</p><article>{P * 3}</article>", ["Title", "Lead"] + [ONE] * 3),
+    (f"<div><p>{ONE}</p></div><div><article>{P * 3}</article></div>", [ONE] * 4),
+    # What the threshold leaves out stays out.
+    (f"<article><h1>Title</h1>{P * 3}</article><div><p>ok</p><ul><li><a href=/>More</a><li><a href=/>Yet more</a></ul></div>",
+     ["Title"] + [ONE] * 3),
+])
+def test_text_outside_the_densest_article(page, want):
+    assert main_text(page) == "\n".join(want)

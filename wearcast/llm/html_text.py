@@ -4,7 +4,8 @@ Every node of the page's tree gets its characters per tag, adjusted for how much
 its children's densities says where the text lies. The node with the largest sum is the content, the least
 density on its path to the body is the threshold, and other subtrees that reach it give their own
 largest-sum node. Elements that are never article text (menus, forms, scripts, adverts, comments, ...) leave
-the tree first. Content inside an article element is widened to the whole article.
+the tree first. Content inside an article or main element is widened to the whole of the outermost one, to the
+articles beside it and to the title before it; the threshold pass runs on every page.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ DROP_NAMES = frozenset(
     "cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar widget related "
     "recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
     "comment comments commentlist disqus respond reply replies pagination pager login skip".split())
+ARTICLE = ("article", "main")
 COMMENT_NAMES = frozenset("comment comments reply replies related teaser".split())
 
 TOKEN = re.compile(
@@ -62,7 +64,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
                 name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
-    if tag in ("article", "main"):
+    if tag in ARTICLE:
         return bool(names & COMMENT_NAMES)
     return bool(names & DROP_NAMES) or (not in_article and "header" in names)
 
@@ -124,7 +126,7 @@ class Tree:
             if attributes.endswith("/") and tag not in ("p", "div"):
                 continue
             stack.append(node)
-            articles.append(articles[-1] or tag in ("article", "main"))
+            articles.append(articles[-1] or tag in ARTICLE)
             if not gone and _dropped(tag, attributes, articles[-2]):
                 gone = len(stack) - 1
         self.count = len(self.tag)
@@ -158,6 +160,49 @@ class Tree:
         return density, total
 
 
+def _widen(tree: Tree, kept: list[bool]) -> None:
+    """Adds to each kept node its outermost article or main element, that one's fellow articles and title."""
+    n, parent = tree.count, tree.parent
+    outer = [-1] * n  # the outermost article or main element at or above a node
+    for i in range(1, n):
+        outer[i] = outer[parent[i]] if outer[parent[i]] >= 0 else i if tree.tag[i] in ARTICLE else -1
+    roots = {outer[i] for i in range(n) if kept[i] and outer[i] >= 0}
+    if not roots:
+        return
+    chars, links = [0] * n, [0] * n
+    for node, text in tree.texts:
+        chars[node] += len("".join(text.split()))
+    titled, children = [False] * n, [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        links[i] = chars[i] if tree.tag[i] == "a" else links[i]
+        titled[i] = titled[i] or (tree.tag[i] == "h1" and chars[i] > 0)
+        chars[p], links[p], titled[p] = chars[p] + chars[i], links[p] + links[i], titled[p] or titled[i]
+        children[p].append(i)
+    prose = lambda i: 2 * links[i] <= chars[i]
+    # Articles beside a kept one are parts of the same page, however short.
+    homes = {parent[i] for i in roots if tree.tag[i] == "article"}
+    roots |= {i for h in homes for i in children[h] if tree.tag[i] == "article" and prose(i)}
+    for i in roots:
+        kept[i] = True
+    if any(titled[i] for i in roots):
+        return
+    # A title before the article belongs to it, and so does what stands between them.
+    path = set(roots)
+    for i in roots:
+        while i > 0:
+            i = parent[i]
+            path.add(i)
+    for p in path - roots:
+        held = children[p][::-1]
+        if not any(i in path for i in held):
+            continue
+        first = next(k for k, i in enumerate(held) if i in path)
+        title = next((k for k, i in enumerate(held[:first]) if titled[i]), first)
+        for i in held[title:first]:
+            kept[i] = kept[i] or titled[i] or prose(i)
+
+
 def _content(tree: Tree) -> list[bool]:
     """Which nodes belong to the main text."""
     n = tree.count
@@ -167,24 +212,16 @@ def _content(tree: Tree) -> list[bool]:
         p = tree.parent[i]
         if total[best[i]] > total[best[p]]:
             best[p] = best[i]
-    top = best[0]
-    kept = [False] * n
-    article, i = -1, top
-    threshold = density[top]
+    kept, reached = [False] * n, [False] * n
+    threshold, i = density[best[0]], best[0]
     while i >= 0:
-        if tree.tag[i] in ("article", "main") and article < 0:
-            article = i
         threshold = min(threshold, density[i])
         i = tree.parent[i]
-    if article >= 0:
-        kept[article] = True
-    else:
-        reached = [False] * n
-        for i in range(n):
-            p = tree.parent[i]
-            if (i == 0 or reached[p]) and density[i] >= threshold:
-                reached[i] = True
-                kept[best[i]] = True
+    for i in range(n):
+        if i == 0 or (reached[tree.parent[i]] and density[i] >= threshold):
+            reached[i] = True
+            kept[best[i]] = True
+    _widen(tree, kept)
     for i in range(1, n):
         kept[i] = kept[i] or kept[tree.parent[i]]
     return kept
