@@ -64,3 +64,25 @@ ONE = "x" * 49 + " " + "y" * 50
 ])
 def test_text_outside_the_densest_article(page, want):
     assert main_text(page) == "\n".join(want)
+
+
+REMARK = f"<section class='comments-area'><p>{LONG * 9}</p></section>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='container no-sidebar'><article>{P * 3}</article></div>", [ONE] * 3),
+    (f"<div id='page' class='has-footer'><div>{P * 3}</div></div>", [ONE] * 3),
+    (f"<div class='post category-promo'>{P * 3}</div><div class='ad-box'><p>buy</p></div>", [ONE] * 3),
+    (f"<div class='promo'><main>{P * 3}</main></div>", [ONE] * 3),
+    (f"<div class='widget'>{P * 3}</div><p class='notice'>n</p>", [ONE] * 3),
+    (f"<article class='post has-comments'>{P * 3}{REMARK}</article>", [ONE] * 3),
+    (f"<article class='post comment-status-open'>{P * 3}</article>{REMARK}", [ONE] * 3),
+    (f"<article class='related'>{P * 3}</article>", [ONE] * 3),
+    # Furniture still goes, with the articles of teasers and comments in it.
+    (f"<article>{P * 3}</article><div class='relatedPosts'><article><p>Teaser</p></article></div>", [ONE] * 3),
+    (f"<main><article>{P * 3}</article><ol id=comments><li><article class='comment-body'><p>{LONG * 9}</p></article></ol></main>", [ONE] * 3),
+    (f"<div class='wrap'>{P * 3}</div><div class='sidebar left-sidebar'><p>{LONG}</p></div>", [ONE] * 3),
+    (f"<div class='wrap'>{P * 3}</div><div id='comments'><p>{LONG * 9}</p></div>", [ONE] * 3),
+])
+def test_names_of_layout_wrappers(page, want):
+    assert main_text(page) == "\n".join(want)

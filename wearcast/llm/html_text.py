@@ -40,7 +40,13 @@ DROP_NAMES = frozenset(
     "recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
     "comment comments commentlist disqus respond reply replies pagination pager login skip".split())
 ARTICLE = ("article", "main")
+OUTER_NAMES = DROP_NAMES | {"header"}
 COMMENT_NAMES = frozenset("comment comments reply replies related teaser".split())
+#: First or last parts of class names that tell what a page has or is about, not what the element is.
+STATES = frozenset("has no not non with without hide show category cat tag open closed enabled disabled".split())
+GONE, NAMED, REMARKS = 1, 2, 3
+#: An element of such a name stays if it holds more than this share of a page's text and the page has no article.
+MOST = {NAMED: 0.5, REMARKS: 0.9}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -48,25 +54,41 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _matches(value: str, names: frozenset[str]) -> bool:
+    """Whether a class name or id in ``value`` is one of ``names``, or its first or last part is.
+
+    Names that tell a state or subject of the page ('no-sidebar', 'category-promo', 'comment-status-open') don't count.
+    """
+    for whole in value.split():
+        parts = [x.lower() for x in NAME.findall(whole)]
+        if parts and (parts[0] in names or parts[-1] in names) and (
+                len(parts) == 1 or not (parts[0] in STATES or parts[-1] in STATES or "status" in parts)):
+            return True
+    return False
+
+
+def _dropped(tag: str, attributes: str, in_article: bool) -> int:
+    """GONE: not article text, whatever it holds; NAMED, REMARKS: by its class or id, unless it holds the main text."""
     if tag in DROP_TAGS:
-        return True
+        return GONE
     if tag == "header":
-        return not in_article
+        return 0 if in_article else GONE
     if not attributes.strip(" /") or tag in ("html", "body"):
-        return False
-    names: set[str] = set()
+        return 0
+    values = []
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            names.update(x.lower() for x in NAME.findall(value))
+            values.append(value)
         elif (name == "role" and value.lower() in DROP_ROLES) or name == "hidden" or (
                 name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    if tag in ARTICLE:
-        return bool(names & COMMENT_NAMES)
-    return bool(names & DROP_NAMES) or (not in_article and "header" in names)
+            return GONE
+    if any(_matches(v, COMMENT_NAMES) for v in values):
+        return REMARKS
+    if tag in ARTICLE or not any(_matches(v, DROP_NAMES if in_article else OUTER_NAMES) for v in values):
+        return 0
+    return NAMED
 
 
 class Tree:
@@ -74,6 +96,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.texts = ["body"], [-1], []  # texts: (node, text)
+        named: dict[int, int] = {}  # nodes that go by their name: NAMED or REMARKS
         stack, articles = [0], [False]
         gone = 0  # place on the stack of the element whose content is left out
         at, length = 0, len(page)
@@ -127,14 +150,44 @@ class Tree:
                 continue
             stack.append(node)
             articles.append(articles[-1] or tag in ARTICLE)
-            if not gone and _dropped(tag, attributes, articles[-2]):
+            kind = 0 if gone else _dropped(tag, attributes, articles[-2])
+            if kind == GONE:
                 gone = len(stack) - 1
+            elif kind:
+                named[node] = kind
         self.count = len(self.tag)
+        self.left_out = self._leave_out(named)
+        if named:
+            self.texts = [x for x in self.texts if not self.left_out[x[0]]]
+
+    def _leave_out(self, named: dict[int, int]) -> list[bool]:
+        """Which nodes go with the ``named`` elements: all below these but an article and the page's main text."""
+        n, parent = self.count, self.parent
+        out = [False] * n
+        if not named:
+            return out
+        chars, longest = [0] * n, [0] * n  # longest: characters of the longest article or main element at or below
+        for node, text in self.texts:
+            chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            if self.tag[i] in ARTICLE and i not in named:
+                longest[i] = max(longest[i], chars[i])
+            longest[p] = max(longest[p], longest[i])
+            chars[p] += chars[i]
+        for i in range(1, n):
+            if out[parent[i]]:
+                out[i] = True
+            elif i in named:
+                # Short articles inside are teasers or comments beside a longer one elsewhere.
+                out[i] = 2 * longest[i] < longest[0] if longest[0] else chars[i] <= MOST[named[i]] * chars[0]
+        return out
 
     def densities(self) -> tuple[list[float], list[float]]:
         """(composite density, sum of the children's densities) of every node."""
         n = self.count
-        chars, links, tags, link_tags = [0] * n, [0] * n, [1] * n, [0] * n
+        chars, links, link_tags = [0] * n, [0] * n, [0] * n
+        tags = [0 if out and tag in VOID else 1 for out, tag in zip(self.left_out, self.tag, strict=True)]
         for node, text in self.texts:
             chars[node] += len(text.split()) and len(" ".join(text.split()))
         for i in range(n - 1, -1, -1):
