@@ -73,3 +73,27 @@ def test_tables(spark):
     assert decontaminate(awkward(spark), items).count() == len(awkward_rows())
     assert find_leaks(empty(spark), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
     assert decontaminate(docs, items.limit(0)).count() == len(rows)
+
+
+SHORT = [(1, "Who wrote Hamlet?"), (2, "x^2+y^2=z^2"), (3, "C++"), (4, "∑ ≠ ∫"), (5, "-3.5"), (6, "谁写了哈姆雷特？"), (7, "42"),
+         (8, " \n"), (9, None), (10, "who wrote hamlet"), (11, "f(x) = {x_1}")]
+TEXTS = {
+    "Quiz:\nWHO wrote\tHamlet - an actor?": {1, 10}, "who wrote hamlets": set(), "knowho wrote hamlet": set(),
+    "so x^2 + y^2 = z^2 holds": {2}, "x 2 y 2 z 2": set(), "x^2+y^2=z^25": set(), "learn c++": {3}, "learn c": set(),
+    "∑≠∫": {4}, "∑ = ∫": set(), "it is -3.5 today": {5}, "it is 3.5 today": set(), "请问谁写了哈姆雷特呢": {6},
+    "the answer 42.": {7}, "1422": set(), "": set(), "def f(x)={x_1};": {11},
+}
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame(SHORT + [(20, prose(700, 12))], "item_id long, text string")
+    want = {(i, k) for i, found in enumerate(TEXTS.values()) for k in found}
+    for block in (500_000, 20):
+        rows = find_leaks(docs, items, block_chars=block).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+        assert all(r["distance"] == r["budget"] == 0 for r in rows)
+        kept = {r["doc_id"] for r in decontaminate(docs, items, block_chars=block).collect()}
+        assert kept == {i for i, found in enumerate(TEXTS.values()) if not found} | {99}
+    first = next(r for r in rows if r["item_id"] == 1)
+    assert normalise(next(iter(TEXTS)))[first["start"]:first["end"]] == "who wrote hamlet"

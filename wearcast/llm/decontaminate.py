@@ -6,6 +6,9 @@ are found in one pass over each document by an Aho-Corasick automaton. The piece
 tree: if a node with p pieces has at most p - 1 errors, so has one of its halves for its own pieces. A hit
 is therefore verified upwards, each node by Myers' bit-parallel distance in a window around the hit, and
 chance hits end at the first, short node.
+
+Short items have no room for errors: they are found by their exact words, or, where symbols carry their
+meaning (formulas, code, numbers with signs), by their exact words and symbols.
 """
 
 from __future__ import annotations
@@ -24,6 +27,14 @@ BLOCK_CHARS = 500_000
 #: Results of short verifications that a worker remembers.
 MEMO = 50_000
 WORD = re.compile(r"[^\W_]+")
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+#: How an item is searched: with errors, by its exact words, by its exact words and symbols.
+EDITS, WORDS, SYMBOLS = range(3)
+#: Signs that sentences have; any other one, or any in an item without letters, is part of a formula or of code.
+SENTENCE = frozenset(".,;:?!'\"()-\u2010\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u00ab\u00bb\u2026\u00a1\u00bf"
+                     "\u3001\u3002\uff0c\uff1f\uff01\uff1a\uff1b\u060c\u061f\u0964")
+#: Scripts written without spaces (Thai to Khmer, kana, Han): there a word may begin or end anywhere.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
@@ -31,6 +42,23 @@ def normalise(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+def with_symbols(text: str) -> str:
+    """Lower-case words and single symbols with one space between them."""
+    return " ".join(TOKEN.findall(text.lower()))
+
+
+def searched_form(text: str, min_chars: int) -> tuple[str, int]:
+    """(the form in which an item is looked for, EDITS, WORDS or SYMBOLS); a blank item has the form ''."""
+    words = normalise(text)
+    if words and len(words) >= min_chars:
+        return words, EDITS
+    signs = set(with_symbols(words and text)) - set(words) - {" "}
+    letters = any(c.isalpha() for c in words)
+    if words and (signs <= SENTENCE if letters else not signs):
+        return words, WORDS
+    return with_symbols(text), SYMBOLS
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """(least edit distance of ``pattern`` to any part of ``text``, end of the first such part)."""
     m = len(pattern)
@@ -121,25 +149,73 @@ class Matcher:
         return found
 
 
+class Exact:
+    """Finds short items in texts of their own form, between spaces (in scripts without spaces anywhere)."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        numbers: dict[str, list[int]] = {}
+        for number, text in items:
+            numbers.setdefault(text, []).append(number)
+        for text, held in numbers.items():
+            before, after = ("" if UNSPACED.match(c) else " " for c in (text[0], text[-1]))
+            # The text is searched with a space at both ends, so places are one too high.
+            self.automaton.add_word(before + text + after, (len(text) + len(after), len(text), held))
+        self.automaton.make_automaton()
+
+    def find(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """item number: (0, start, end) of its first copy in ``text``."""
+        found: dict[int, tuple[int, int, int]] = {}
+        for last, (back, size, numbers) in self.automaton.iter(f" {text} "):
+            if numbers[0] not in found:
+                start = last - back
+                found.update(dict.fromkeys(numbers, (0, start, start + size)))
+        return found
+
+
+class Finder:
+    """Finds all items of one block, (item id, form, way of searching), in raw texts."""
+
+    def __init__(self, items: list[tuple[int, str, int]], rate: float):
+        of = lambda way: [(i, x[1]) for i, x in enumerate(items) if x[2] == way]
+        self.numbers = [i for i, _ in of(EDITS)]
+        self.edits = Matcher(of(EDITS), rate) if self.numbers else None
+        self.words, self.symbols = (Exact(of(way)) if of(way) else None for way in (WORDS, SYMBOLS))
+
+    def find(self, text: str) -> dict[int, tuple[int, int, int]]:
+        found: dict[int, tuple[int, int, int]] = {}
+        if self.edits or self.words:
+            plain = normalise(text)
+            if self.edits:
+                found = {self.numbers[i]: copy for i, copy in self.edits.find(plain).items()}
+            if self.words:
+                found |= self.words.find(plain)
+        if self.symbols:
+            found |= self.symbols.find(with_symbols(text))
+        return found
+
+
 def item_blocks(items: DataFrame, item_key: str, text: str, min_chars: int, block_chars: int):
-    """Lists of (item id, normalised text), each of bounded size; equal items once; short ones left out."""
+    """Lists of (item id, searched form, way of searching), each of bounded size; equal items once; blank ones left out."""
     rows = items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // block_chars)
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
-        kept = sorted(((r["k"], normalise(r["t"])) for r in part), key=lambda x: (x[0] is None, x))
-        kept = [x for x in kept if len(x[1]) >= min_chars]
+        kept = sorted(((r["k"], *searched_form(r["t"], min_chars)) for r in part), key=lambda x: (x[0] is None, x))
+        kept = [x for x in kept if x[1]]
         if kept:
             yield kept
 
 
-def _searching(items: list[tuple[int, str]], rate: float) -> Callable[[], Matcher]:
-    held: list[Matcher] = []
+def _searching(items: list[tuple[int, str, int]], rate: float) -> Callable[[], Finder]:
+    held: list[Finder] = []
 
-    def matcher() -> Matcher:
+    def matcher() -> Finder:
         if not held:
-            held.append(Matcher(items, rate))
+            held.append(Finder(items, rate))
         return held[0]
 
     return matcher
@@ -153,9 +229,12 @@ def find_leaks(
 
     Texts are compared as lower-case words with one space between; ``start`` and ``end`` count code points
     of that form. An item is found if its edit distance to some part of the document is at most ``rate`` of
-    its length. Items under ``min_chars`` (empty and null ones too) are never searched; null documents hold
-    nothing; documents are searched row by row, so repeated rows give repeated results. Items pass through
-    the tasks in blocks of bounded size: more items mean more passes, not more memory.
+    its length. Items under ``min_chars`` in that form are found by exact copies of their whole words (budget
+    0); those with symbols beyond sentence marks, or with marks but no letters, by exact copies of their words
+    and symbols, whose places count in the form that keeps each symbol as a word. Null and blank items have
+    nothing to look for; null documents hold nothing; documents are searched row by row, so repeated rows give
+    repeated results. Items pass through the tasks in blocks of bounded size: more items mean more passes, not
+    more memory.
     """
     spark = docs.sparkSession
     schema = (f"`{key}` {docs.schema[key].dataType.simpleString()}, "
@@ -169,10 +248,11 @@ def find_leaks(
         def work(batch: pa.RecordBatch, block=block, matcher=matcher) -> pa.RecordBatch | None:
             row, item, spans = [], [], []
             for i, t in enumerate(as_text(batch.column(1)).to_pylist()):
-                for number, (distance, start, end) in sorted(matcher().find(normalise(t)).items()):
+                for number, (distance, start, end) in sorted(matcher().find(t).items()):
                     row.append(i)
                     item.append(block[number][0])
-                    spans.append((distance, int(rate * len(block[number][1])), start, end))
+                    _, form, way = block[number]
+                    spans.append((distance, int(rate * len(form)) if way == EDITS else 0, start, end))
             if not row:
                 return None
             cols = [pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True), arrow, strict=True)]
@@ -194,7 +274,7 @@ def decontaminate(
         matcher = _searching(block, rate)
 
         def work(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
-            clean = [not matcher().find(normalise(t)) for t in as_text(batch.column(at)).to_pylist()]
+            clean = [not matcher().find(t) for t in as_text(batch.column(at)).to_pylist()]
             return batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(by_slice(work, text), docs.schema)
