@@ -53,3 +53,14 @@ def test_awkward_rows(spark):
     kept = keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == told.where("kept").count()
     assert quality_rules(empty(spark)).count() == 0 and keep_good(empty(spark)).count() == 0
+
+
+def test_longest_repeat_rejects_alone(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = lambda n, most: f"{words('p', most)} {words('v', n - 2 * most)} {words('p', most)}"
+    docs = spark.createDataFrame([(1, twice(400, 70)), (2, twice(20_000, 3_900)), (3, twice(400, 60)), (4, twice(300, 50))],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert [got[i]["kept"] for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert all(not r["base_failed"] and r["covered_words"] <= 0.4 * r["n_words"] for r in got.values())
+    assert {r["doc_id"] for r in keep_good(docs).collect()} == {3, 4}

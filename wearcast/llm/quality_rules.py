@@ -110,13 +110,14 @@ def measure(texts: pa.Array, least: int) -> dict[str, np.ndarray]:
 
 def quality_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least_repeat: int = 10,
-    max_covered: float = 0.4, max_longest: float = 0.25, longest_words: int = 50,
+    max_covered: float = 0.4, max_longest: float = 0.15, longest_words: int = 50,
 ) -> DataFrame:
     """One row per document: its counts, whether the base rules reject it, and the verdict.
 
     Kept: at least 50 words, at most half of the words in repeated 3-word windows, at most ``max_covered``
     of the words in repeated passages of ``least_repeat`` words or more, and no repeated passage longer than
-    both ``longest_words`` words and ``max_longest`` of the text.
+    both ``longest_words`` words and ``max_longest`` of the text. Two copies cover twice their share, so only
+    below half of ``max_covered`` does ``max_longest`` reject a passage pasted twice on its own.
 
     A null or empty text has no words and is not kept. Rows are judged one by one: repeated rows give
     repeated results, a null key is passed through, and a text of any length is read whole.
@@ -144,7 +145,7 @@ def verdicts(texts: pa.Array, least_repeat: int, max_covered: float, max_longest
 
 
 def keep_good(docs: DataFrame, text: str = "text", least_repeat: int = 10, max_covered: float = 0.4,
-              max_longest: float = 0.25, longest_words: int = 50) -> DataFrame:
+              max_longest: float = 0.15, longest_words: int = 50) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, all columns unchanged; one pass without a join."""
     at = docs.columns.index(text)
 
