@@ -1,9 +1,9 @@
 """Line dedup: lines that many documents share stay in one document only.
 
-Line keys become 128-bit hashes, range-partitioned by (hash, document) and sorted by position inside, so a
-line that a third of all documents holds spreads over many tasks. The sorted stream gives one row per
-(hash, document); a partial aggregate per hash then yields the number of documents and the one that keeps
-the line. What returns to the documents is a run-length-compressed keep bitmap, not text.
+Line keys become 128-bit hashes, range-partitioned by (hash, document), so a line that a third of all
+documents holds spreads over many tasks. Hash aggregates take the place of a sorted stream of first
+occurrences: one gives a row per (hash, document), and a partial aggregate per hash then yields the number of
+documents and the one that keeps the line. What returns to the documents is a run-length-compressed keep bitmap, not text.
 """
 
 from __future__ import annotations
@@ -45,11 +45,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         .select("_d", "_t", "_pos", k.alias("_k"))
         .where(F.length("_k") >= min_chars)
         .select(F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(7), "_k").alias("_h2"), "_d", "_t", "_pos"), "lines")
-    held = (  # the range partitioning already clusters the grouping, so this adds no shuffle
-        lines.repartitionByRange("_h1", "_h2", "_d")
-        .sortWithinPartitions("_h1", "_h2", "_d", "_pos")
-        .groupBy("_h1", "_h2", "_d").agg(F.min("_pos").alias("_first"))
-    )
+    # The range partitioning already clusters the grouping, so this adds no shuffle.
+    held = lines.select("_h1", "_h2", "_d").repartitionByRange("_h1", "_h2", "_d").distinct()
     common = (
         held.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_keep"))
         .where(F.col("_n") >= min_docs).drop("_n")
