@@ -2,8 +2,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from tests.llm.common import awkward, awkward_rows, empty, prose
-from wearcast.llm.jaccard_join import components, jaccard_join, one_per_group, runs_needed
+from wearcast.llm.jaccard_join import COORDINATES, _groups, components, jaccard_join, leaves, one_per_group, runs_needed
 
 
 def brute(rows, words=5, similarity=0.8):
@@ -100,3 +104,26 @@ def test_components(spark):
 
 def test_runs():
     assert runs_needed(0.999, 0.8, 4) < runs_needed(0.99999, 0.8, 4) and runs_needed(0.99, 0.95, 4) <= 4
+
+
+def test_blocks_are_bounded_by_shingles(spark):
+    sig = F.array(*[F.lit(c) for c in range(COORDINATES)])  # near copies: all in one bucket
+    classes = spark.range(60).select(F.col("id").alias("_k"), F.lit(5_000).alias("_n"), sig.alias("_sig"))
+    for most, blocks in ((4_000_000, 1), (50_000, 6), (10, 60)):
+        cut = leaves(classes, 2, 4, 20, 1_000, most).select("_size", "_blocks").distinct().collect()
+        assert [tuple(r) for r in cut] == [(60, blocks)]
+    rows = [(i, t) for i, t in corpus() if 190 < len((t or "").split()) < 230]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *x) for (i, _), x in brute(rows).items())
+    assert max(x[2] for x in want) > 100 and told(jaccard_join(docs, block_shingles=4_000)) == want
+
+
+def test_groups_are_bounded_by_bytes():
+    n = 40  # two rows a group, 1,000 bytes a row
+    path = np.repeat(np.arange(n // 2), 2)
+    t = pa.record_batch([pa.array(path), pa.array(path * 0), pa.array(path * 0), pa.array([b"x" * 1_000] * n, pa.binary())],
+                        names=["_path", "_p", "_q", "_set"])
+    for batches in ([t], [t.slice(i, 1) for i in range(n)]):
+        sizes = [x.num_rows for x in _groups(iter(batches), most_bytes=10_000)]
+        assert sum(sizes) == n and max(sizes) <= 10 and not any(x % 2 for x in sizes)
+    assert [x.num_rows for x in _groups(iter([t]), most_bytes=1_000)] == [2] * 20

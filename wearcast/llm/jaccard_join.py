@@ -8,7 +8,7 @@ in a run with known probability, and the number of runs follows from the target
 
 A pair is compared in one bucket only, the smallest path that both hold, so bucket results can be added up
 without listing pairs: a bucket yields per class its number of links and the root of its local component.
-Buckets that stay large (thousands of near copies) are cut into blocks, and every pair of blocks is a group
+Buckets that stay large (thousands of near copies, or fewer long ones) are cut into blocks, and every pair of blocks is a group
 of its own. The comparison first drops pairs far apart by their sampled tokens, then counts exactly on the
 shingle sets.
 """
@@ -33,6 +33,8 @@ COORDINATES = 64
 FACTORS = np.random.default_rng(20).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Groups of up to so many rows are compared pair by pair, larger ones as matrices.
 DENSE = 128
+#: A block holds about this many shingles at most, 8 bytes each; a pair of blocks twice as many.
+BLOCK_SHINGLES = 4_000_000
 
 
 # Shingles -----------------------------------------------------------------------------------------------
@@ -119,13 +121,16 @@ def _children(path: Column) -> Column:
     return F.explode(F.when(two & (pick(1) != pick(2)), F.array(child(1), child(2))).otherwise(F.array(child(1))))
 
 
-def leaves(classes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
-    """(_k, _path, _size): the buckets of at least two classes where the splitting ended.
+def leaves(classes: DataFrame, runs: int, depth: int, limit: int, block: int, block_shingles: int) -> DataFrame:
+    """(_k, _path, _size, _blocks): the buckets of at least two classes where the splitting ended.
 
     ``limit`` is what moving a row costs in comparisons. Splitting s classes of mean similarity j moves 1.25 s
     rows and leaves 1.25 j of the comparisons, so a bucket is split while s (1 - 1.25 j) exceeds the limit;
-    near copies, which no split would part, are compared at once.
+    near copies, which no split would part, are compared at once. ``_blocks``: into how many blocks a bucket is
+    cut, by its classes and by the shingles of all of them.
     """
+    n = F.count(F.lit(1))
+    parts = F.least(n, F.ceil(F.greatest(n / F.lit(block), F.sum("_n") / F.lit(block_shingles)))).cast("int")
     order = np.random.default_rng(runs).permutation(COORDINATES).tolist()
     roots, at = [], 0
     for run in range(runs):
@@ -133,22 +138,22 @@ def leaves(classes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
             c = order[at % COORDINATES]
             roots.append(F.xxhash64(F.lit(run), F.lit(c), F.get("_sig", F.lit(c))))
             at += 1
-    rows = classes.select("_k", F.explode(F.array(*roots)).alias("_path"))
+    rows = classes.select("_k", "_n", F.explode(F.array(*roots)).alias("_path"))
     found = None
     for level in range(1, depth + 1):
-        size = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-        here = written(rows.join(size, "_path").select("_k", "_path", "_size"), f"paths{level}")
+        size = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_size"), parts.alias("_blocks")).where("_size > 1")
+        here = written(rows.join(size, "_path").select("_k", "_path", "_size", "_blocks"), f"paths{level}")
         large = here.where(F.col("_size") > limit)
         if level == depth or large.isEmpty():
             return here if found is None else found.unionByName(here)
-        sampled = written(large.join(classes.select("_k", "_sig"), "_k"), f"large{level}")
+        sampled = written(large.join(classes.select("_k", "_n", "_sig"), "_k"), f"large{level}")
         split = written(sampled.groupBy("_path", "_size").agg(_likeness().alias("_like")).where(
             F.col("_size") * (1 - 1.25 * F.col("_like")) > limit).select("_path"), f"split{level}")
         done = here.join(split, "_path", "left_anti")
         found = done if found is None else found.unionByName(done)
         # Written, since the next level counts the paths and then joins them with their counts.
         rows = written(sampled.join(split, "_path", "left_semi").select(
-            "_k", _children(F.col("_path")).alias("_path")), f"children{level}")
+            "_k", "_n", _children(F.col("_path")).alias("_path")), f"children{level}")
     return found
 
 
@@ -164,34 +169,42 @@ def _likeness() -> Column:
 GROUP = ["_path", "_p", "_q"]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa.Table]:
-    """Tables of whole groups (rows sorted by GROUP), each of about ``most`` rows or one group."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 2_000, most_bytes: int = 16 * BLOCK_SHINGLES) -> Iterator[pa.Table]:
+    """Tables of whole groups (rows sorted by GROUP), each of about ``most`` rows, ``most_bytes`` of sets or one group."""
     def starts(t: pa.Table) -> np.ndarray:
         cols = [t.column(c).to_numpy() for c in GROUP]
         return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
 
+    def costs(t: pa.Table) -> np.ndarray:
+        """Of the first rows together, a row's cost being the larger of its shares in both limits, times ``most``."""
+        each = np.ones(t.num_rows)
+        if "_set" in t.column_names:
+            each = np.maximum(each, pc.binary_length(t.column("_set")).to_numpy() * (most / most_bytes))
+        return np.r_[0, np.cumsum(each)]
+
     rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        if t.num_rows < most:
+        cost = costs(t)
+        if cost[-1] < most:
             rest = t
             continue
         s = starts(t)
         cut = int(s[-1])
         begin = 0
         for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True):
-            if b - begin > most and a > begin:
+            if cost[b] - cost[begin] > most and a > begin:
                 yield t.slice(begin, a - begin)
                 begin = a
         if cut > begin:
             yield t.slice(begin, cut - begin)
         rest = t.slice(cut)
     if rest is not None and rest.num_rows:
-        s = np.r_[starts(rest), rest.num_rows].tolist()
+        s, cost = np.r_[starts(rest), rest.num_rows].tolist(), costs(rest)
         begin = 0
         for a, b in zip(s[:-1], s[1:], strict=True):
-            if b - begin > most and a > begin:
+            if cost[b] - cost[begin] > most and a > begin:
                 yield rest.slice(begin, a - begin)
                 begin = a
         yield rest.slice(begin)
@@ -343,12 +356,12 @@ def _by_group(work):
 
 
 def link_counts(docs: DataFrame, classes: DataFrame, similarity: float, size: int, recall: float, depth: int,
-                limit: int, block: int, text: str) -> DataFrame:
+                limit: int, block: int, block_shingles: int, text: str) -> DataFrame:
     """(_k, _links, _root): partial link counts and local component roots of linked classes."""
     runs = runs_needed(recall, similarity, depth)
-    leaf = written(leaves(classes, runs, depth, limit), "leaves")
+    leaf = written(leaves(classes, runs, depth, limit, block, block_shingles), "leaves")
     own = leaf.groupBy("_k").agg(F.collect_list(F.shiftright("_path", 32).cast("int")).alias("_own"))
-    blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
+    blocks = F.col("_blocks")
     mine = F.pmod(F.xxhash64("_k"), blocks).cast("int")
     placed = (
         leaf.withColumn("_b", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -406,6 +419,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_join(
     docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99999, depth: int = 4,
     limit: int = 200, block: int = 1_000, key: str = "doc_id", text: str = "text",
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(key, _k, class_id, n_links, group_id) for every row.
 
@@ -424,7 +438,7 @@ def jaccard_join(
     classes = written(
         sampled.groupBy("_k").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
         .withColumn("_m", F.coalesce("_least", "_k")), "classes")
-    found = link_counts(rows, classes.where("_n > 0"), similarity, words, recall, depth, limit, block, text)
+    found = link_counts(rows, classes.where("_n > 0"), similarity, words, recall, depth, limit, block, block_shingles, text)
     links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
     label = components(found)
     grouped = classes.select("_k", "_least").join(label, "_k", "left").join(links, "_k", "left").withColumn(
