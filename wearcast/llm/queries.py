@@ -8,6 +8,7 @@ from wearcast.llm.jaccard_join import op4_jaccard_join
 from wearcast.llm.language_id import op9_language_id
 from wearcast.llm.line_dedup import OP8_SQL, op8_line_dedup
 from wearcast.llm.packing import op5_best_fit_packing
+from wearcast.llm.periodic_runs import op13_periodic_runs
 from wearcast.llm.quality_classifier import op10_quality_classifier
 from wearcast.llm.quality_rules import op7_quality_rules
 from wearcast.llm.sharding import op1_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
