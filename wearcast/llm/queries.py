@@ -12,6 +12,7 @@ from wearcast.llm.periodic_runs import op13_periodic_runs
 from wearcast.llm.quality_classifier import op10_quality_classifier
 from wearcast.llm.quality_rules import op7_quality_rules
 from wearcast.llm.sharding import op1_sharding
+from wearcast.llm.token_alignment import op12_token_alignment
 from wearcast.llm.token_counts import op11_token_counts
 from wearcast.llm.token_files import op6_token_files
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
