@@ -46,6 +46,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def joined(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes in a row, where each entry starts)."""
+    size = np.array([len(x) for x in entries], np.int64)
+    return np.frombuffer(b"".join(entries), np.uint8), np.cumsum(size) - size
+
+
+def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... (``size`` of them) of every entry, one entry after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
+
+
 class Sides:
     """Both tokenizers, the bytes of their entries, and the list of possible links."""
 
@@ -65,6 +77,11 @@ class Sides:
                         for x in pieces]
         self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
         self.mark_a, self.mark_b = (np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b))
+        self.raw_a, self.first_a = joined(self.bytes_a)
+        self.raw_b, self.first_b = joined(self.bytes_b)
+        numbers = [b"%d," % i for i in range(max(len(names), len(pieces)))]
+        self.raw_number, self.first_number = joined(numbers)
+        self.digits = np.array([len(x) for x in numbers])
         self.links = self._possible_links()
         self.forget()
 
@@ -90,49 +107,48 @@ class Sides:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def _groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The tokens of a verified window between the offsets where tokens of both sides end."""
-        out, i, j, i0, j0 = [], 0, 0, 0, 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            if end_a == end_b:
-                out.append((a[i0:i + 1], b[j0:j + 1]))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return out
-                i0, j0 = i, j
-                end_a += len(self.bytes_a[a[i]])
-                end_b += len(self.bytes_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            else:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-
     def _learn(self, keys: list[bytes]) -> None:
-        links, count = [], []
-        for key in keys:
-            ids = np.frombuffer(key, np.uint32)
-            cut = int(np.count_nonzero(ids < SIDE_B))
-            a, b = ids[:cut].tolist(), (ids[cut:] - SIDE_B).tolist()
-            text = b"".join(map(self.bytes_a.__getitem__, a))
-            good = bool(a) and bool(b) and text == b"".join(map(self.bytes_b.__getitem__, b))
-            groups = self._groups(a, b) if good else []
-            self.good.append(good)
-            self.text.append(text)
-            self.shown.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            links += [x[-1] * SIDE_B + y[-1] for x, y in groups]
-            count.append(len(groups))
-            self.held += len(ids)
-        code = np.array(links, np.int64)
-        at = np.searchsorted(self.links, code)
-        if len(code) and not (self.links[at] == code).all():
+        """Align windows that aren't remembered yet, all of them in whole-array steps."""
+        ids = np.frombuffer(b"".join(keys), np.uint32)
+        of = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+        on_b = ids >= SIDE_B
+        a, b = ids[~on_b].astype(np.int64), ids[on_b].astype(np.int64) - SIDE_B
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # a window's sides are equally long
+        raw = self.raw_a[gather(self.first_a[a], self.size_a[a])]
+        agree = raw == self.raw_b[gather(self.first_b[b], self.size_b[b])]
+        edge = np.concatenate(([0], np.cumsum(np.bincount(of[~on_b], self.size_a[a], len(keys)).astype(np.int64))))
+        good = np.logical_and.reduceat(agree, edge[:-1]) if len(keys) else agree
+        # Groups end where tokens of both sides end: i and j are their last tokens.
+        at = np.minimum(np.searchsorted(end_b, end_a), max(len(end_b) - 1, 0))
+        i = np.flatnonzero(end_b[at] == end_a)
+        j = at[i]
+        held_by = of[~on_b][i]
+        pair = a[i] * SIDE_B + b[j]
+        link = np.minimum(np.searchsorted(self.links, pair), len(self.links) - 1)
+        if not (self.links[link] == pair)[good[held_by]].all():
             raise ValueError("a link outside the list of possible ones")
+        # The shown form: each group's ids of A, then of B, every id with the sign that follows it.
+        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        place_a = np.arange(len(a)) + np.concatenate(([0], j + 1))[group_a]
+        place_b = np.arange(len(b)) + (i + 1)[group_b]
+        number, sign = np.empty(len(ids), np.int64), np.full(len(ids), ord(","), np.uint8)
+        number[place_a], number[place_b] = a, b
+        sign[place_a[i]], sign[place_b[j]] = ord("|"), ord(";")
+        size = self.digits[number]
+        shown = self.raw_number[gather(self.first_number[number], size)]
+        last = np.cumsum(size)
+        shown[last - 1] = sign
+        shown, raw = shown.tobytes().decode(), raw.tobytes()
+        stop = np.concatenate(([0], last))[np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(keys)))))].tolist()
+        edge = edge.tolist()
+        self.shown += [shown[x:y - 1] for x, y in zip(stop[:-1], stop[1:], strict=True)]
+        self.text += [raw[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        self.good += good.tolist()
         self.index.update(zip(keys, range(len(self.count), len(self.count) + len(keys)), strict=True))
-        self.pool = np.concatenate([self.pool, at.astype(np.uint32)])
-        self.count = np.concatenate([self.count, np.array(count, np.int64)])
+        self.pool = np.concatenate([self.pool, link.astype(np.uint32)])
+        self.count = np.concatenate([self.count, np.bincount(held_by, minlength=len(keys)).astype(np.int64)])
         self.first = np.cumsum(self.count) - self.count
+        self.held += len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids, A's ids per text, B's ids, B's ids per text) of non-empty texts."""
@@ -190,9 +206,8 @@ class Sides:
             window, doc = self.windows(a, each_a, b, each_b)
             cut = np.searchsorted(doc, np.arange(len(live) + 1)).tolist()
             many, first, window_list = self.count[window], self.first[window], window.tolist()
-            end = np.cumsum(many)
-            codes = self.pool[np.repeat(first - end + many, many) + np.arange(int(end[-1]))].astype("<u4")
-            edge = np.concatenate(([0], end))
+            codes = self.pool[gather(first, many)].astype("<u4")
+            edge = np.concatenate(([0], np.cumsum(many)))
             for d, at in enumerate(live.tolist()):
                 own = window_list[cut[d]:cut[d + 1]]
                 if not all(map(self.good.__getitem__, own)):
@@ -202,7 +217,7 @@ class Sides:
                 text = ";".join(map(self.shown.__getitem__, own))
                 shown[at] = hashlib.sha256(text.encode()).hexdigest() if digest else text
                 links[at] = codes[edge[cut[d]]:edge[cut[d + 1]]].tobytes()
-                n_a[at], n_b[at], groups[at] = each_a[d], each_b[d], text.count("|")
+                n_a[at], n_b[at], groups[at] = each_a[d], each_b[d], edge[cut[d + 1]] - edge[cut[d]]
         return [pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(np.array([len(x) // 4 for x in links], np.int64)),
                 pa.array(shown), pa.array(links, pa.binary())]
 
