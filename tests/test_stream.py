@@ -1,8 +1,10 @@
 """Stream scoring equals batch scoring; a restart adds no duplicates."""
 
 from wearcast import schema as S
+from wearcast.operators.log import append_log, log_rows, read_log
 from wearcast.operators.scoring import score
 from wearcast.session import scratch_path
+from wearcast.sources import committed
 from wearcast.sources.observations import fixture_observations, fixture_requests
 from wearcast.streaming.scoring import start_log, stream_score
 
@@ -23,7 +25,7 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark, trained_small):
         start_log(stream_score(stream, pkg), out, ckpt, TS).awaitTermination()
 
     run()
-    logged = spark.read.parquet(out)
+    logged = read_log(spark, out)
     batch = score(req, pkg.prep, pkg.model).where("success")
     n = logged.count()
     assert n == batch.count() > 0
@@ -32,7 +34,7 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark, trained_small):
         b = sorted(r[0] for r in logged.select(S.exact_col(t)).collect())
         assert a == b
     run()  # restart from the checkpoint, no new input files
-    assert spark.read.parquet(out).count() == n
+    assert read_log(spark, out).count() == n
 
 
 def test_json_request_stream_matches_batch(spark, trained_small, tmp_path):
@@ -59,3 +61,72 @@ def test_json_request_stream_matches_batch(spark, trained_small, tmp_path):
     assert [got[i]["success"] for i in "1234"] == [True, False, False, True]
     p = S.pred_col(S.TARGETS[0])
     assert got["1"][p] == batch["1"][p] and got["4"][p] == batch["4"][p]
+
+
+def test_batch_stream_and_new_checkpoint_share_one_log(spark, trained_small, monkeypatch):
+    """Every record is read back once, whoever wrote it and whatever was run twice or cut off."""
+    from wearcast.jobs import score_job, stream_job
+    from wearcast.sources.observations import fixture_request_lines
+    from wearcast.sources.package import save_package
+    from wearcast.streaming.scoring import read_responses
+
+    pkg_path, log, out = (scratch_path(spark, n) for n in ("pkg", "log", "out"))
+    save_package(trained_small.package, pkg_path)
+    lines = fixture_request_lines(fixture_observations(spark, SF001).limit(300)).repartition(6)
+    src, late = scratch_path(spark, "in"), scratch_path(spark, "late")
+    lines.write.text(src)
+    lines.limit(40).coalesce(1).write.text(late)
+    from wearcast.sources.requests import read_requests
+
+    ok = score(read_requests(spark, src), trained_small.package.prep, trained_small.package.model).where("success").count()
+    score_job(spark, pkg_path, src, scratch_path(spark, "r"), log, TS, run_id="monday")
+    score_job(spark, pkg_path, src, scratch_path(spark, "r"), log, TS, run_id="monday")  # submitted again
+    assert read_log(spark, log).count() == ok
+    stream_job(spark, pkg_path, src, out, scratch_path(spark, "c1"), log, TS, files_per_batch=2)
+    assert read_log(spark, log).count() == 2 * ok and read_responses(spark, out).count() == 300
+    stream_job(spark, pkg_path, src, out, scratch_path(spark, "c2"), log, TS)  # a new checkpoint: batch 0 again
+    back = read_log(spark, log)
+    assert back.count() == 3 * ok and read_responses(spark, out).count() == 600
+    assert "attempt" not in back.columns and committed.commits(spark, log).count() == 1 + 3 + 1
+
+    # A micro-batch cut off between its two commits: the run after it writes only what is missing.
+    ckpt, real = scratch_path(spark, "c3"), committed._commit
+    def cut(session, path, *rest):
+        if path == log:
+            raise RuntimeError("executor lost")
+        real(session, path, *rest)
+    monkeypatch.setattr(committed, "_commit", cut)
+    try:
+        stream_job(spark, pkg_path, late, out, ckpt, log, TS)
+    except Exception as e:
+        assert "executor lost" in str(e)
+    monkeypatch.setattr(committed, "_commit", real)
+    assert read_log(spark, log).count() == 3 * ok and read_responses(spark, out).count() == 640
+    stream_job(spark, pkg_path, late, out, ckpt, log, TS)
+    more = read_log(spark, log).count() - 3 * ok
+    assert 0 < more <= 40 and read_responses(spark, out).count() == 640
+    stream_job(spark, pkg_path, late, out, ckpt, log, TS)
+    assert read_log(spark, log).count() == 3 * ok + more
+
+
+def test_committed_tables(spark):
+    import pytest
+
+    path = scratch_path(spark, "table")
+    with pytest.raises(FileNotFoundError):
+        committed.read(spark, path)
+    a, b = spark.range(3).selectExpr("id AS x"), spark.range(5).selectExpr("id AS x", "'n' AS y")
+    assert committed.append(a, path, "w", 0) and not committed.append(a, path, "w", 0)
+    assert committed.append(b, path, "w", 1) and committed.append(b, path)
+    a.write.parquet(f"{path}/records/attempt=a-cutoff")  # never committed
+    got = committed.read(spark, path)
+    assert sorted(got.columns) == ["x", "y"] and got.count() == 13 and got.where("y IS NULL").count() == 3
+    # Two attempts of one batch that both came through: one counts.
+    for name in ("attempt=a-one", "attempt=a-two"):
+        a.write.parquet(f"{path}/records/{name}")
+        committed._commit(spark, path, name, "v", 7)
+    assert committed.read(spark, path).count() == 16
+    rows = log_rows(spark.createDataFrame([(1.5, 2.5, 3.5, 4.5)], ", ".join(f"{S.pred_col(t)} double" for t in S.TARGETS)), TS)
+    log = scratch_path(spark, "csv-log")
+    assert append_log(rows, log, "csv") and append_log(rows, log, "csv")
+    assert read_log(spark, log, "csv").count() == 2
