@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wearcast import schema as S
 from wearcast.operators.log import append_log, log_rows, read_log, union_log
+from wearcast.operators import model as ML
 from wearcast.operators.model import parameter_table
 from wearcast.plans.training import holdout
 from wearcast.plans.tuning import param_grid, retrain, tune
@@ -56,9 +57,17 @@ def test_log_append_creates_then_appends(spark):
     assert u.count() == 18 and u.where(F.col("max_ttf_weeks").isNull()).count() == 15
 
 
-def test_tune_picks_a_grid_point(trained_small):
+def test_tune_picks_a_grid_point(trained_small, monkeypatch):
+    import wearcast.plans.crossval as CV
+
+    fits, real = [], CV.fit_preprocess
+    monkeypatch.setattr(CV, "fit_preprocess", lambda train: (fits.append(1), real(train))[1])
     grid = param_grid(maxDepth=[2, 4])
     best, table = tune(trained_small.prepared, grid, k=2, profile="smoke")
+    assert len(fits) == 2  # once a fold, not once a grid point and fold
+    cv = CV.cross_validate(trained_small.prepared, k=2, params=ML.gbt_params("smoke", maxDepth=4))
+    mean = cv.agg(F.avg("Test_RMSE")).first()[0]
+    assert abs(mean - table.where("grid_point = 1").first()["mean_test_rmse"]) < 1e-9 and cv.count() == 8
     assert best in grid and table.count() == 2
     r = {row["params"]: row["mean_test_rmse"] for row in table.collect()}
     assert best == grid[0 if r[str(sorted(grid[0].items()))] <= r[str(sorted(grid[1].items()))] else 1]

@@ -80,6 +80,65 @@ def test_exact_quantiles_of_extreme_doubles(spark):
         assert exact_quantiles(df, ["x"], (0.25, 0.5, 0.75))["x"] == want
 
 
+def test_exact_quantiles_shrink_their_brackets(spark, monkeypatch):
+    """With few values allowed at the end and a coarse sketch, several rounds; heavy ties on and inside brackets."""
+    import wearcast.operators.stats as ST
+
+    rounds = []
+    real = ST._refine
+    monkeypatch.setattr(ST, "_refine", lambda x, b, a: (rounds.append([k.between for k in b]), real(x, b, a)))
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=60_000)
+    b = np.where(rng.random(60_000) < 0.6, 7.0, rng.integers(0, 9000, 60_000)).astype(float)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": np.full(60_000, 3.0)})
+    probs = (0.0, 0.1, 0.5, 0.77, 1.0)
+    got = exact_quantiles(spark.createDataFrame(pdf), ["a", "b", "c"], probs, accuracy=100, final=10)
+    for col in "abc":
+        assert np.allclose(got[col], np.quantile(pdf[col], probs), rtol=0, atol=1e-12), col
+    assert len(rounds) >= 2 and max(rounds[-1]) < max(rounds[0]) / 10
+    # A sketch that misses its bound: the bracket starts again from the column's ends.
+    monkeypatch.setattr(ST, "_refine", real)
+    k = ST._Bracket("c0", 5, 100.0, 200.0)
+    x = spark.range(1000).selectExpr("CAST(id AS double) AS c0")
+    ST._solve(x, [k], {"c0": (0.0, 999.0)}, 100, 10)
+    assert k.value == 5.0
+
+
+def test_fences_of_extreme_quartiles(spark):
+    from wearcast.operators.extras import outlier_flags
+
+    big = 1.5e308
+    df = spark.createDataFrame([(v,) for v in (-big, -big, 0.0, big, big)], "x double")
+    assert {r["x_outlier"] for r in outlier_flags(df, ["x"]).collect()} == {False}
+
+
+def test_a_million_classes_of_one_prefix_are_ranked_by_ranges(spark):
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).selectExpr("concat('model', id) AS model")
+    tab = PP.encode_fit(df, ["model"])["model"]
+    tab = spark.createDataFrame(tab.toArrow())
+    want = {k: i for i, k in enumerate(sorted([f"model{i}" for i in range(n)] + ["unknown"]))}
+    got = {r["class"]: r["code"] for r in tab.collect()}
+    assert got == want
+    # In several ranges of about equal size.
+    placed = PP.written(df.distinct(), "v").repartitionByRange(8, "model").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) == 8 and max(r["count"] for r in placed) < n / 4
+
+
+def test_one_stored_histogram_per_draw(spark, monkeypatch):
+    """The input is aggregated into cells once, whatever reads them, and once more for the rows at the cuts."""
+    import wearcast.operators.sampling as SM
+
+    names = []
+    real = SM.written
+    monkeypatch.setattr(SM, "written", lambda df, name, **o: (names.append(name), real(df, name, **o))[1])
+    df = spark.range(5000).selectExpr("CAST(id AS string) AS obs_id", "id % 7 AS stratum")
+    out = SM.stratified_sample(df, "stratum", 100)
+    assert names == ["cells", "cuts"] and out.count() == 100
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 5000") == 1  # labelling alone reads the input again
+
+
 def test_many_classes_are_a_table_not_literals(spark, capsys):
     df = spark.range(50_000).selectExpr("CAST(id AS string) AS obs_id", "concat('m', id) AS model", "CAST(id AS double) AS volt")
     prep = PP.fit_preprocess(df)

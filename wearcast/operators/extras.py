@@ -32,14 +32,15 @@ def fold_sizes(folded: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def iqr_fences(df: DataFrame, cols, factor: float = 1.5) -> dict[str, tuple]:
-    """{col: (q1, q3, lower, upper)} from exact quartiles."""
+    """{col: (q1, q3, lower, upper)} from exact quartiles. A fence beyond the largest double is infinite and flags
+    nothing; quartiles at one infinity have no distance."""
     q = exact_quantiles(df, cols, (0.25, 0.75))
     out = {}
     for c, (q1, q3) in q.items():
         if q1 is None:
             out[c] = (None, None, None, None)
         else:
-            iqr = q3 - q1
+            iqr = 0.0 if q1 == q3 else q3 - q1
             out[c] = (q1, q3, q1 - factor * iqr, q3 + factor * iqr)
     return out
 

@@ -92,24 +92,34 @@ def feature_lists(columns) -> tuple[list[str], list[str], list[str]]:
     return features, categorical, numerical
 
 
+def ranked(values: DataFrame, column: str, out: str) -> DataFrame:
+    """Distinct ``values`` with their place in sorted order from 0 as ``out`` (long), written once.
+
+    Values are range-partitioned (ranges of about equal size, whatever prefixes they share) and sorted inside each
+    range; a range's rows are numbered where they stand, and the counts of the ranges before it are added: one row
+    a range, so no task sorts or numbers more than its own range."""
+    here = F.monotonically_increasing_id()  # range number in the upper bits, place inside the range in the lower 33
+    placed = written(written(values, "values").repartitionByRange(column).sortWithinPartitions(column)
+                     .select(column, here.alias("_at")), "placed")
+    size, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(size.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_range", size).join(F.broadcast(starts), "_range").select(
+        column, (inside + F.col("_before")).alias(out))
+
+
 def encode_fit(train: DataFrame, categorical) -> dict[str, DataFrame]:
     """(class, code) per categorical feature (#34): distinct classes in sorted order, codes from 0.
 
     Missing becomes ``'unknown'``; ``'unknown'`` is always a class, in its
-    sorted place, so unseen values have a code. Codes come from ranks within
-    the classes' first characters plus a running sum over those, so no task
-    sorts all classes."""
+    sorted place, so unseen values have a code. Classes are ranked by ranges
+    (``ranked``): no task sorts all of them."""
     out = {}
     for c in categorical:
         seen = train.select(F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN)).alias("class"))
         always = train.sparkSession.createDataFrame([(S.UNKNOWN,)], "class string")
-        vals = seen.unionByName(always).distinct().withColumn("_head", F.substring("class", 1, 3))
-        heads = vals.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)  # one row a head
-        heads = heads.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        rank = F.row_number().over(Window.partitionBy("_head").orderBy("class"))
-        out[c] = vals.withColumn("_rank", rank).join(heads, "_head").select(
-            "class", (F.col("_rank") - 1 + F.col("_before")).cast("int").alias("code"))
+        out[c] = ranked(seen.unionByName(always).distinct(), "class", "code")
     return out
 
 

@@ -9,10 +9,12 @@ One way for every size, and no stratum is ranked whole (one may hold a third
 of all rows):
 
 1. one aggregate counts the rows of each (stratum, cell), a cell being one of
-   ``CELLS`` equal parts of the hash space; every task emits one row per cell;
+   ``CELLS`` equal parts of the hash space; every task emits one row per cell,
+   and the table is written once to the shared folder;
 2. running sums over the cells of a stratum say in which cell its cut lies;
    only the rows of that cell (one in ``CELLS``) are shuffled and ranked, and the
    row at the cut is the stratum's threshold;
+   Its one row per stratum is written too;
 3. every row is labelled by comparing its hash with the threshold of its
    stratum: an equi-join with one row per stratum, whose physical kind (and
    the splitting of skewed strata) is left to adaptive execution.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import exprs as X
+from ..session import written
 
 CELL_DIGITS = 3                  # hex digits of the hash that name its cell
 CELLS = 16 ** CELL_DIGITS
@@ -82,7 +85,7 @@ def _allocate(counts: DataFrame, draw: Draw) -> DataFrame:
 
 def allocation(df: DataFrame, stratum: str | None, draw: Draw) -> DataFrame:
     """(stratum, n, take) per stratum (#25)."""
-    counts = df.groupBy(_stratum_col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(df.groupBy(_stratum_col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n")), "strata")
     return _allocate(counts, draw)
 
 
@@ -98,7 +101,8 @@ def thresholds(df: DataFrame, stratum: str | None, draw: Draw, tag: str, key: st
     """(_s, _ch, _ck): hash and key of the last selected row of each stratum that gives any."""
     base = df.select(_stratum_col(stratum).alias("_s"), X.hash_order(F.col(key), tag).alias("_h"),
                      F.col(key).alias("_k"))
-    cells = base.groupBy("_s", _cell(F.col("_h")).alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
+    # At most CELLS rows a stratum, stored once: totals, remainders and cuts all read the small table.
+    cells = written(base.groupBy("_s", _cell(F.col("_h")).alias("_cell")).agg(F.count(F.lit(1)).alias("_c")), "cells")
     alloc = _allocate(cells.groupBy(F.col("_s").alias("stratum")).agg(F.sum("_c").alias("n")), draw)
     upto = F.sum("_c").over(Window.partitionBy("_s").orderBy("_cell"))  # at most CELLS rows a stratum
     run = cells.withColumn("_upto", upto)
@@ -107,8 +111,8 @@ def thresholds(df: DataFrame, stratum: str | None, draw: Draw, tag: str, key: st
     ).select(run["_s"].alias("_cs"), F.col("_cell").alias("_cc"), (F.col("take") - F.col("_upto") + F.col("_c")).alias("_need"))
     near = base.join(cut, base["_s"].eqNullSafe(cut["_cs"])).where(_kept_if(_cell(F.col("_h")) == F.col("_cc")))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))
-    return near.withColumn("_rn", rank).where(F.col("_rn") == F.col("_need")).select(
-        "_s", F.col("_h").alias("_ch"), F.col("_k").alias("_ck"))
+    return written(near.withColumn("_rn", rank).where(F.col("_rn") == F.col("_need")).select(
+        "_s", F.col("_h").alias("_ch"), F.col("_k").alias("_ck")), "cuts")
 
 
 def select_first(df: DataFrame, stratum: str | None, draw: Draw, tag: str,

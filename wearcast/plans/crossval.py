@@ -1,10 +1,16 @@
 """k-fold cross-validation (#62, ours): folds by seeded hash; for each fold
 the preprocessing and the four regressors are fitted on the other folds and
-evaluated on it with the holdout metric aggregation."""
+evaluated on it with the holdout metric aggregation.
+
+A fold's design matrix (its rows preprocessed by what the other folds gave, with
+the side each is on and whether the fit draws it) is written once to the shared
+folder. It doesn't depend on the model's parameters, so all points of a grid
+share it."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,32 +22,61 @@ from ..operators import model as ML
 from ..operators.extras import fold_assignment
 from ..operators.preprocess import apply_preprocess, fit_preprocess
 from ..operators.sampling import stratified_sample
+from ..session import written
 from .training import Prepared
 
 
-def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int = S.SEED,
-                   key: str = S.KEY, params: dict | None = None,
-                   parallelism: int = 3, fit_rows: int = S.SAMPLE_SIZE) -> DataFrame:
+@dataclass
+class FoldDesign:
+    """Key, scaled features, floored targets, ``split`` and ``drawn`` of every row, as one fold sees them."""
+    fold: int
+    rows: DataFrame
+    features: list[str]
+    targets: list[str]
+
+
+def fold_designs(p: Prepared, k: int = 5, seed: int = S.SEED, key: str = S.KEY, parallelism: int = 3,
+                 fit_rows: int = S.SAMPLE_SIZE) -> list[FoldDesign]:
+    """Preprocessing fitted ``k`` times, on the rows outside each fold, and its result written."""
     data = fold_assignment(p.split.drop("split"), k, seed, key)
     targets = S.available(data.columns, S.TARGETS)
     by = "model" if "model" in data.columns else None
 
-    def one_fold(fold: int) -> DataFrame:
-        d = data.withColumn("split", F.when(F.col("fold") == fold, F.lit("test"))
-                            .otherwise(F.lit("train")))
-        prep = fit_preprocess(d.where(F.col("split") == "train"))
-        x = apply_preprocess(d, prep).withColumns(
-            {t: F.floor(F.col(t)).cast("double") for t in targets})
-        drawn = stratified_sample(d.where(F.col("split") == "train"), by, fit_rows, seed, key).select(key)
-        model = ML.fit_multi(x.join(drawn, key, "left_semi"), prep.features,
-                             {t: t for t in targets}, params or ML.gbt_params(profile), key=key)
-        long = M.predictions_long(ML.predict(x, model), targets, key, "split")
-        return M.metrics_by_target(long).withColumn("fold", F.lit(fold))
-
-    # folds are independent: their jobs share the cluster
-    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
-        out = list(pool.map(one_fold, range(k)))
-    return reduce(DataFrame.unionByName, out)
+    def one(fold: int) -> FoldDesign:
+        d = data.withColumn("split", F.when(F.col("fold") == fold, F.lit("test")).otherwise(F.lit("train")))
+        train = d.where(F.col("split") == "train")
+        prep = fit_preprocess(train)
+        drawn = stratified_sample(train, by, fit_rows, seed, key).select(F.col(key).alias("_key"), F.lit(True).alias("_in"))
+        drawn = drawn.groupBy("_key").agg(F.first("_in").alias("_in"))  # rows may share a key
+        x = apply_preprocess(d, prep).withColumns({t: F.floor(F.col(t)).cast("double") for t in targets})
+        x = x.join(drawn, x[key] == drawn["_key"], "left").select(
+            key, *prep.features, *targets, "split", F.coalesce("_in", F.lit(False)).alias("drawn"))
+        return FoldDesign(fold, written(x, f"fold-{fold}"), prep.features, targets)
+
+    return _together(one, range(k), parallelism)
+
+
+def fold_scores(design: FoldDesign, params: dict, key: str = S.KEY) -> DataFrame:
+    """Metrics of one fold under one set of model parameters."""
+    t = design.targets
+    model = ML.fit_multi(design.rows.where("drawn"), design.features, {x: x for x in t}, params, key=key)
+    long = M.predictions_long(ML.predict(design.rows, model), t, key, "split")
+    return M.metrics_by_target(long).withColumn("fold", F.lit(design.fold))
+
+
+def _together(work, items, parallelism: int) -> list:
+    """Independent pieces of work whose jobs share the cluster, a few at a time."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(work, items))
+
+
+def cross_validate(p: Prepared, k: int = 5, profile: str = "smoke", seed: int = S.SEED,
+                   key: str = S.KEY, params: dict | None = None,
+                   parallelism: int = 3, fit_rows: int = S.SAMPLE_SIZE) -> DataFrame:
+    """The metrics of every fold, fitted on at most ``fit_rows`` rows outside it."""
+    designs = fold_designs(p, k, seed, key, parallelism, fit_rows)
+    params = params or ML.gbt_params(profile)
+    return reduce(DataFrame.unionByName, _together(lambda d: fold_scores(d, params, key), designs, parallelism))
 
 
 def fold_metrics(predicted: DataFrame, k: int = 5, seed: int = S.SEED, key: str = S.KEY) -> DataFrame:

@@ -11,11 +11,10 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import model as ML
-from .crossval import cross_validate
+from .crossval import _together, fold_designs, fold_scores
 from .training import Prepared, Trained, train
 
 
@@ -25,16 +24,27 @@ def param_grid(**axes) -> list[dict]:
     return [dict(zip(names, values)) for values in product(*(axes[n] for n in names))]
 
 
-def tune(p: Prepared, grid: list[dict], k: int = 3, profile: str = "smoke",
-         seed: int = S.SEED) -> tuple[dict, DataFrame]:
-    """Cross-validate every grid point; return (best overrides, results table)."""
+def tune(p: Prepared, grid: list[dict], k: int = 3, profile: str = "smoke", seed: int = S.SEED,
+         parallelism: int = 3) -> tuple[dict, DataFrame]:
+    """Cross-validate every grid point; return (best overrides, results table).
+
+    The folds' design matrices are worked out ``k`` times in all and shared by the grid; the fits of all
+    (grid point, fold) pairs are independent and run ``parallelism`` at a time."""
     spark = p.split.sparkSession
+    designs = fold_designs(p, k, seed, p.key, parallelism)
+    pairs = [(i, d) for i in range(len(grid)) for d in designs]
+
+    def errors(pair) -> list[tuple[int, float, float]]:
+        i, design = pair
+        m = fold_scores(design, ML.gbt_params(profile, **grid[i]), p.key)
+        return [(i, r["Test_RMSE"], r["Test_R2"]) for r in m.collect()]  # one row a target
+
+    scores = [e for found in _together(errors, pairs, parallelism) for e in found]
     rows = []
     for i, overrides in enumerate(grid):
-        params = ML.gbt_params(profile, **overrides)
-        cv = cross_validate(p, k, profile, seed, params=params)
-        m = cv.agg(F.avg("Test_RMSE").alias("rmse"), F.avg("Test_R2").alias("r2")).first()
-        rows.append((i, str(sorted(overrides.items())), float(m["rmse"]), float(m["r2"])))
+        mine = [e for e in scores if e[0] == i]
+        rmse, r2 = (sum(e[c] for e in mine) / len(mine) for c in (1, 2))
+        rows.append((i, str(sorted(overrides.items())), float(rmse), float(r2)))
     table = spark.createDataFrame(rows, "grid_point int, params string, mean_test_rmse double, "
                                         "mean_test_r2 double")
     best = min(rows, key=lambda r: (r[2], r[0]))[0]
