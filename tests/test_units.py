@@ -125,6 +125,20 @@ def test_a_million_classes_of_one_prefix_are_ranked_by_ranges(spark):
     assert len(placed) == 8 and max(r["count"] for r in placed) < n / 4
 
 
+def test_a_catalog_of_many_classes_is_paged(spark):
+    from wearcast.operators import features as FT
+
+    n = 300_000
+    df = spark.range(n).selectExpr("concat('m', lpad(id, 7, '0')) AS model", "1.0D AS volt")
+    prep = PP.fit_preprocess(df.withColumn("obs_id", F.col("model")))
+    first = FT.feature_catalog(spark, prep).where("name = 'model'").first()
+    assert first["n_options"] == n + 1 and first["options"] == ",".join(f"m{i:07d}" for i in range(FT.PAGE))
+    page = FT.options_page(prep, "model", page=3, size=50).orderBy("position").collect()
+    assert [r["option"] for r in page] == [f"m{i:07d}" for i in range(150, 200)]
+    assert FT.options_page(prep, "model", page=n // 50, size=50).collect()[-1]["option"] == "unknown"
+    assert FT.feature_options(prep).count() == n + 1
+
+
 def test_one_stored_histogram_per_draw(spark, monkeypatch):
     """The input is aggregated into cells once, whatever reads them, and once more for the rows at the cuts."""
     import wearcast.operators.sampling as SM

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +27,37 @@ def feature_kinds(columns) -> tuple[list[str], list[str]]:
     return cat, [f for f in feats if f not in cat]
 
 
+#: Options on a page; a catalog row shows the first page.
+PAGE = 100
+
+
+def feature_options(prep: Prep) -> DataFrame:
+    """(feature, position, option): one row per class of every categorical feature, position from 0 in sorted order
+    (#11). The options are a table; no row or task holds all of them."""
+    tables = [t.select(F.lit(f).alias("feature"), F.col("code").cast("long").alias("position"),
+                       F.col("class").alias("option")) for f, t in prep.classes.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def options_page(prep: Prep, feature: str, page: int = 0, size: int = PAGE) -> DataFrame:
+    """The options of one feature at positions ``page * size`` and on, at most ``size`` of them."""
+    at = F.col("position")
+    return feature_options(prep).where((F.col("feature") == feature) & (at >= page * size) & (at < (page + 1) * size))
+
+
 def feature_catalog(spark, prep: Prep) -> DataFrame:
-    """One row per model feature: position, name, type, options (sorted
-    classes, comma-joined) for categorical ones, guidance text for numerical
-    ones (#11). Built from the fitted package: a handful of rows."""
+    """One row per model feature: position, name, type, the number of options and the first page of them
+    (comma-joined) for categorical ones, guidance text for numerical ones (#11). Built from the fitted package:
+    a handful of rows; the options beyond the first page are in ``feature_options``."""
     rows = [(i, f, "categorical" if f in prep.categorical else "numerical") for i, f in enumerate(prep.features)]
     df = spark.createDataFrame(rows, "position int, name string, type string")
-    options = F.lit(None).cast("string")
+    options, many = F.lit(None).cast("string"), F.lit(0).cast("long")
     for f, classes in prep.classes.items():
-        joined = classes.agg(F.array_join(F.array_sort(F.collect_list("class")), ",").alias("o")).scalar()
+        page = F.array_sort(F.collect_list(F.struct("position", "option")))  # at most PAGE rows
+        joined = options_page(prep, f).agg(F.array_join(F.transform(page, lambda x: x["option"]), ",").alias("o")).scalar()
         options = F.when(F.col("name") == f, joined).otherwise(options)
-    df = df.withColumn("options", options)
+        many = F.when(F.col("name") == f, classes.agg(F.count(F.lit(1)).alias("n")).scalar()).otherwise(many)
+    df = df.withColumn("n_options", many).withColumn("options", options)
     expr = F.when(F.col("type") == "categorical", F.lit(None).cast("string"))
     for name, text in S.GUIDANCE.items():
         expr = expr.when(F.col("name") == name, F.lit(text))

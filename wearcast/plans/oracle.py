@@ -283,6 +283,10 @@ def queries() -> dict[str, str]:
     out["scan_observations"] = _with() + (
         f"SELECT * REPLACE (CASE WHEN {_ORDER} % 43 = 0 OR {_ORDER} % 47 = 0 OR {_ORDER} % 49 = 0 "
         "THEN NULL ELSE volt END AS volt) FROM obs")
+    out["unreadable_fields"] = _with() + (
+        f"SELECT obs_id, 'volt' AS field, CASE WHEN {_ORDER} % 47 = 0 THEN 'inf' ELSE 'bad' END AS text, "
+        f"CASE WHEN {_ORDER} % 47 = 0 THEN 'not finite' ELSE 'not a number' END AS reason FROM obs "
+        f"WHERE {_ORDER} % 43 <> 0 AND ({_ORDER} % 47 = 0 OR {_ORDER} % 49 = 0)")
     # Lines by order key: blank, cut off, without an id, without volt.
     shown = "CASE WHEN k % 83 = 0 OR k % 89 = 0 OR k % 97 = 0 THEN 'md5' ELSE request_id END AS request_id"
     body = ("CASE WHEN k % 83 = 0 THEN 'empty request body' WHEN k % 89 = 0 THEN 'malformed request body' END")
@@ -299,10 +303,12 @@ def queries() -> dict[str, str]:
         for i, f in enumerate(FEATS))
     out["feature_kinds"] = _with(
         f"fl AS (SELECT * FROM (VALUES {feats_rows}) v(position, name, type))",
-        "opts AS (SELECT string_agg(class, ',' ORDER BY class ASC NULLS LAST) AS o FROM cls)") + (
+        "opts AS (SELECT string_agg(class, ',' ORDER BY class ASC NULLS LAST) AS o FROM cls WHERE code < 100)") + (
         f"SELECT CAST(position AS INTEGER) AS position, name, type, "
+        f"CASE WHEN type = 'categorical' THEN (SELECT count(*) FROM cls) ELSE 0 END AS n_options, "
         f"CASE WHEN type = 'categorical' THEN (SELECT o FROM opts) END AS options, "
         f"{_guidance()} AS guidance FROM fl")
+    out["feature_options"] = _with() + "SELECT 'model' AS feature, code AS position, class AS option FROM cls"
     vals, err = _coerce_select()
     out["coerce_numeric"] = _with() + f"SELECT request_id, model, {vals}, {err} AS error FROM req"
     out["known_category"] = _with() + (
@@ -409,13 +415,20 @@ def queries() -> dict[str, str]:
         "CASE WHEN floor_weeks <= 2 THEN 'HIGH' WHEN floor_weeks <= 4 THEN 'MEDIUM' ELSE 'LOW' END "
         "AS priority FROM pr")
     statuses = ", ".join(_status(f"floor({S.pred_col(t)})") for t in T)
+    failed, lost = f"{_ORDER} % 53 = 0", f"{_ORDER} % 59 = 0"
+    none = f"({failed} OR {lost})"
+    good = lambda x: f"CASE WHEN NOT {none} THEN {x} END"
+    urgent = " + ".join(f"CAST(floor({S.pred_col(t)}) <= 2 AS INTEGER)" for t in T)
     out["prediction_response"] = _with() + (
-        f"SELECT obs_id, true AS success, CAST({len(T)} AS INTEGER) AS n_results, "
-        f"concat_ws(',', {statuses}) AS statuses, CAST({mn} AS BIGINT) AS min_weeks, "
-        f"({' + '.join(f'floor({S.pred_col(t)})' for t in T)}) / {len(T)}.0E0 AS avg_weeks, "
-        "CAST(" + " + ".join(f"CAST(floor({S.pred_col(t)}) <= 2 AS INTEGER)" for t in T)
-        + f" AS BIGINT) AS critical_components, CAST({len(T)} AS BIGINT) AS total_components, "
-        f"{_rec(mn, 0)} AS title, {_rec(mn, 1)} AS detail FROM predall")
+        f"SELECT obs_id, NOT {none} AS success, CASE WHEN {failed} THEN 'bad volt' WHEN {lost} THEN 'no prediction' END "
+        f"AS error, CAST(CASE WHEN {none} THEN 0 ELSE {len(T)} END AS INTEGER) AS n_results, "
+        + good(f"concat_ws(',', {statuses})") + " AS statuses, " + good(mn) + " AS min_weeks, "
+        + good(f"({' + '.join(f'floor({S.pred_col(t)})' for t in T)}) / {len(T)}.0E0") + " AS avg_weeks, "
+        + good(f"CAST({urgent} AS DOUBLE)") + " AS critical_components, "
+        + good(f"{len(T)}.0E0") + " AS total_components, "
+        + good(_rec(mn, 0)) + " AS title, " + good(_rec(mn, 1)) + " AS detail, "
+        + good(_rec(mn, 0)) + " AS json_title, " + good(f"'{S.component_name(T[3])}'") + " AS json_component, "
+        "true AS json_reads_back FROM predall")
     out["log_rows"] = _with() + f"SELECT {_log_cols('predall')} FROM predall"
     out["log_scan"] = out["log_rows"]
     out["log_union"] = _with(
@@ -445,7 +458,19 @@ def queries() -> dict[str, str]:
     out["holdout_table"] = _with() + (
         f"SELECT sp.obs_id, {', '.join(held)} FROM split sp JOIN proc p ON sp.obs_id = p.obs_id "
         "JOIN scaled c ON sp.obs_id = c.obs_id WHERE sp.split = 'test'")
-    out["stream_score"] = out["component_status"]
+    out["stream_status"] = out["component_status"]
+    out["stream_score"] = _with() + (
+        f"SELECT {shown}, ({why}) IS NULL AS success, {why} AS error, "
+        f"CAST(CASE WHEN ({why}) IS NULL THEN {len(T)} ELSE 0 END AS INTEGER) AS n_predictions FROM req")
+    out["fit_facts"] = _with() + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, count(*) AS test_rows, count(*) AS predicted_rows, true AS beats_mean FROM test" for t in T)
+    out["importance_facts"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"Target\", CAST({len(FEATS)} AS BIGINT) AS n_features, CAST(0 AS BIGINT) AS n_negative, "
+        "1.0E0 AS total" for t in T)
+    out["cross_validation_fit"] = _with() + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS fold, '{t}' AS \"Target\", "
+        f"CAST(count_if(floor({t}) < {S.SHORT_TERM_WEEKS}) AS BIGINT) AS \"Short_Term_Count\", true AS fits "
+        f"FROM obs WHERE {fold(2)} = {i}" for t in T for i in range(2))
     each = " UNION ALL ".join(
         f"SELECT predall.*, {i} AS fold, CASE WHEN {fold(3)} = {i} THEN 'test' ELSE 'train' END AS split FROM predall"
         for i in range(3))

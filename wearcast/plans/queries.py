@@ -22,7 +22,7 @@ from ..operators import scoring as SC
 from ..operators import strata as ST
 from ..session import scratch_path
 from ..sources.observations import (fixture_observations, fixture_request_lines, fixture_requests,
-                                    read_observations, with_fixed_predictions)
+                                    read_observations, unreadable_fields, with_fixed_predictions)
 from ..sources.requests import read_requests
 from . import oracle as O
 from .training import Prepared, Trained, holdout_table, prepare, processed, train
@@ -86,14 +86,22 @@ def _round_metrics(m: DataFrame, cols) -> DataFrame:
 
 # --------------------------------------------------------------------------- queries
 
-def q_scan_observations(spark, sf_dir):
-    # F1 as a CSV file with texts that mean missing, infinite or nothing at all in ``volt``, read by the reader (#1).
+def _observation_file(spark, sf_dir) -> DataFrame:
+    """F1 as a CSV file with texts that mean missing, infinite or nothing at all in ``volt``, read by the reader (#1)."""
     path = scratch_path(spark, "observations")
     order = F.substring_index(F.col(S.KEY), "-", 1).cast("long")
     volt = (F.when(order % 43 == 0, F.lit("nan")).when(order % 47 == 0, F.lit("inf"))
             .when(order % 49 == 0, F.lit("bad")).otherwise(F.col("volt").cast("string")))
     observations(spark, sf_dir).withColumn("volt", volt).write.option("header", True).csv(path)
-    return read_observations(spark, path, fmt="csv")
+    return read_observations(spark, path, fmt="csv", unreadable="unreadable")
+
+
+def q_scan_observations(spark, sf_dir):
+    return _observation_file(spark, sf_dir).drop("unreadable")
+
+
+def q_unreadable_fields(spark, sf_dir):
+    return unreadable_fields(_observation_file(spark, sf_dir))
 
 
 def q_scan_requests(spark, sf_dir):
@@ -108,6 +116,10 @@ def q_feature_kinds(spark, sf_dir):
     return FT.feature_catalog(spark, prepared(spark, sf_dir).prep)
 
 
+def q_feature_options(spark, sf_dir):
+    return FT.feature_options(prepared(spark, sf_dir).prep)
+
+
 def q_coerce_numeric(spark, sf_dir):
     req = _requests(spark, sf_dir)
     num = [f for f in S.FEATURE_ORDER if f not in S.CATEGORICAL_FEATURES]
@@ -184,15 +196,9 @@ def q_target_floor_stats(spark, sf_dir):
     return PP.target_floor_stats(prepared(spark, sf_dir).train, S.TARGETS)
 
 
-def _scaled(spark, sf_dir) -> DataFrame:
-    p = prepared(spark, sf_dir)
-    return PP.apply_preprocess(p.split, p.prep)
-
-
 def q_scaling_check(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    return PP.scaling_check(_scaled(spark, sf_dir).where(F.col("split") == "train"),
-                            p.prep.features[:5])
+    return PP.scaling_check(PP.apply_preprocess(p.train, p.prep), p.prep.features[:5])
 
 
 def q_impute_fit(spark, sf_dir):
@@ -223,7 +229,7 @@ def q_impute_transform(spark, sf_dir):
 
 def q_scale_features(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    return _scaled(spark, sf_dir).select(S.KEY, "split", *[r6(f).alias(f) for f in p.prep.features])
+    return PP.apply_preprocess(p.split, p.prep).select(S.KEY, "split", *[r6(f).alias(f) for f in p.prep.features])
 
 
 def q_floor_targets(spark, sf_dir):
@@ -280,15 +286,24 @@ def q_component_priority(spark, sf_dir):
 
 
 def q_prediction_response(spark, sf_dir):
-    r = SC.response(_pred_all(spark, sf_dir))
+    """Responses to F2 rows; some rows come with an error, some without predictions."""
+    order = F.substring_index(F.col(S.KEY), "-", 1).cast("long")
+    d = _pred_all(spark, sf_dir)
+    d = d.withColumns({S.pred_col(t): F.when(order % 59 != 0, F.col(S.pred_col(t))) for t in S.TARGETS})
+    d = d.withColumn("success", order % 53 != 0).withColumn("error", F.when(~F.col("success"), F.lit("bad volt")))
+    r = SC.response(d, success_col="success")
     res = F.col("response")
+    back = F.from_json("response_json", r.schema["response"].dataType)
     return r.select(
-        S.KEY, res["success"].alias("success"), F.size(res["results"]).alias("n_results"),
+        S.KEY, res["success"].alias("success"), res["error"].alias("error"),
+        F.coalesce(F.size(res["results"]), F.lit(0)).alias("n_results"),
         F.array_join(F.transform(res["results"], lambda x: x["status"]), ",").alias("statuses"),
-        res["summary"]["min_weeks"].alias("min_weeks"), res["summary"]["avg_weeks"].alias("avg_weeks"),
-        res["summary"]["critical_components"].alias("critical_components"),
-        res["summary"]["total_components"].alias("total_components"),
-        res["recommendation"]["title"].alias("title"), res["recommendation"]["detail"].alias("detail"))
+        *[res["summary"][c].cast("double").alias(c)
+          for c in ("min_weeks", "avg_weeks", "critical_components", "total_components")],
+        res["recommendation"]["title"].alias("title"), res["recommendation"]["detail"].alias("detail"),
+        F.get_json_object("response_json", "$.recommendation.title").alias("json_title"),
+        F.get_json_object("response_json", "$.results[3].component").alias("json_component"),
+        back.eqNullSafe(res).alias("json_reads_back"))
 
 
 def q_log_rows(spark, sf_dir):
@@ -296,13 +311,9 @@ def q_log_rows(spark, sf_dir):
 
 
 def q_log_scan(spark, sf_dir):
-    """Append the log in two writes to a fresh folder of the shared
-    checkpoint location, then read it back (#4, #5)."""
-    pred = _pred_all(spark, sf_dir)
-    path = scratch_path(spark, "prediction-log")
-    LG.append_log(LG.log_rows(pred.where(F.col("failure_within_48h")), O.LOG_TS), path)
-    LG.append_log(LG.log_rows(pred.where(~F.col("failure_within_48h")), O.LOG_TS), path)
-    return LG.read_log(spark, path)
+    """One log of a batch job and two streams, read back (#4, #5, #61)."""
+    from ..streaming.queries import shared_log
+    return shared_log(spark, sf_dir, O.LOG_TS)
 
 
 def q_log_union(spark, sf_dir):
@@ -341,12 +352,21 @@ def q_holdout_table(spark, sf_dir):
     return h.withColumns({c: r6(c) for c in h.columns if c.startswith("scaled_")})
 
 
-def q_stream_score(spark, sf_dir):
+def q_stream_status(spark, sf_dir):
     """The status report on a stream of F2 rows, through the file sink."""
     from ..streaming.queries import stream_status_tables
     return stream_status_tables(spark, sf_dir)
 
 
+def q_stream_score(spark, sf_dir):
+    """The ``stream`` job on arriving JSON requests with a saved model, restarted between two lots (#60)."""
+    from ..streaming.queries import stream_responses
+    r, res = stream_responses(spark, sf_dir, trained(spark, sf_dir, "smoke").package), F.col("response")
+    shown = F.when(F.col("request_id").startswith("md5-"), F.lit("md5")).otherwise(F.col("request_id"))
+    return r.select(shown.alias("request_id"), res["success"].alias("success"), res["error"].alias("error"),
+                    F.coalesce(F.size(res["results"]), F.lit(0)).alias("n_predictions"))
+
+
 def q_cross_validation(spark, sf_dir):
     """The folds' metrics of F2 predictions; the model-backed run is ``cross_validate``."""
     from .crossval import fold_metrics
@@ -377,6 +397,30 @@ def q_feature_importance(spark, sf_dir):
     return trained(spark, sf_dir).importance
 
 
+def q_fit_facts(spark, sf_dir):
+    """What must hold of any good fit: all test rows predicted, with less error than the mean of the test rows."""
+    t = trained(spark, sf_dir, "smoke")
+    err = F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)))
+    return t.long.where(F.col("split") == "test").groupBy("target").agg(
+        F.count(F.lit(1)).alias("test_rows"), F.count("predicted").alias("predicted_rows"),
+        (err < F.lit(0.5) * F.stddev_pop("actual")).alias("beats_mean"))
+
+
+def q_importance_facts(spark, sf_dir):
+    """Importances of every target: one for each feature, none negative, together 1."""
+    i = F.col("Importance")
+    return trained(spark, sf_dir, "smoke").importance.groupBy("Target").agg(
+        F.count_distinct("Feature").alias("n_features"), F.count_if(i < 0).alias("n_negative"),
+        F.round(F.sum(i), 6).alias("total"))
+
+
+def q_cross_validation_fit(spark, sf_dir):
+    """Folds fitted and evaluated with their models: what doesn't depend on the trees, and a bound on the error."""
+    from .crossval import cross_validate
+    m = cross_validate(prepared(spark, sf_dir), k=2, profile="smoke")
+    return m.select("fold", "Target", "Short_Term_Count", (F.col("Test_R2") > 0.5).alias("fits"))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }

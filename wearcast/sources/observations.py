@@ -3,7 +3,7 @@ driver tables (FIXTURES.md F1-F3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,49 +28,87 @@ OBSERVATION_SCHEMA = T.StructType(
 )
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """NaN and infinities -> NULL in double columns: one notion of missing, and
-    no value that arithmetic over a column can't take."""
-    cols = []
-    for f in df.schema.fields:
+UNREADABLE = "array<struct<field: string, text: string, reason: string>>"
+INFINITE_TEXTS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
+
+
+def _number(text: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """(value, why a present text has none) of a numeric field."""
+    t = X.strip_ws(text)
+    num = F.when(t.rlike(S.NUMBER_PATTERN), t.try_cast("double"))
+    infinite = F.lower(t).isin(*INFINITE_TEXTS) | (F.abs(num) == F.lit(float("inf")))
+    nan = F.lower(t).isin("nan", "+nan", "-nan")
+    why = F.when(text.isNull() | nan, None).when(infinite, F.lit("not finite")).when(num.isNull(), F.lit("not a number"))
+    value = F.when(X.finite(num), num)
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        whole = F.when(value == F.floor(value), value.try_cast(dtype))
+        return whole, F.coalesce(why, F.when(value.isNotNull() & whole.isNull(), F.lit("not a whole number")))
+    return value, why
+
+
+def _parsed(raw: DataFrame, schema: T.StructType) -> list[tuple[str, Column, Column | None, Column | None]]:
+    """(name, value, text, reason) of every column of a CSV table read as text."""
+    wanted = {f.name: f.dataType for f in schema.fields}
+    out = []
+    for name in raw.columns:
+        text, dtype = X.csv_na_to_null(F.col(f"`{name}`")), wanted.get(name, T.StringType())
+        if isinstance(dtype, T.StringType):
+            out.append((name, text, None, None))
+        elif isinstance(dtype, T.BooleanType):
+            value = F.lower(X.strip_ws(text)).try_cast("boolean")
+            out.append((name, value, text, F.when(text.isNotNull() & value.isNull(), F.lit("not a boolean"))))
+        else:
+            value, why = _number(text, dtype)
+            out.append((name, value, text, why))
+    return out
+
+
+def _typed(raw: DataFrame) -> list[tuple[str, Column, Column | None, Column | None]]:
+    """The same of a table that carries types: NaN is missing, an infinity can't be used."""
+    out = []
+    for f in raw.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.when(X.finite(F.col(f.name).cast("double")), F.col(f.name)).alias(f.name))
+            d = c.cast("double")
+            why = F.when(d.isNotNull() & ~F.isnan(d) & ~X.finite(d), F.lit("not finite"))
+            out.append((f.name, F.when(X.finite(d), c), c.cast("string"), why))
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            out.append((f.name, c, None, None))
+    return out
 
 
 def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
-                      schema: T.StructType = OBSERVATION_SCHEMA) -> DataFrame:
+                      schema: T.StructType = OBSERVATION_SCHEMA, unreadable: str | None = None) -> DataFrame:
     """Load an observation table (#1).
 
     CSV: every column is read as text, the pandas missing-value tokens become
-    NULL, and each value is cast to ``schema`` with ``try_cast`` (a text that
-    is not a number becomes NULL, as in a pandas numeric column). Columns of
+    NULL, and each value is read as its type in ``schema``. Columns of
     the schema absent from the file are simply not there (tolerant schema).
-    Parquet/ORC/JSON: read as is. In all cases NaN becomes NULL.
+    Parquet/ORC/JSON: types as they are. NaN is missing: NULL.
+
+    A value that is there but can't be used (a text that is no number, an infinity, a fraction in an integer
+    column) becomes NULL too, so that one bad cell doesn't turn a column into text as in a pandas reader. With
+    ``unreadable`` a column of that name lists each row's such fields with text and reason; ``unreadable_fields``
+    makes a table of them.
     """
     if fmt == "csv":
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        wanted = {f.name: f.dataType for f in schema.fields}
-        cols = []
-        for name in raw.columns:
-            txt = X.csv_na_to_null(F.col(f"`{name}`"))
-            dtype = wanted.get(name, T.StringType())
-            if isinstance(dtype, T.StringType):
-                cols.append(txt.alias(name))
-            elif isinstance(dtype, T.BooleanType):
-                cols.append(F.lower(X.strip_ws(txt)).try_cast("boolean").alias(name))
-            else:
-                t = X.strip_ws(txt)
-                num = F.when(t.rlike(S.NUMBER_PATTERN), t.try_cast("double"))
-                if not isinstance(dtype, T.DoubleType):
-                    num = num.try_cast(dtype)
-                cols.append(num.alias(name))
-        df = raw.select(*cols)
+        fields = _parsed(raw, schema)
     else:
-        df = spark.read.format(fmt).load(path)
-    return normalise(df)
+        raw = spark.read.format(fmt).load(path)
+        fields = _typed(raw)
+    columns = [value.alias(name) for name, value, _, _ in fields]
+    if unreadable:
+        found = [F.when(why.isNotNull(), F.struct(F.lit(name).alias("field"), text.alias("text"), why.alias("reason")))
+                 for name, _, text, why in fields if why is not None]
+        listed = F.array_compact(F.array(*found)) if found else F.array()
+        columns.append(listed.cast(UNREADABLE).alias(unreadable))
+    return raw.select(*columns)
+
+
+def unreadable_fields(df: DataFrame, column: str = "unreadable", keep=(S.KEY,)) -> DataFrame:
+    """One row per value that couldn't be used: the kept columns, ``field``, ``text``, ``reason``."""
+    return df.select(*[c for c in keep if c in df.columns], F.inline(column))
 
 
 # --------------------------------------------------------------------------- fixture views

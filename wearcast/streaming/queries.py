@@ -1,15 +1,22 @@
 """Stream scoring over the driver tables: ``lineitem`` arrives as a file
-stream, is joined with the static ``part`` table and reported on."""
+stream, is joined with the static ``part`` table and reported on; JSON requests
+arrive in a folder and are scored with a saved package; log records of several
+writers share one log."""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..jobs import stream_job
+from ..operators.log import append_log, log_rows, read_log
 from ..operators.scoring import component_status
 from ..session import scratch_path
-from ..sources.observations import fixture_observations, with_fixed_predictions
+from ..sources.observations import fixture_observations, fixture_request_lines, with_fixed_predictions
+from ..sources.package import Package, save_package
+from .scoring import read_responses, start_log
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +39,29 @@ def stream_status_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def stream_responses(spark: SparkSession, sf_dir: str, pkg: Package) -> DataFrame:
+    """Responses of the ``stream`` job: the package is saved, JSON requests arrive in a folder in two lots, and the
+    job runs once after each (a restart from its checkpoint), one micro-batch a run."""
+    package, arriving, out, ckpt = (scratch_path(spark, n) for n in ("package", "arriving", "responses", "stream-ckpt"))
+    save_package(pkg, package)
+    lines = fixture_request_lines(fixture_observations(spark, sf_dir))
+    for lot in (0, 1):
+        lines.where(F.crc32("value") % 2 == lot).write.mode("append").text(arriving)
+        stream_job(spark, package, arriving, out, ckpt)
+    return read_responses(spark, out)
+
+
+def shared_log(spark: SparkSession, sf_dir: str, timestamp: str) -> DataFrame:
+    """One log of a batch job, a stream, and a stream on a new checkpoint whose batch numbers start again; each writes
+    a third of the F2 records."""
+    rows = with_fixed_predictions(fixture_observations(spark, sf_dir))
+    third, log = F.crc32("obs_id") % 3, scratch_path(spark, "prediction-log")
+    append_log(log_rows(rows.where(third == 0), timestamp), log)
+    for part in (1, 2):
+        src = scratch_path(spark, "scored")
+        rows.where(third == part).repartition(4).write.parquet(src)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        start_log(stream, log, scratch_path(spark, "log-ckpt"), timestamp).awaitTermination()
+    return read_log(spark, log)
