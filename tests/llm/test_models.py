@@ -1,10 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common import awkward, awkward_rows, empty
 from wearcast.llm import language_id, quality_classifier
+from wearcast.llm.arrow import as_text
 from wearcast.llm.language_id import Network, identify, windows
 from wearcast.llm.quality_classifier import quality_scores
 
@@ -94,3 +97,90 @@ def test_quality_awkward_rows(spark, monkeypatch, rows):
     got = quality_scores(awkward(spark), labels).collect()
     assert len(got) == len(awkward_rows()) and all(0 <= r["score"] <= 1 for r in got)
     assert quality_scores(empty(spark), labels).count() == 0
+
+
+def test_quality_sample_is_bounded_for_any_key_and_size(spark):
+    n = len(quality_classifier.FEATURES)
+    rows = spark.range(6000, numPartitions=6).select(
+        F.lit(7).cast("long").alias("_key"), F.array(*[(F.col("id") % (i + 2)).cast("float") for i in range(n)]).alias("_f"))
+    nulls = rows.withColumn("_key", F.lit(None).cast("long"))
+    same = rows.withColumn("_f", F.array(*[F.lit(1.0).cast("float")] * n))
+    for some in (rows, nulls, same):
+        for total in (6000, 2 * 10**10):  # the second as if the table were that large
+            got = quality_classifier._sample(some, total, 500)
+            assert 0 < len(got) <= 500
+    spread = quality_classifier._sample(rows, 6000, 500)
+    assert len(spread) == 500 and len(np.unique(spread, axis=0)) > 300
+
+
+def test_prior_from_positives_and_unlabelled():
+    g = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.85):
+        one, zero = g.normal(1.5, 1, (12_000, 3)), g.normal(-1.5, 1, (6_000, 3))
+        k = int(6000 * share)
+        found = quality_classifier.estimated_prior(one[:6000], np.concatenate([one[6000:6000 + k], zero[: 6000 - k]]))
+        assert share - 0.12 < found < share + 0.02
+
+
+def test_quality_risk_and_gradient():
+    """The step's gradient is that of the risk, by differences; the risk as its definition reads."""
+    g = np.random.default_rng(1)
+    net = quality_classifier.Network(4, 5, 1)
+    p, u, prior = g.normal(1, 1, (40, 4)), g.normal(0, 1, (40, 4)), 0.4
+
+    def loss(x, y):
+        z = net.forward(x)[1]
+        return np.mean([np.log(1 + np.exp(-v if y else v)) for v in z])
+
+    (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
+    s = quality_classifier.sigmoid
+    grad = [prior * a / 40 + b / 40 - prior * c / 40 for a, b, c in zip(
+        net.gradient(p, hp, s(zp) - 1), net.gradient(u, hu, s(zu)), net.gradient(p, hp, s(zp)), strict=True)]
+    for w, d in zip(net.w, grad, strict=True):
+        for at in np.ndindex(w.shape):
+            keep, sides = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = keep + step
+                sides.append(prior * loss(p, 1) + loss(u, 0) - prior * loss(p, 0))
+            w[at] = keep
+            assert abs((sides[0] - sides[1]) / 2e-5 - d[at]) < 1e-6
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(3000, numPartitions=4).selectExpr("1L AS doc_id", "concat('wort und text ', id % 50) AS text", "'de' AS lang")
+    names, block, valid, label = language_id._training_windows(docs, "doc_id", "text", "lang", 100, 2)
+    assert names == ["de"] and len(block) <= 400
+    one = docs.withColumn("text", F.lit("ein text"))
+    names, block, valid, label = language_id._training_windows(one, "doc_id", "text", "lang", 100, 2)
+    assert block is None or len(block) <= 400
+
+
+def test_pooled_labels_equal_a_plain_loop(spark):
+    """Probabilities of a text are the mean over its positions, window by window."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    held = {}
+    real = language_id.train
+
+    def keep(*a, **k):
+        held["net"] = real(*a, **k, steps=8)
+        return held["net"]
+
+    language_id.train, old = keep, language_id.train
+    try:
+        got = {r["doc_id"]: r for r in identify(docs, fit_docs=80).collect()}
+    finally:
+        language_id.train = old
+    net = held["net"]
+    names = sorted({r["lang"] for r in docs.collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2})
+    for r in docs.limit(15).collect():
+        raw = (r["text"] or "").encode()
+        if got[r["doc_id"]]["lang_pred"] == "und":
+            continue
+        data, size = language_id.text_bytes(as_text(pa.array([r["text"]])))
+        block, n, of = language_id.windows(data, size, language_id.WINDOW)
+        total = np.zeros(len(names))
+        for i in range(len(block)):
+            total += net.label(block[i:i + 1], n[i:i + 1])[0]
+        total /= max(len(raw), 1)
+        assert got[r["doc_id"]]["lang_pred"] == names[int(np.argmax(total))]
+        assert abs(got[r["doc_id"]]["score"] - min(1.0, total.max())) < 1e-4

@@ -193,9 +193,12 @@ def _training_windows(docs: DataFrame, key: str, text: str, lang: str, fit_docs:
     if not kinds:
         return [], None, None, None
     share = count.select(F.col(lang).alias("_l"), (F.lit(fit_docs / kinds) / F.col("_n")).alias("_rate"))
-    chance = F.pmod(F.xxhash64(F.lit(9), key), F.lit(1_000_000)) / F.lit(1e6)
+    # 53 bits of the hash of key and text; rows that are equal in both are chosen together, so the limit guards the
+    # bound (without such rows the number chosen stays far below it).
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(9), key, text), 11) / F.lit(2.0**53)
     # One row per language, and the model itself holds one output for each: a bounded table.
-    chosen = docs.join(F.broadcast(share), docs[lang] == F.col("_l")).where(chance < F.col("_rate")).select("_l", text)
+    chosen = docs.join(F.broadcast(share), docs[lang] == F.col("_l")).where(chance < F.col("_rate")).select(
+        "_l", text, chance.alias("_c")).orderBy("_c").limit(2 * fit_docs).select("_l", text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         block, valid, of = windows(*text_bytes(as_text(batch.column(1))), WINDOW)

@@ -2,9 +2,11 @@
 
 Whole texts become a few dozen numbers (word, letter, line and repetition statistics, free of language).
 A small network is trained on the driver with numpy: rows labelled 1 are trusted positives, a sample of all
-texts is unlabelled, and the share of positives in it (the class prior) is estimated. The loss is the
-non-negative unbiased risk: prior * risk of positives as 1, plus the risk of the unlabelled as 0 less
-prior * risk of positives as 0, the latter part never below zero.
+texts is unlabelled, and the share of positives in it (the class prior) is estimated from these two samples: a
+first model tells positives from unlabelled texts, and at the threshold where it keeps few unlabelled texts for many
+positives the ratio of both shares bounds the prior from above; the lowest bound, with room for the samples' errors,
+is taken, less those errors. The loss is the non-negative unbiased risk: prior * risk of positives as 1, plus the risk of the
+unlabelled as 0 less prior * risk of positives as 0, the latter part never below zero.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from wearcast.llm.arrow import as_text, by_slice
 from wearcast.llm.store import written
 
-#: Rows of each kind that the model is fitted on, about; a documented bound (everything is scored).
+#: Rows of each kind that the model is fitted on, at most; a documented bound (everything is scored).
 FIT_ROWS = 12_000
 FEATURES = ("log_words", "word_length", "word_spread", "upper", "symbols", "bars", "calls", "stops", "digits",
             "distinct", "adjacent", "short", "long", "words_per_line", "lines_repeated", "wide", "other")
@@ -83,8 +85,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500,
-        batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
-    """Adam on the non-negative unbiased risk with logistic loss."""
+        batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 7, unbiased: bool = True) -> Network:
+    """Adam on the non-negative unbiased risk with logistic loss; without ``unbiased`` the unlabelled count as 0."""
     g = np.random.default_rng(seed)
     net = Network(positive.shape[1], hidden, seed)
     first = [np.zeros_like(w) for w in net.w]
@@ -95,8 +97,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         hp, zp = net.forward(p)
         hu, zu = net.forward(u)
         # Logistic loss: as 1 log(1 + e^-z), as 0 log(1 + e^z).
-        unlabelled_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_zero = [a / batch - prior * b / batch for a, b in zip(
+        share = prior if unbiased else 0.0
+        unlabelled_risk = np.logaddexp(0, zu).mean() - share * np.logaddexp(0, zp).mean()
+        as_zero = [a / batch - share * b / batch for a, b in zip(
             net.gradient(u, hu, sigmoid(zu)), net.gradient(p, hp, sigmoid(zp)), strict=True)]
         if unlabelled_risk >= 0:
             as_one = net.gradient(p, hp, sigmoid(zp) - 1)
@@ -112,11 +115,36 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return net
 
 
-def _sample(rows: DataFrame, key: str, total: int, most: int) -> np.ndarray:
-    """About ``most`` feature rows, chosen by the hash of the key."""
-    if total > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(10), key), F.lit(1_000_000)) < int(1e6 * most / total))
-    got = rows.select("_f").collect()
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, room: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, from both samples alone (best-bin estimation).
+
+    A model fitted on one half of both samples orders the other half. If positives among the unlabelled look like the
+    trusted ones, the share of unlabelled rows over a threshold is at least prior * the share of positives over it.
+    The ratio is taken where it is least, with the samples' deviations (probability 0.1) added at every threshold.
+    Of the estimate's range the lower end is returned: a prior that is too low by some share lowers positives' scores
+    by that share, while one that is too high counts negatives as positives."""
+    g = np.random.default_rng(seed)
+    p, u = positive[g.permutation(len(positive))], unlabelled[g.permutation(len(unlabelled))]
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    net = fit(p[::2], u[::2], 0.5, steps=600, seed=seed, unbiased=False)
+    zp, zu = np.sort(net.forward(p[1::2])[1]), np.sort(net.forward(u[1::2])[1])
+    over_p = 1 - np.arange(len(zp)) / len(zp)
+    over_u = 1 - np.searchsorted(zu, zp) / len(zu)
+    slack = sum(np.sqrt(np.log(4 / 0.1) / (2 * len(z))) for z in (zp, zu))
+    best = int(np.argmin((over_u + (1 + room) * slack) / over_p))
+    return float(np.clip(over_u[best] / over_p[best] - slack, 0.01, 0.99))
+
+
+def _sample(rows: DataFrame, total: int, most: int) -> np.ndarray:
+    """At most ``most`` of the ``total`` feature rows, chosen by the hash of key and features.
+
+    A threshold on the 64-bit hash leaves about twice as many, of which the least hashes are taken, so the bound holds
+    for any keys and any size. Equal rows are chosen or left together; where that leaves nothing, any rows serve."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(10), "_key", "_f"), 1)
+    below = min(2**63 - 1, int(2**63 * min(1.0, 2 * most / max(total, 1))))
+    near = rows.where(h <= F.lit(below)).select("_f", h.alias("_h"))
+    got = near.orderBy("_h", "_f").limit(most).select("_f").collect() or rows.select("_f").limit(most).collect()
     return np.array([r["_f"] for r in got], np.float64).reshape(-1, len(FEATURES))
 
 
@@ -127,11 +155,11 @@ def quality_scores(
     """(key, held_out, score, predicted) for every row of ``docs``.
 
     Labels are read only of rows whose crc32(key as text) mod ``folds`` is not ``held_out_fold``; the model
-    sees the text's features and nothing else. About ``fit_rows`` trusted positives and as many unlabelled
-    texts are used to fit; the prior is the labelled rows' share of positives, drawn from all of them.
+    sees the text's features and nothing else. At most ``fit_rows`` trusted positives (label 1; other
+    labels aren't used) and as many unlabelled texts, drawn from all of them, are used to fit and to estimate the prior.
 
     A null or empty text has zero features and gets a score too; a null key is never held out nor labelled;
-    rows sharing a key are scored one by one. Without any labelled positive every score is 0. An empty
+    rows sharing a key are scored one by one, and a text of any length is read whole. Without any labelled positive every score is 0. An empty
     table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -148,21 +176,16 @@ def quality_scores(
     known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_y")).where("_key IS NOT NULL AND _y IS NOT NULL")
     known = known.where(~fold)
     told = seen.join(known, "_key")
-    count = told.agg(F.count_if(F.col("_y") == 1).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    total = seen.count()
-    if not count["p"]:
+    trusted = told.where("_y = 1")
+    count, total = trusted.count(), seen.count()
+    if not count:
         return seen.select(F.col("_key").alias(key), F.col("_out").alias("held_out"), F.lit(0.0).alias("score"),
                            F.lit(0).alias("predicted"))
-    # Estimated with one case of each class added, so that it is never 0 or 1.
-    prior = (count["p"] + 1) / (count["n"] + 2)
-    positive = _sample(told.where("_y = 1"), "_key", count["p"], fit_rows)
-    unlabelled = _sample(seen, "_key", total, fit_rows)
-    if not len(positive) or not len(unlabelled):  # a sampled share of very few rows may be empty
-        positive = _sample(told.where("_y = 1"), "_key", 0, 1) if not len(positive) else positive
-        unlabelled = positive if not len(unlabelled) else unlabelled
+    positive, unlabelled = _sample(trusted, count, fit_rows), _sample(seen, total, fit_rows)
     mean, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     scale = lambda x: np.clip((x - mean) / spread, -8, 8)
-    net = fit(scale(positive), scale(unlabelled), prior)
+    positive, unlabelled = scale(positive), scale(unlabelled)
+    net = fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
     def score(batches):
         for batch in batches:
