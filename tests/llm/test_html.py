@@ -86,3 +86,34 @@ REMARK = f"<section class='comments-area'><p>{LONG * 9}</p></section>"
 ])
 def test_names_of_layout_wrappers(page, want):
     assert main_text(page) == "\n".join(want)
+
+
+ASIDE = "<form action=/s><label>Name</label><input name=q><p>Sign up for our letters</p><button>Go</button></form>"
+
+
+@pytest.mark.parametrize("page, want", [
+    # A form that wraps the page is no furniture, one beside or inside the article is.
+    (f"<form id='aspnetForm'><div class=menu><a href='/'>Home</a></div><div>{P * 3}</div><label>Search</label></form>", [ONE] * 3),
+    (f"<form id='aspnetForm'><article><h1>T</h1>{P * 3}{ASIDE}</article></form>", ["T"] + [ONE] * 3),
+    (f"<article>{P * 3}{ASIDE}</article>{ASIDE}", [ONE] * 3),
+    (f"<div>{P * 3}</div>{ASIDE}", [ONE] * 3),
+    ("<form><label>User</label><input><label>Password</label><input><button>Log in</button>or <a href=/r>register</a></form>", []),
+    # Ids made from headings, classes about a subject.
+    (f"<article>{P}<section id='related-work'><h2>Related work</h2>{P}</section><h2 id='login'>Login</h2>{P}</article>",
+     [ONE, "Related work", ONE, "Login", ONE]),
+    (f"<article>{P}<section id='navigation'><h2>Navigation</h2>{P}</section><p class='share-price'>Price 5</p></article>",
+     [ONE, "Navigation", ONE, "Price 5"]),
+    (f"<article>{P * 3}</article><section id='comments'><h2>Comments</h2>{P * 9}</section>", [ONE] * 3),
+    (f"<article>{P * 3}</article><section id='related-posts'><h2>Related posts</h2><a href='/a'>One</a><a href='/b'>Two</a></section>",
+     [ONE] * 3),
+    # Formulas are text; their source notation isn't.
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p>{P}</article>", ["Let x=2 be.", ONE]),
+    # Quotes delimit only after an equals sign.
+    (f"<article><p><a title=Bob's href=/x>Bob</a> and it's fine</p>{P}<p title='a > b'>c</p></article>", ["Bob and it's fine", ONE, "c"]),
+    ("<article><p>" + "<a x=\"1\" " * 4000, [("<a x=\"1\" " * 4000).strip()]),
+    # A slash doesn't end a script.
+    (f"<article>{P}<script src='x'/>alert(1)</script>{P}</article>", [ONE] * 2),
+    (f"<article>{P}<svg/>{P}<iframe src='y'/></article>", [ONE] * 2),
+])
+def test_common_layouts(page, want):
+    assert main_text(page) == "\n".join(want)

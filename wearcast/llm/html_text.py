@@ -23,8 +23,11 @@ from wearcast.llm.arrow import as_text, by_slice
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp "
-    "small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
+    "small span strike strong sub sup time tt u var wbr "
+    "math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle "
+    "mspace mpadded menclose mmultiscripts semantics annotation annotation-xml".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these closes an open element of the listed names.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
@@ -32,7 +35,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("ul ol dl table html body".split())
 
 # What is never article text.
-DROP_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | RAW
+DROP_TAGS = frozenset("nav footer aside button dialog menu head label legend annotation annotation-xml".split()) | RAW
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie "
@@ -44,12 +47,14 @@ OUTER_NAMES = DROP_NAMES | {"header"}
 COMMENT_NAMES = frozenset("comment comments reply replies related teaser".split())
 #: First or last parts of class names that tell what a page has or is about, not what the element is.
 STATES = frozenset("has no not non with without hide show category cat tag open closed enabled disabled".split())
-GONE, NAMED, REMARKS = 1, 2, 3
-#: An element of such a name stays if it holds more than this share of a page's text and the page has no article.
-MOST = {NAMED: 0.5, REMARKS: 0.9}
+GONE, NAMED, REMARKS, FORM = 1, 2, 3, 4
+#: An element of such a name stays if it holds more than this share of a page's text and the page has no article;
+#: a form (some systems wrap whole pages in one) only if that text has paragraphs or headings, too.
+MOST = {NAMED: 0.5, REMARKS: 0.9, FORM: 0.5}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+OPEN_COMMENT = re.compile(r"<!--.*()()()", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,11 +73,17 @@ def _matches(value: str, names: frozenset[str]) -> bool:
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> int:
-    """GONE: not article text, whatever it holds; NAMED, REMARKS: by its class or id, unless it holds the main text."""
+    """GONE: not article text, whatever it holds; NAMED, REMARKS, FORM: unless it holds the main text.
+
+    Headings have ids made from their words and paragraphs classes about their subject: of a heading no name counts,
+    of a paragraph only one that is a word of the lists as a whole.
+    """
     if tag in DROP_TAGS:
         return GONE
     if tag == "header":
         return 0 if in_article else GONE
+    if tag == "form":
+        return FORM
     if not attributes.strip(" /") or tag in ("html", "body"):
         return 0
     values = []
@@ -84,6 +95,10 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> int:
                 name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return GONE
+    if tag in HEADINGS:
+        return 0
+    if tag == "p":
+        values = [x for v in values for x in v.split() if x.lower() in OUTER_NAMES]
     if any(_matches(v, COMMENT_NAMES) for v in values):
         return REMARKS
     if tag in ARTICLE or not any(_matches(v, DROP_NAMES if in_article else OUTER_NAMES) for v in values):
@@ -96,13 +111,14 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.texts = ["body"], [-1], []  # texts: (node, text)
-        named: dict[int, int] = {}  # nodes that go by their name: NAMED or REMARKS
+        named: dict[int, int] = {}  # nodes that go by their name or as forms
+        ids: dict[int, str] = {}  # ids of those
         stack, articles = [0], [False]
         gone = 0  # place on the stack of the element whose content is left out
         at, length = 0, len(page)
-        find = TOKEN.search
+        closes = page.rfind(">")  # behind it only an open comment is markup
         while at < length:
-            m = find(page, at)
+            m = (TOKEN if at <= closes else OPEN_COMMENT).search(page, at)
             end = m.start() if m else length
             if end > at and not gone:
                 self.texts.append((stack[-1], unescape(page[at:end]) if "&" in page[at:end] else page[at:end]))
@@ -114,9 +130,11 @@ class Tree:
                 continue
             tag = tag.lower()
             if tag in RAW and not closing:
-                if not attributes.endswith("/"):
+                # A slash ends drawings only; elsewhere it means nothing, unless no end tag follows at all.
+                slash = attributes.endswith("/")
+                if not (slash and tag == "svg"):
                     stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                    at = stop.end() if stop else length
+                    at = stop.end() if stop else at if slash else length
                 continue
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
@@ -155,11 +173,36 @@ class Tree:
                 gone = len(stack) - 1
             elif kind:
                 named[node] = kind
+                if kind != FORM and (tag == "section" or articles[-2]):
+                    ids[node] = next((v.strip("\"'") for x, v in ATTRIBUTE.findall(attributes) if x.lower() == "id"), "")
         self.count = len(self.tag)
+        self._spare_titled(named, ids)
         self.left_out = self._leave_out(named)
         if named:
             self.texts = [x for x in self.texts if not self.left_out[x[0]]]
 
+    def _spare_titled(self, named: dict[int, int], ids: dict[int, str]) -> None:
+        """Sections whose id is made from their own heading, and that hold more prose than links, aren't furniture by
+        that id ('related-work', 'navigation'); single words for readers' comments stay so."""
+        live = {i for i, x in ids.items() if x and x.lower() not in COMMENT_NAMES}
+        if not live:
+            return
+        at = {i: [0, 0, ""] for i in live}  # characters, those in links, first heading
+        for node, text in self.texts:
+            words, link, heading, i = "".join(text.split()), False, False, node
+            while i >= 0 and words:
+                link, heading = link or self.tag[i] == "a", heading or self.tag[i] in HEADINGS
+                if i in live:
+                    at[i][0] += len(words)
+                    at[i][1] += len(words) * link
+                    if heading and not at[i][2]:
+                        at[i][2] = text
+                i = self.parent[i]
+        for i, (chars, links, title) in at.items():
+            made = "-".join(re.findall(r"\w+", title.lower()))
+            if made and made == "-".join(re.findall(r"[^\W_]+", ids[i].lower())) and 3 * links <= chars and chars > 2 * len(title):
+                del named[i]
+
     def _leave_out(self, named: dict[int, int]) -> list[bool]:
         """Which nodes go with the ``named`` elements: all below these but an article and the page's main text."""
         n, parent = self.count, self.parent
@@ -169,8 +212,10 @@ class Tree:
         chars, longest = [0] * n, [0] * n  # longest: characters of the longest article or main element at or below
         for node, text in self.texts:
             chars[node] += len("".join(text.split()))
+        prose = [c > 0 and tag in ("p", *HEADINGS) for c, tag in zip(chars, self.tag, strict=True)]
         for i in range(n - 1, 0, -1):
             p = parent[i]
+            prose[p] = prose[p] or prose[i]
             if self.tag[i] in ARTICLE and i not in named:
                 longest[i] = max(longest[i], chars[i])
             longest[p] = max(longest[p], longest[i])
@@ -180,7 +225,8 @@ class Tree:
                 out[i] = True
             elif i in named:
                 # Short articles inside are teasers or comments beside a longer one elsewhere.
-                out[i] = 2 * longest[i] < longest[0] if longest[0] else chars[i] <= MOST[named[i]] * chars[0]
+                out[i] = 2 * longest[i] < longest[0] if longest[0] else (
+                    chars[i] <= MOST[named[i]] * chars[0] or (named[i] == FORM and not prose[i]))
         return out
 
     def densities(self) -> tuple[list[float], list[float]]:
@@ -303,8 +349,9 @@ def main_text(page: str) -> str:
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(``keep``, text, n_chars): the main text of every page, from its whole source.
 
-    A null or empty page, and one without text, gives ''. Pages are worked on one by one, whatever their keys;
-    broken markup never fails (open elements end with the page, stray end tags are ignored).
+    A null or empty page, and one without text, gives ''. Pages are worked on one by one, whatever their keys, so
+    repeated rows give repeated results; an empty table gives none; a page of any length is read whole, in one task.
+    Broken markup never fails (open elements end with the page, stray end tags are ignored).
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
