@@ -1,7 +1,7 @@
 import random
 
 from tests.llm.common import awkward, awkward_rows, empty, prose
-from wearcast.llm.decontaminate import Matcher, decontaminate, find_leaks, myers, normalise
+from wearcast.llm.decontaminate import LEAST_WORDS, Matcher, decontaminate, find_leaks, myers, normalise
 
 
 def distances(p, t):
@@ -97,3 +97,18 @@ def test_short_items(spark):
         assert kept == {i for i, found in enumerate(TEXTS.values()) if not found} | {99}
     first = next(r for r in rows if r["item_id"] == 1)
     assert normalise(next(iter(TEXTS)))[first["start"]:first["end"]] == "who wrote hamlet"
+
+
+def test_short_common_items_are_reported_and_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "the end"), (2, "Who wrote Hamlet? Yes, 42."), (3, None), (4, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "Yes"), (3, "42"), (4, "Who wrote Hamlet?")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()) == [(1, 1), (2, 2), (2, 3), (2, 4)]
+    clean = lambda items: sorted(r["doc_id"] for r in decontaminate(docs, items, least_words=LEAST_WORDS).collect())
+    assert clean(items) == [1, 3, 4] and clean(items.where("item_id < 4")) == [1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in decontaminate(docs, items).collect()) == [3, 4]
+    han = spark.createDataFrame([(1, "谁写了哈姆雷特？"), (2, "中")], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "请问谁写了哈姆雷特呢"), (2, "中国")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate(asked, han, least_words=LEAST_WORDS).collect()] == [2]
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    the = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert decontaminate(real, the, least_words=LEAST_WORDS).count() == real.count() > find_leaks(real, the).count() > 0

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def good(text):
     n, _, _, _, repeated, covered, longest = measured(text or "", 10)
-    return n >= 50 and 100 * repeated <= 50 * n and covered <= 0.4 * n and not (longest > 50 and longest > 0.25 * n)
+    return n >= 50 and 100 * repeated <= 50 * n and covered <= 0.4 * n and not (longest > 50 and longest > 0.15 * n)
 
 
 def without_lines(rows):

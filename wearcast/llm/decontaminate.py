@@ -24,6 +24,8 @@ from wearcast.llm.arrow import as_text, by_slice
 
 #: Items are searched in blocks of about this many characters; each block enters the tasks whole.
 BLOCK_CHARS = 500_000
+#: Words and symbols from which on a short item tells its copies from common speech.
+LEAST_WORDS = 3
 #: Results of short verifications that a worker remembers.
 MEMO = 50_000
 WORD = re.compile(r"[^\W_]+")
@@ -59,6 +61,11 @@ def searched_form(text: str, min_chars: int) -> tuple[str, int]:
     return with_symbols(text), SYMBOLS
 
 
+def _words(form: str) -> int:
+    """Words and symbols of a searched form; in scripts without spaces, characters."""
+    return sum(len(UNSPACED.findall(x)) or 1 for x in form.split())
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """(least edit distance of ``pattern`` to any part of ``text``, end of the first such part)."""
     m = len(pattern)
@@ -233,7 +240,7 @@ def find_leaks(
     0); those with symbols beyond sentence marks, or with marks but no letters, by exact copies of their words
     and symbols, whose places count in the form that keeps each symbol as a word. Null and blank items have
     nothing to look for; null documents hold nothing; documents are searched row by row, so repeated rows give
-    repeated results. Items pass through the tasks in blocks of bounded size: more items mean more passes, not
+    repeated results, an empty table none; a text of any length is searched whole. Items pass through the tasks in blocks of bounded size: more items mean more passes, not
     more memory.
     """
     spark = docs.sparkSession
@@ -266,11 +273,22 @@ def find_leaks(
 def decontaminate(
     docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, text: str = "text",
     item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
+    least_words: int = 1,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no test item (see ``find_leaks``), all columns unchanged."""
+    """The rows of ``docs`` that hold no test item (see ``find_leaks``), all columns unchanged.
+
+    Items without room for errors (under ``min_chars``) that have fewer than ``least_words`` words and symbols say
+    nothing about a document ('Yes', '42', 'the'): ``find_leaks`` reports them, but they remove none (``LEAST_WORDS``
+    is a sensible bound; 1 removes for any item). In scripts without spaces each character counts as a word. Null texts and
+    all rows of a table without other items stay, repeated rows stay or go together, an empty table stays empty, and
+    a text of any length is searched whole.
+    """
     columns = docs.columns
     at = columns.index(text)
     for block in item_blocks(items, item_key, item_text, min_chars, block_chars):
+        block = [x for x in block if x[2] == EDITS or _words(x[1]) >= least_words]
+        if not block:
+            continue
         matcher = _searching(block, rate)
 
         def work(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
