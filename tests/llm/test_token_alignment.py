@@ -3,6 +3,7 @@ import random
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
@@ -103,6 +104,17 @@ def test_windows_are_remembered_and_forgotten(monkeypatch):
     assert len(one.index) < windows
 
 
+def test_words_give_the_library_s_pieces():
+    g, one = random.Random(9), Sides(A, B)
+    some = [t for t in texts() if t]
+    some += ["".join(g.choice("ab  \n\té漢▁<0xA>'—🎉") for _ in range(g.randint(1, 25))) for _ in range(3000)]
+    ids, n = one._pieces(as_text(pa.array(some)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == one.model.encode(some)
+    even = [t for t in some if "  " not in t and t.strip(" ") == t and "▁" not in t and "\0" not in t]
+    ids, n = one._pieces(as_text(pa.array(even)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == one.model.encode(even)
+
+
 def test_general_results(spark):
     docs = spark.createDataFrame([("x", "one two one"), ("y", None), ("z", "two")], "id string, body string")
     aligned = align_tokens(docs, A, B, key="id", text="body")

@@ -19,6 +19,7 @@ import os
 import re
 from collections import defaultdict
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from wearcast.llm.tokens import PartEncoder, tokenizer_path
 
 #: Tokens in remembered windows of one worker; it starts anew beyond this.
 MEMO_TOKENS = 1_000_000
+#: Words that go to the library in one text.
+GROUP = 64
 #: Added to B's ids in a window's key, above every id.
 SIDE_B = 1 << 24
 SPACE = "▁"
@@ -58,6 +61,16 @@ def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
+def shared_ends(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of the tokens of both sides that end at the same byte."""
+    total = int(max(end_a[-1], end_b[-1])) if len(end_a) and len(end_b) else 0
+    token = np.full(total + 1, -1, np.int64)
+    token[end_b] = np.arange(len(end_b))
+    j = token[end_a] if total else token[:0]
+    i = np.flatnonzero(j >= 0)
+    return i, j[i]
+
+
 class Sides:
     """Both tokenizers, the bytes of their entries, and the list of possible links."""
 
@@ -72,6 +85,7 @@ class Sides:
         names = [self.parts.tok.id_to_token(i) or "" for i in range(vocab)]
         self.bytes_a = [bytes(char[c] for c in x) if all(c in char for c in x) else x.encode() for x in names]
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.words_apart = not any(SPACE in x.lstrip(SPACE) for x in pieces)
         raw = re.compile("<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := raw.fullmatch(x)) else x.replace(SPACE, " ").encode()
                         for x in pieces]
@@ -118,17 +132,14 @@ class Sides:
         agree = raw == self.raw_b[gather(self.first_b[b], self.size_b[b])]
         edge = np.concatenate(([0], np.cumsum(np.bincount(of[~on_b], self.size_a[a], len(keys)).astype(np.int64))))
         good = np.logical_and.reduceat(agree, edge[:-1]) if len(keys) else agree
-        # Groups end where tokens of both sides end: i and j are their last tokens.
-        at = np.minimum(np.searchsorted(end_b, end_a), max(len(end_b) - 1, 0))
-        i = np.flatnonzero(end_b[at] == end_a)
-        j = at[i]
+        i, j = shared_ends(end_a, end_b)  # the last tokens of the groups
         held_by = of[~on_b][i]
         pair = a[i] * SIDE_B + b[j]
         link = np.minimum(np.searchsorted(self.links, pair), len(self.links) - 1)
         if not (self.links[link] == pair)[good[held_by]].all():
             raise ValueError("a link outside the list of possible ones")
         # The shown form: each group's ids of A, then of B, every id with the sign that follows it.
-        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        group_a, group_b = (np.cumsum(np.bincount(x + 1, minlength=n + 1))[:n] for x, n in ((i, len(a)), (j, len(b))))
         place_a = np.arange(len(a)) + np.concatenate(([0], j + 1))[group_a]
         place_b = np.arange(len(b)) + (i + 1)[group_b]
         number, sign = np.empty(len(ids), np.int64), np.full(len(ids), ord(","), np.uint8)
@@ -154,19 +165,45 @@ class Sides:
         """(A's ids, A's ids per text, B's ids, B's ids per text) of non-empty texts."""
         one = pa.scalar(" ", pa.large_string())
         a, n_a = self.parts.encode(pc.binary_join_element_wise(one, texts, pa.scalar("", pa.large_string())))
-        ids = self.model.encode(texts.to_pylist(), num_threads=1)
-        n_b = np.fromiter(map(len, ids), np.int64, len(ids))
-        b = np.concatenate([np.array(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
-        return a.astype(np.uint32), n_a, b, n_b
+        return a.astype(np.uint32), n_a, *self._pieces(texts)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(B's ids, B's ids per text). No piece holds a space mark behind another character, so a text's ids are those
+        of its words, each with the space before it; each distinct word of a slice is encoded once. Texts with other
+        spacing, with the mark's own character, or for a vocabulary with such pieces go to the library whole."""
+        plain = pc.invert(pc.match_substring_regex(texts, f"^ |  | $|{SPACE}|\x00")).to_numpy(zero_copy_only=False)
+        plain &= self.words_apart
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        others = np.flatnonzero(~plain).tolist()
+        if others:
+            for i, ids in zip(others, self.model.encode(texts.take(pa.array(others)).to_pylist(), num_threads=1), strict=True):
+                parts[i] = np.array(ids, np.uint32)
+        if not plain.any():
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        groups = [" ".join(distinct[x:x + GROUP]) for x in range(0, len(distinct), GROUP)]
+        pool = np.array([i for ids in self.model.encode(groups, num_threads=1) for i in ids], np.uint32)
+        first = np.flatnonzero(self.mark_b[pool])
+        size = np.diff(np.r_[first, len(pool)])
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ids = pool[gather(first[at], n)]
+        total = np.diff(np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(each)))])
+        if not others:
+            return ids, total
+        for i, x in zip(np.flatnonzero(plain).tolist(), np.split(ids, np.cumsum(total)[:-1]), strict=True):
+            parts[i] = x
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def windows(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(remembered window, document) of the windows of documents whose sides have equally many bytes."""
         docs = np.arange(len(n_a))
         doc_a, doc_b = np.repeat(docs, n_a), np.repeat(docs, n_b)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
-        shared = np.flatnonzero(end_b[at] == end_a)
-        i, j = shared, at[shared]
+        i, j = shared_ends(end_a, end_b)
         last = np.r_[doc_a[1:] != doc_a[:-1], True][i]
         spaced = np.r_[self.mark_a[a[1:]], True][i] & np.r_[self.mark_b[b[1:]], True][j]
         anchor = last | spaced
@@ -182,8 +219,10 @@ class Sides:
         distinct = keys.dictionary.to_pylist()
         if self.held > MEMO_TOKENS:
             self.forget()
-        self._learn([k for k in distinct if k not in self.index])
-        known = np.fromiter((self.index[k] for k in distinct), np.int64, len(distinct))
+        known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        known[new] = len(self.count) + np.arange(len(new))
+        self._learn([distinct[x] for x in new.tolist()])
         return known[keys.indices.to_numpy()], doc_a[i]
 
     def align(self, texts: pa.Array, digest: bool) -> list:
