@@ -1,10 +1,12 @@
+import random
 import zlib
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.llm.common import awkward, awkward_rows, empty
-from wearcast.llm.line_dedup import OP8_SQL, dedup_lines, keep_bitmaps
+from wearcast.llm.line_dedup import OP8_SQL, common_lines, dedup_lines, keep_bitmaps, kept_runs, line_places
 from wearcast.llm.sharding import capacities, fill, preferences, ring_points, shard_documents
 
 
@@ -74,3 +76,40 @@ def test_line_dedup_awkward_rows(spark):
             assert r[-2] == 0
     assert dedup_lines(empty(spark)).count() == 0
     assert keep_bitmaps(awkward(spark), min_docs=100).count() == 0
+
+
+def test_common_lines_in_slices_equal_counting_documents(spark):
+    g = random.Random(8)
+    lines = [f"line number {k} stands in {k} documents or so, and is long" for k in range(40)]
+    texts = {i: [x for k, x in enumerate(lines) if g.random() < k / 40] * g.choice([1, 2]) for i in range(400)}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string").repartition(4)
+    places = line_places(docs, 40, "doc_id", "text")
+    got = common_lines(places, 100).select("_h1", "_keep").distinct().collect()
+    holders = {x: [i for i, t in texts.items() if x in t] for x in lines}
+    want = sorted(max(h) for h in holders.values() if len(h) >= 100)
+    assert sorted(r["_keep"] for r in got) == want and len(want) > 20
+    cut = {r["doc_id"]: r["kept"] for r in dedup_lines(docs, min_docs=100).select("row.doc_id", "kept").collect()}
+    for i, t in texts.items():
+        assert cut[i] == "\n".join(x for x in t if len(holders[x]) < 100 or max(holders[x]) == i)
+
+
+def test_a_hot_line_is_spread_and_counted_without_a_second_shuffle(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('the same long line ', 3) AS text")
+    common = common_lines(line_places(docs, 40, "doc_id", "text"), 5)
+    rows = common.collect()
+    assert len(rows) > 1000 and {r["_keep"] for r in rows} == {2999}
+    plan = common._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") >= 1 and "hashpartitioning(_h1#" in plan
+    # The window and the slices' counts take the range partitioning as it is.
+    assert not any("hashpartitioning" in x and "_slice" in x for x in plan.splitlines())
+
+
+def test_kept_runs_equal_a_walk_over_the_lines(spark):
+    g = random.Random(3)
+    cases = [(n, sorted(g.sample(range(n), g.randint(1, n)))) for n in (1, 2, 3, 5, 9, 40) for _ in range(15)]
+    got = spark.createDataFrame(cases, "n int, drops array<int>").select(
+        "n", "drops", kept_runs(F.col("drops")).alias("runs")).collect()
+    for n, drops, runs in got:
+        kept = [p for r in runs for p in range(r["start"], n if r["stop"] is None else r["stop"])]
+        assert kept == [p for p in range(n) if p not in drops]
+        assert all(a["stop"] < b["start"] for a, b in zip(runs, runs[1:]))
