@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.common import awkward, awkward_rows, empty, prose
+from wearcast.llm import jaccard_join as module
 from wearcast.llm.jaccard_join import COORDINATES, _groups, components, jaccard_join, leaves, one_per_group, runs_needed
 
 
@@ -127,3 +128,36 @@ def test_groups_are_bounded_by_bytes():
         sizes = [x.num_rows for x in _groups(iter(batches), most_bytes=10_000)]
         assert sum(sizes) == n and max(sizes) <= 10 and not any(x % 2 for x in sizes)
     assert [x.num_rows for x in _groups(iter([t]), most_bytes=1_000)] == [2] * 20
+
+
+def test_texts_of_equal_first_hash_stay_apart(spark, monkeypatch):
+    rows = [(i, t) for i, t in corpus() if i % 3 == 0 or t is None or len(t) < 40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, *x) for (i, _), x in brute(rows).items())
+    groups = {x[2] for x in brute(rows).values()}
+    monkeypatch.setattr(module, "text_hashes", lambda t: (
+        F.pmod(F.xxhash64(t), F.lit(17)).alias("_h1"), F.xxhash64(F.lit(7), t).alias("_h2")))
+    assert told(jaccard_join(docs)) == want
+    assert {r["doc_id"] for r in one_per_group(docs).collect()} == groups
+
+
+def test_text_keys(spark):
+    rows = [(f"doc-{i:04}" if i % 7 else None, t) for i, t in corpus()[:200]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    known = brute(rows)
+    assert told(jaccard_join(docs)) == Counter((i, *known[(i, t)]) for i, t in rows)
+    kept = {r["doc_id"] for r in one_per_group(docs).collect()}
+    assert kept - {None} == {x[2] for x in known.values()} - {None}
+
+
+def test_hot_paths_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(module, "HOT", 50)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(jaccard_join(docs, limit=20, block=50)) == Counter((i, *x) for (i, _), x in brute(rows).items())
+    paths = spark.range(400).selectExpr("id AS _k", "IF(id % 4 = 0, id, 7) AS _path")
+    size = paths.groupBy("_path").count().withColumnRenamed("count", "_size")
+    got = module._with_size(paths, size).select("_k", "_path", "_size", "_salt").collect()
+    assert Counter((r["_k"], r["_path"], r["_size"]) for r in got) == Counter(
+        (i, i if i % 4 == 0 else 7, 1 if i % 4 == 0 else 300) for i in range(400))
+    assert len({r["_salt"] for r in got if r["_path"] == 7}) > 100

@@ -33,10 +33,26 @@ COORDINATES = 64
 FACTORS = np.random.default_rng(20).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Groups of up to so many rows are compared pair by pair, larger ones as matrices.
 DENSE = 128
+#: The rows of a path that holds more than ``HOT`` rows and one in 1,000 of all shared ones meet their count in so many salts.
+SALTS, HOT = 1024, 10_000
 #: A block holds about this many shingles at most, 8 bytes each; a pair of blocks twice as many.
 BLOCK_SHINGLES = 4_000_000
 
 
+# Identity -----------------------------------------------------------------------------------------------
+
+def text_hashes(text: str) -> tuple[Column, Column]:
+    """The two hashes _h1 and _h2 that tell texts apart, 128 bits together."""
+    return F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(7), text).alias("_h2")
+
+
+def _parted(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """``rows`` with a ``_k`` of their own for the texts that share theirs with the text of least ``_h2``."""
+    other = F.col("_first").isNotNull() & (F.col("_h2") != F.col("_first"))
+    return rows.join(clashes, "_k", "left").withColumn(
+        "_k", F.when(other, F.xxhash64("_k", "_h2")).otherwise(F.col("_k"))).drop("_first")
+
+
 # Shingles -----------------------------------------------------------------------------------------------
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -88,7 +104,7 @@ def _sample(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     flat = pa.array(sig.reshape(-1))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * COORDINATES + 1, COORDINATES, dtype=np.int32)), flat)
     return pa.RecordBatch.from_arrays(
-        [*batch.columns[:-1], pa.array(count.astype(np.int32)), lists], names=["_id", "_k", "_n", "_sig"])
+        [*batch.columns[:-1], pa.array(count.astype(np.int32)), lists], names=["_id", "_h1", "_h2", "_n", "_sig"])
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
@@ -141,8 +157,8 @@ def leaves(classes: DataFrame, runs: int, depth: int, limit: int, block: int, bl
     rows = classes.select("_k", "_n", F.explode(F.array(*roots)).alias("_path"))
     found = None
     for level in range(1, depth + 1):
-        size = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_size"), parts.alias("_blocks")).where("_size > 1")
-        here = written(rows.join(size, "_path").select("_k", "_path", "_size", "_blocks"), f"paths{level}")
+        size = written(rows.groupBy("_path").agg(n.alias("_size"), parts.alias("_blocks")).where("_size > 1"), f"sizes{level}")
+        here = written(_with_size(rows, size).select("_k", "_path", "_size", "_blocks"), f"paths{level}")
         large = here.where(F.col("_size") > limit)
         if level == depth or large.isEmpty():
             return here if found is None else found.unionByName(here)
@@ -157,6 +173,19 @@ def leaves(classes: DataFrame, runs: int, depth: int, limit: int, block: int, bl
     return found
 
 
+def _with_size(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """``rows`` joined to their path's row of ``size``; the rows of hot paths are spread over salts.
+
+    Fewer than 1,000 paths can hold more than one in 1,000 of the rows in ``size``, which bounds the broadcast table.
+    """
+    total = size.agg(F.sum("_size")).first()[0] or 0
+    hot = F.col("_size") > max(HOT, total // 1000)
+    salted = rows.join(F.broadcast(size.where(hot).select("_path", F.lit(SALTS).alias("_salts"))), "_path", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("_k"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    counts = size.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, F.lit(SALTS - 1)).otherwise(0))))
+    return salted.join(counts, ["_path", "_salt"])
+
+
 def _likeness() -> Column:
     """The mean similarity of a bucket's classes, from how often their sampled tokens' last bits agree."""
     one = [F.avg(F.get("_sig", F.lit(c)).bitwiseAND(1)) for c in range(0, COORDINATES, 2)]
@@ -373,8 +402,9 @@ def link_counts(docs: DataFrame, classes: DataFrame, similarity: float, size: in
         placed.repartition(*GROUP).sortWithinPartitions(*GROUP, "_k").mapInArrow(
             _by_group(lambda t: _candidates(t, similarity)),
             "_path long, _p int, _q int, _k long, _pos int, _mask binary"), "candidates")
-    wanted = light.select("_k").distinct().join(classes.select("_k", "_m"), "_k")
-    texts = docs.select("_k", F.coalesce("_id", "_k").alias("_m"), text).join(wanted, ["_k", "_m"]).dropDuplicates(["_k"])
+    wanted = light.select("_k").distinct().join(classes.select("_k", "_least"), "_k").withColumnRenamed("_k", "_wanted")
+    texts = docs.select("_k", "_id", text).join(
+        wanted, (F.col("_k") == F.col("_wanted")) & F.col("_id").eqNullSafe(F.col("_least"))).dropDuplicates(["_k"])
     sets = texts.select("_k", text).mapInArrow(
         by_slice(lambda b: _sets(b, size), text), "_k long, _set binary")
     return written(
@@ -421,7 +451,7 @@ def jaccard_join(
     limit: int = 200, block: int = 1_000, key: str = "doc_id", text: str = "text",
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """(key, _k, class_id, n_links, group_id) for every row.
+    """(key, _h1, _h2, class_id, n_links, group_id) for every row.
 
     ``class_id``: the least key among rows of equal text. ``n_links``: how many other texts have a Jaccard
     similarity of at least ``similarity`` on shingles of ``words`` words (white-space separated, as they
@@ -429,15 +459,23 @@ def jaccard_join(
     the row's own class if there is none.
 
     Rows of null or empty text form one class each without links. Rows without a key take part; a class with
-    none has a null class id. Rows that share key and text are rows of one class. Texts are told apart by a
-    64-bit hash ``_k``. An empty table gives an empty result.
+    none has a null class id. Rows that share key and text are rows of one class. Keys may be of any type that
+    has an order and keep it. Texts are told apart by 128 bits, ``_h1`` and ``_h2``, which the result holds too.
+    A very long text is one row of one task. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_k"), F.col(text))
-    kind = "_id long, _k long, _n int, _sig array<int>"
+    rows = docs.select(F.col(key).alias("_id"), *text_hashes(text), F.col(text))
+    kind = f"_id {rows.schema['_id'].dataType.simpleString()}, _h1 long, _h2 long, _n int, _sig array<int>"
     sampled = written(rows.mapInArrow(by_slice(lambda b: _sample(b, words), text), kind), "sampled")
-    classes = written(
-        sampled.groupBy("_k").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
-        .withColumn("_m", F.coalesce("_least", "_k")), "classes")
+    # A class goes by one 64-bit number, its first hash unless texts that differ in the second share it.
+    rows, sampled = rows.withColumn("_k", F.col("_h1")), sampled.withColumn("_k", F.col("_h1"))
+    while True:
+        classes = written(sampled.groupBy("_k").agg(
+            F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"),
+            F.min("_h2").alias("_first"), F.max("_h2").alias("_last")), "classes")
+        clashes = classes.where("_first <> _last").select("_k", "_first")
+        if clashes.isEmpty():
+            break
+        rows, sampled = _parted(rows, clashes), _parted(sampled, clashes)
     found = link_counts(rows, classes.where("_n > 0"), similarity, words, recall, depth, limit, block, block_shingles, text)
     links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
     label = components(found)
@@ -447,7 +485,7 @@ def jaccard_join(
     decided = grouped.join(least, "_label", "left").select(
         "_k", F.col("_least").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("_group", "_least").alias("group_id"))
-    return sampled.select(F.col("_id").alias(key), "_k").join(decided, "_k")
+    return sampled.select("_k", F.col("_id").alias(key), "_h1", "_h2").join(decided, "_k").drop("_k")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
@@ -457,12 +495,13 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **pa
     """
     told = jaccard_join(docs, key=key, text=text, **parameters)
     keep = told.where(F.col(key).eqNullSafe(F.col("group_id"))).select(
-        F.coalesce(key, "_k").alias("_m"), F.col("_k").alias("_h")).distinct()
-    h = F.xxhash64(text)
-    rows = docs.select(F.struct("*").alias("row"), h.alias("_h"), F.coalesce(F.col(key).cast("long"), h).alias("_m"))
-    return rows.join(keep, ["_m", "_h"], "left_semi").dropDuplicates(["_m", "_h"]).select("row.*")
+        F.col(key).alias("_kept"), F.col("_h1").alias("_kept1"), F.col("_h2").alias("_kept2")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_m"), *text_hashes(text))
+    same = (F.col("_m").eqNullSafe(F.col("_kept")) & (F.col("_h1") == F.col("_kept1"))
+            & (F.col("_h2") == F.col("_kept2")))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["_m", "_h1", "_h2"]).select("row.*")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_join(docs).drop("_k")
+    return jaccard_join(docs).drop("_h1", "_h2")
