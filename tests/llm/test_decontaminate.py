@@ -1,7 +1,9 @@
 import random
 
 from tests.llm.common import awkward, awkward_rows, empty, prose
-from wearcast.llm.decontaminate import LEAST_WORDS, Matcher, decontaminate, find_leaks, myers, normalise
+from wearcast.llm import decontaminate as module
+from wearcast.llm.arrow import SLICE_BYTES
+from wearcast.llm.decontaminate import LEAST_WORDS, Matcher, Search, decontaminate, find_leaks, myers, normalise
 
 
 def distances(p, t):
@@ -112,3 +114,49 @@ def test_short_common_items_are_reported_and_remove_nothing(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     the = spark.createDataFrame([(1, "the")], "item_id long, text string")
     assert decontaminate(real, the, least_words=LEAST_WORDS).count() == real.count() > find_leaks(real, the).count() > 0
+
+
+def test_all_blocks_in_one_pass(spark, monkeypatch):
+    """A hundred blocks read the corpus once; chunks of every size, few kept automata and several passes find the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    some = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    some += [(10_000 + i, prose(800 + i, 25)) for i in range(150)] + [(20_000, "who wrote hamlet"), (20_001, "x^2+y^2=z^2")]
+    items = spark.createDataFrame(some, "item_id long, text string")
+    told = lambda **k: sorted(find_leaks(docs, items, **k).collect())
+    kept = lambda **k: sorted(r["doc_id"] for r in decontaminate(docs, items, **k).collect())
+    one_block, clean = told(), kept()
+    small = sum(len(t) for _, t in some) // 120
+    [blocks] = module.item_passes(items, "item_id", "text", 20, small, module.PASS_CHARS)
+    assert one_block and len(clean) < docs.count() and len(blocks) >= 100
+    plan = find_leaks(docs, items, block_chars=small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    plan = decontaminate(docs, items, block_chars=small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for chunk in (16_000_000, 20_000):
+        monkeypatch.setattr(module, "CHUNK_BYTES", chunk)
+        assert told(block_chars=small * 8) == one_block and kept(block_chars=small * 8) == clean
+    plan = find_leaks(docs, items, block_chars=small * 8, pass_chars=small * 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") > 1
+    assert told(block_chars=small * 8, pass_chars=small * 40) == one_block
+    assert kept(block_chars=small * 8, pass_chars=small * 40) == clean
+
+
+def test_few_automata_are_kept():
+    blocks = [[(i, normalise(prose(i, 12)), module.EDITS)] for i in range(7)]
+    search = Search(blocks, 0.1)
+    texts = [prose(90, 30), f"{prose(91, 20)} {prose(3, 12)} {prose(5, 12)}", ""]
+    for _ in range(3):
+        found = search.find(texts)
+        assert [sorted(x) for x in found] == [[], [(3, 0), (5, 0)], []] and len(search.held) == module.HELD
+    assert [len(x) for x in search.find(texts, one=True)] == [0, 1, 0]
+
+
+def test_very_long_text(spark):
+    long = f"{prose(1, SLICE_BYTES // 6)} {prose(700, 12)}"
+    assert len(long) > SLICE_BYTES
+    docs = spark.createDataFrame([(1, long), (2, prose(2, 40)), (1, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, prose(700, 12))], "item_id long, text string")
+    rows = find_leaks(docs, items).collect()
+    plain = normalise(long)
+    assert len(rows) == 2 and all(plain[r["start"]:r["end"]] == normalise(prose(700, 12)) for r in rows)
+    assert [r["doc_id"] for r in decontaminate(docs, items).collect()] == [2]

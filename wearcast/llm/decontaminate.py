@@ -9,12 +9,15 @@ chance hits end at the first, short node.
 
 Short items have no room for errors: they are found by their exact words, or, where symbols carry their
 meaning (formulas, code, numbers with signs), by their exact words and symbols.
+
+The corpus is read once for all blocks: a task takes a chunk of texts, normalises it and looks for one block
+after another, so it holds few automata at a time, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +25,14 @@ from pyspark.sql import functions as F
 
 from wearcast.llm.arrow import as_text, by_slice
 
-#: Items are searched in blocks of about this many characters; each block enters the tasks whole.
+#: Items are searched in blocks of about this many characters; each block has an automaton of its own.
 BLOCK_CHARS = 500_000
+#: One pass over the corpus takes so many characters of items to the tasks at most; more items make further passes.
+PASS_CHARS = 20_000_000
+#: Automata that a task keeps; of a pass with more blocks it builds the others anew for each chunk of texts.
+HELD = 2
+#: The chunk's bytes of text: searching it takes several times as long as building an automaton.
+CHUNK_BYTES = 16_000_000
 #: Words and symbols from which on a short item tells its copies from common speech.
 LEAST_WORDS = 3
 #: Results of short verifications that a worker remembers.
@@ -191,46 +200,108 @@ class Finder:
         self.edits = Matcher(of(EDITS), rate) if self.numbers else None
         self.words, self.symbols = (Exact(of(way)) if of(way) else None for way in (WORDS, SYMBOLS))
 
-    def find(self, text: str) -> dict[int, tuple[int, int, int]]:
+    def find(self, plain: str, symbols: str) -> dict[int, tuple[int, int, int]]:
+        """item number: (distance, start, end), from a text's forms by ``normalise`` and ``with_symbols``."""
         found: dict[int, tuple[int, int, int]] = {}
-        if self.edits or self.words:
-            plain = normalise(text)
-            if self.edits:
-                found = {self.numbers[i]: copy for i, copy in self.edits.find(plain).items()}
-            if self.words:
-                found |= self.words.find(plain)
+        if self.edits:
+            found = {self.numbers[i]: copy for i, copy in self.edits.find(plain).items()}
+        if self.words:
+            found |= self.words.find(plain)
         if self.symbols:
-            found |= self.symbols.find(with_symbols(text))
+            found |= self.symbols.find(symbols)
         return found
 
 
-def item_blocks(items: DataFrame, item_key: str, text: str, min_chars: int, block_chars: int):
-    """Lists of (item id, searched form, way of searching), each of bounded size; equal items once; blank ones left out."""
+class Search:
+    """Looks for the items of all blocks of a pass in chunks of raw texts, one block after another."""
+
+    def __init__(self, blocks: list[list[tuple[int, str, int]]], rate: float):
+        self.blocks, self.rate = blocks, rate
+        ways = {x[2] for block in blocks for x in block}
+        self.plain, self.symbols = bool(ways & {EDITS, WORDS}), SYMBOLS in ways
+        self.held: dict[int, Finder] = {}
+
+    def finder(self, b: int) -> Finder:
+        found = self.held.get(b)
+        if found is None:
+            if len(self.held) >= HELD:
+                del self.held[next(iter(self.held))]
+            found = self.held[b] = Finder(self.blocks[b], self.rate)
+        return found
+
+    def find(self, texts: list[str], one: bool = False) -> list[dict[tuple[int, int], tuple[int, int, int]]]:
+        """Per text {(block, item number): (distance, start, end)}; with ``one`` a text that holds an item isn't searched on."""
+        plain = [normalise(t) for t in texts] if self.plain else texts
+        symbols = [with_symbols(t) for t in texts] if self.symbols else texts
+        found: list[dict] = [{} for _ in texts]
+        for b in sorted(range(len(self.blocks)), key=lambda b: b not in self.held):
+            finder = self.finder(b)
+            for row, mine in enumerate(found):
+                if not (one and mine):
+                    mine |= {(b, number): copy for number, copy in finder.find(plain[row], symbols[row]).items()}
+        return found
+
+
+def item_passes(items: DataFrame, item_key: str, text: str, min_chars: int, block_chars: int, pass_chars: int,
+                least_words: int = 1) -> Iterator[list[list[tuple[int, str, int]]]]:
+    """For each pass over the corpus its blocks: lists of (item id, searched form, way of searching).
+
+    Passes and blocks hold about ``pass_chars`` and ``block_chars`` characters, or one longer item. Equal items count once;
+    blank ones, and ones without room for errors of fewer than ``least_words`` words and symbols, are left out.
+    """
     rows = items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
+    passes = -(-chars // pass_chars)
+    for p in range(passes):
+        part = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == p).collect()
         kept = sorted(((r["k"], *searched_form(r["t"], min_chars)) for r in part), key=lambda x: (x[0] is None, x))
-        kept = [x for x in kept if x[1]]
-        if kept:
-            yield kept
+        blocks, size = [], block_chars
+        for item in kept:
+            if item[1] and (item[2] == EDITS or _words(item[1]) >= least_words):
+                if size + len(item[1]) > block_chars:
+                    blocks.append([])
+                    size = 0
+                blocks[-1].append(item)
+                size += len(item[1])
+        if blocks:
+            yield blocks
+
 
+def _searching(blocks: list[list[tuple[int, str, int]]], rate: float) -> Callable[[], Search]:
+    made: list[Search] = []
 
-def _searching(items: list[tuple[int, str, int]], rate: float) -> Callable[[], Finder]:
-    held: list[Finder] = []
+    def search() -> Search:
+        if not made:
+            made.append(Search(blocks, rate))
+        return made[0]
 
-    def matcher() -> Finder:
-        if not held:
-            held.append(Finder(items, rate))
-        return held[0]
+    return search
 
-    return matcher
+
+def _by_chunk(work, text: str, blocks: int):
+    """A mapInArrow function: ``work`` on slices of texts, or on chunks where automata have to be built for each."""
+    if blocks <= HELD:
+        return by_slice(work, text)
+    cut = by_slice(work, text, CHUNK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from cut(pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+        if held:
+            yield from cut(pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return run
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, key: str = "doc_id",
     text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
+    pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
     """(key, item_key, distance, budget, start, end) for each test item found in each document.
 
@@ -240,8 +311,8 @@ def find_leaks(
     0); those with symbols beyond sentence marks, or with marks but no letters, by exact copies of their words
     and symbols, whose places count in the form that keeps each symbol as a word. Null and blank items have
     nothing to look for; null documents hold nothing; documents are searched row by row, so repeated rows give
-    repeated results, an empty table none; a text of any length is searched whole. Items pass through the tasks in blocks of bounded size: more items mean more passes, not
-    more memory.
+    repeated results, an empty table none; a text of any length is searched whole. The corpus is read once for
+    every ``pass_chars`` characters of items (forms as searched), which bounds what tasks hold of them.
     """
     spark = docs.sparkSession
     schema = (f"`{key}` {docs.schema[key].dataType.simpleString()}, "
@@ -249,16 +320,16 @@ def find_leaks(
               "distance int, budget int, start long, end long")
     out = spark.createDataFrame([], schema)
     arrow = pa.schema([("distance", pa.int32()), ("budget", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    for block in item_blocks(items, item_key, item_text, min_chars, block_chars):
-        matcher = _searching(block, rate)
+    for blocks in item_passes(items, item_key, item_text, min_chars, block_chars, pass_chars):
+        search = _searching(blocks, rate)
 
-        def work(batch: pa.RecordBatch, block=block, matcher=matcher) -> pa.RecordBatch | None:
+        def work(batch: pa.RecordBatch, blocks=blocks, search=search) -> pa.RecordBatch | None:
             row, item, spans = [], [], []
-            for i, t in enumerate(as_text(batch.column(1)).to_pylist()):
-                for number, (distance, start, end) in sorted(matcher().find(t).items()):
+            for i, found in enumerate(search().find(as_text(batch.column(1)).to_pylist())):
+                for (b, number), (distance, start, end) in sorted(found.items()):
+                    name, form, way = blocks[b][number]
                     row.append(i)
-                    item.append(block[number][0])
-                    _, form, way = block[number]
+                    item.append(name)
                     spans.append((distance, int(rate * len(form)) if way == EDITS else 0, start, end))
             if not row:
                 return None
@@ -266,14 +337,14 @@ def find_leaks(
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(item), *cols], names=[key, item_key, *arrow.names])
 
-        out = out.unionByName(docs.select(key, text).mapInArrow(by_slice(work, text), schema))
+        out = out.unionByName(docs.select(key, text).mapInArrow(_by_chunk(work, text, len(blocks)), schema))
     return out
 
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, text: str = "text",
     item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
-    least_words: int = 1,
+    least_words: int = 1, pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no test item (see ``find_leaks``), all columns unchanged.
 
@@ -285,17 +356,14 @@ def decontaminate(
     """
     columns = docs.columns
     at = columns.index(text)
-    for block in item_blocks(items, item_key, item_text, min_chars, block_chars):
-        block = [x for x in block if x[2] == EDITS or _words(x[1]) >= least_words]
-        if not block:
-            continue
-        matcher = _searching(block, rate)
-
-        def work(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
-            clean = [not matcher().find(t) for t in as_text(batch.column(at)).to_pylist()]
+    for blocks in item_passes(items, item_key, item_text, min_chars, block_chars, pass_chars, least_words):
+        search = _searching(blocks, rate)
+
+        def work(batch: pa.RecordBatch, search=search) -> pa.RecordBatch:
+            clean = [not found for found in search().find(as_text(batch.column(at)).to_pylist(), one=True)]
             return batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(by_slice(work, text), docs.schema)
+        docs = docs.mapInArrow(_by_chunk(work, text, len(blocks)), docs.schema)
     return docs
 
 
