@@ -100,19 +100,58 @@ def test_quality_awkward_rows(spark, monkeypatch, rows):
 
 
 def test_quality_sample_is_bounded_for_any_key_and_size(spark):
-    n = len(quality_classifier.FEATURES)
     rows = spark.range(6000, numPartitions=6).select(
-        F.lit(7).cast("long").alias("_key"), F.array(*[(F.col("id") % (i + 2)).cast("float") for i in range(n)]).alias("_f"))
+        F.lit(7).cast("long").alias("_key"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("_text"))
     nulls = rows.withColumn("_key", F.lit(None).cast("long"))
-    same = rows.withColumn("_f", F.array(*[F.lit(1.0).cast("float")] * n))
+    same = rows.withColumn("_text", F.lit("one text"))
     for some in (rows, nulls, same):
         for total in (6000, 2 * 10**10):  # the second as if the table were that large
             got = quality_classifier._sample(some, total, 500)
-            assert 0 < len(got) <= 500
+            assert 0 < len(got) <= 500 and got.shape[1] == quality_classifier.COLUMNS
     spread = quality_classifier._sample(rows, 6000, 500)
     assert len(spread) == 500 and len(np.unique(spread, axis=0)) > 300
 
 
+def test_quality_labels_of_repeated_keys_are_bounded(spark, monkeypatch):
+    """A labelled key that all rows share gives no more trusted rows than the bound, each of them such a row."""
+    seen = []
+    real = quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda p, u, *a, **k: seen.append((p, u)) or real(p, u, *a, **k | {"steps": 2}))
+    docs = spark.range(3000, numPartitions=5).select(
+        F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id") + 10).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("good "), F.col("id").cast("string"))).otherwise(F.lit("!!! *** !!!")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id long, quality int")
+    assert quality_scores(docs, labels, fit_rows=200).count() == 3000
+    p, u = seen[-1]
+    assert 0 < len(p) <= 200 and 0 < len(u) <= 200
+    assert len(np.unique(p[:, 0])) == 1 < len(np.unique(u[:, 0]))  # log_words: all trusted rows have two words
+
+
+GRAM_TEXTS = ["One two one  two\nthree", "", " \n", "été 漢字 ab", "a", "ab", "x" * 500, "one two one two three"]
+
+
+def test_grams_equal_a_plain_count():
+    """Shares by walking over words, pairs of neighbours and byte triples one at a time; slices give the same rows."""
+    texts = as_text(pa.array([*GRAM_TEXTS, None]))
+    got = quality_classifier.grams(texts)
+    mask, mix = 2**64 - 1, int(quality_classifier.MIX)
+    top = lambda h, n: (h & mask) >> (65 - n.bit_length())
+    code = lambda w: int(quality_classifier.pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0])
+    for row, t in zip(got, [*GRAM_TEXTS, ""], strict=True):
+        words, raw = [code(w) for w in t.lower().split()], t.encode()
+        by_word, by_byte = np.zeros(quality_classifier.WORD_BUCKETS), np.zeros(quality_classifier.BYTE_BUCKETS)
+        for i, w in enumerate(words):
+            by_word[top(w * mix, len(by_word))] += 1
+            if i:
+                by_word[top(((words[i - 1] * mix & mask) ^ (w + mix & mask)) * mix, len(by_word))] += 1
+        for i in range(len(raw) - 2):
+            by_byte[top((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * mix, len(by_byte))] += 1
+        want = np.sqrt(np.r_[by_word / max(by_word.sum(), 1), by_byte / max(by_byte.sum(), 1)])
+        assert np.allclose(row, want)
+    for i in range(len(texts)):
+        assert np.allclose(quality_classifier.columns(texts)[i], quality_classifier.columns(texts.slice(i, 1))[0])
+
+
 def test_prior_from_positives_and_unlabelled():
     g = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.85):

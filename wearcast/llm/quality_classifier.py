@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Whole texts become a few dozen numbers (word, letter, line and repetition statistics, free of language).
-A small network is trained on the driver with numpy: rows labelled 1 are trusted positives, a sample of all
+Whole texts become a few hundred numbers: word, letter, line and repetition statistics, and the shares of hashed
+word 1- and 2-grams and of hashed byte 3-grams, scaled down since each alone says little. Only the sampled rows'
+numbers are gathered; every other text is read, turned into numbers and scored in one pass. A small network is trained on the driver with numpy: rows labelled 1 are trusted positives, a sample of all
 texts is unlabelled, and the share of positives in it (the class prior) is estimated from these two samples: a
 first model tells positives from unlabelled texts, and at the threshold where it keeps few unlabelled texts for many
 positives the ratio of both shares bounds the prior from above; the lowest bound, with room for the samples' errors,
@@ -12,9 +13,10 @@ unlabelled as 0 less prior * risk of positives as 0, the latter part never below
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearcast.llm.arrow import as_text, by_slice
@@ -26,6 +28,49 @@ FEATURES = ("log_words", "word_length", "word_spread", "upper", "symbols", "bars
             "distinct", "adjacent", "short", "long", "words_per_line", "lines_repeated", "wide", "other")
 
 
+#: Buckets of hashed word 1- and 2-grams and of hashed byte 3-grams (powers of two).
+WORD_BUCKETS, BYTE_BUCKETS = 128, 128
+#: What an n-gram column counts beside one of FEATURES, all of them standardised first.
+GRAM_WEIGHT = 0.25
+COLUMNS = len(FEATURES) + WORD_BUCKETS + BYTE_BUCKETS
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shares(row: np.ndarray, h: np.ndarray, texts: int, buckets: int) -> np.ndarray:
+    """Square roots of the shares of each row's hashes in buckets by their top bits."""
+    at = (h >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+    count = np.bincount(row * buckets + at, minlength=texts * buckets).reshape(texts, buckets)
+    return np.sqrt(count / np.maximum(count.sum(axis=1, keepdims=True), 1))
+
+
+def grams(texts: pa.Array) -> np.ndarray:
+    """One row per text (no nulls): shares of hashed word 1- and 2-grams, lower case, then of hashed byte 3-grams."""
+    d = len(texts)
+    words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+    flat = words.flatten()
+    row = np.repeat(np.arange(d), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    flat, row = flat.filter(pa.array(real)), row[real]
+    coded = flat.dictionary_encode()
+    distinct = np.array(coded.dictionary.to_pylist(), dtype=object)
+    h = pd.util.hash_array(distinct, categorize=False)[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+    near = row[1:] == row[:-1]
+    pairs = ((h[:-1] * MIX) ^ (h[1:] + MIX)) * MIX
+    by_word = _shares(np.r_[row, row[1:][near]], np.r_[h * MIX, pairs[near]], d, WORD_BUCKETS)
+    start = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + d + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[start[0]:start[-1]].astype(np.uint64) if held and d else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(d), np.diff(start))
+    within = of[2:] == of[:-2]
+    three = (data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) * MIX
+    return np.hstack([by_word, _shares(of[2:][within], three[within], d, BYTE_BUCKETS)])
+
+
+def columns(texts: pa.Array) -> np.ndarray:
+    """All COLUMNS of each text, as the model reads them before they are scaled."""
+    return np.hstack([features(texts), grams(texts)]).astype(np.float32)
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES per text (no nulls); an empty text has zeros."""
     d = len(texts)
@@ -136,16 +181,31 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7,
     return float(np.clip(over_u[best] / over_p[best] - slack, 0.01, 0.99))
 
 
+def _hash(key: str, text: str) -> Column:
+    """The 63-bit hash of key and text by which rows are drawn."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(10), key, text), 1)
+
+
+def _below(total: int, most: int) -> Column:
+    """A bound on the hash that leaves about twice ``most`` of ``total`` rows."""
+    return F.lit(min(2**63 - 1, int(2**63 * min(1.0, 2 * most / max(total, 1)))))
+
+
 def _sample(rows: DataFrame, total: int, most: int) -> np.ndarray:
-    """At most ``most`` of the ``total`` feature rows, chosen by the hash of key and features.
+    """The columns of at most ``most`` of the ``total`` rows (_key, _text), those of least hashes of key and text.
 
-    A threshold on the 64-bit hash leaves about twice as many, of which the least hashes are taken, so the bound holds
-    for any keys and any size. Equal rows are chosen or left together; where that leaves nothing, any rows serve."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(10), "_key", "_f"), 1)
-    below = min(2**63 - 1, int(2**63 * min(1.0, 2 * most / max(total, 1))))
-    near = rows.where(h <= F.lit(below)).select("_f", h.alias("_h"))
-    got = near.orderBy("_h", "_f").limit(most).select("_f").collect() or rows.select("_f").limit(most).collect()
-    return np.array([r["_f"] for r in got], np.float64).reshape(-1, len(FEATURES))
+    A threshold on the hash leaves about twice as many, whose columns, of fixed size, are sorted by it, so the bound holds
+    for any keys, any texts and any size. Equal rows are chosen or left together; where that leaves nothing, any rows serve."""
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        f = columns(as_text(batch.column(0)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, COLUMNS, dtype=np.int32)), pa.array(f.reshape(-1)))
+        return pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["_f", "_h"])
+
+    told = lambda some: some.mapInArrow(by_slice(work, "_text"), "_f array<float>, _h long")
+    hashed = rows.select("_text", _hash("_key", "_text").alias("_h"))
+    got = (told(hashed.where(F.col("_h") <= _below(total, most))).orderBy("_h", "_f").limit(most).select("_f").collect()
+           or told(hashed.limit(most)).select("_f").collect())
+    return np.array([r["_f"] for r in got], np.float64).reshape(-1, COLUMNS)
 
 
 def quality_scores(
@@ -155,48 +215,43 @@ def quality_scores(
     """(key, held_out, score, predicted) for every row of ``docs``.
 
     Labels are read only of rows whose crc32(key as text) mod ``folds`` is not ``held_out_fold``; the model
-    sees the text's features and nothing else. At most ``fit_rows`` trusted positives (label 1; other
+    sees numbers taken from the text and nothing else. At most ``fit_rows`` trusted positives (label 1; other
     labels aren't used) and as many unlabelled texts, drawn from all of them, are used to fit and to estimate the prior.
 
-    A null or empty text has zero features and gets a score too; a null key is never held out nor labelled;
+    A null or empty text has zeros and gets a score too; a null key is never held out nor labelled;
     rows sharing a key are scored one by one, and a text of any length is read whole. Without any labelled positive every score is 0. An empty
     table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        f = features(as_text(batch.column(1)))
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.reshape(-1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["_key", "_f"])
-
-    seen = written(docs.select(key, text).mapInArrow(by_slice(work, text), f"_key {kind}, _f array<float>"), "features")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     fold = F.pmod(F.crc32(F.col("_key").cast("string")), F.lit(folds)) == held_out_fold
-    seen = seen.withColumn("_out", F.coalesce(fold, F.lit(False)))
-    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_y")).where("_key IS NOT NULL AND _y IS NOT NULL")
-    known = known.where(~fold)
-    told = seen.join(known, "_key")
-    trusted = told.where("_y = 1")
-    count, total = trusted.count(), seen.count()
+    out = F.coalesce(fold, F.lit(False))
+    known = labels.select(F.col(key).alias("_key")).where((F.col(label) == 1) & F.col("_key").isNotNull() & ~fold).distinct()
+    # Texts don't move: the positives are told by key and hash, and the drawn ones, a bounded number, go back to the texts.
+    trusted = written(rows.select("_key", _hash("_key", "_text").alias("_h")).join(known, "_key").distinct(), "trusted")
+    count = trusted.count()
     if not count:
-        return seen.select(F.col("_key").alias(key), F.col("_out").alias("held_out"), F.lit(0.0).alias("score"),
-                           F.lit(0).alias("predicted"))
-    positive, unlabelled = _sample(trusted, count, fit_rows), _sample(seen, total, fit_rows)
+        return rows.select(F.col("_key").alias(key), out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    total = rows.count()
+    drawn = trusted.where(F.col("_h") <= _below(count, fit_rows)).orderBy("_h", "_key").limit(fit_rows)
+    drawn = F.broadcast(written(drawn if not drawn.isEmpty() else trusted.limit(fit_rows), "drawn"))
+    hashed = rows.withColumn("_h", _hash("_key", "_text"))
+    positive = _sample(hashed.join(drawn, ["_key", "_h"], "left_semi").select("_key", "_text"), 1, fit_rows)
+    unlabelled = _sample(rows, total, fit_rows)
     mean, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    scale = lambda x: np.clip((x - mean) / spread, -8, 8)
+    weight = np.where(np.arange(COLUMNS) < len(FEATURES), 1.0, GRAM_WEIGHT)
+    scale = lambda x: np.clip((x - mean) / spread, -8, 8) * weight
     positive, unlabelled = scale(positive), scale(unlabelled)
     net = fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
-    def score(batches):
-        for batch in batches:
-            f = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            s = sigmoid(net.forward(scale(f.astype(np.float64)))[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                names=[key, "held_out", "score", "predicted"])
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = sigmoid(net.forward(scale(columns(as_text(batch.column(2))).astype(np.float64)))[1])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+            names=[key, "held_out", "score", "predicted"])
 
-    return seen.select("_key", "_out", "_f").mapInArrow(
-        score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return rows.select("_key", out.alias("_out"), "_text").mapInArrow(
+        by_slice(score, "_text"), f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
