@@ -23,6 +23,22 @@ def test_windows_cover_every_byte():
     assert (got == language_id.FOLD[data]).all()
 
 
+def test_a_long_text_has_the_same_windows_in_parts():
+    data = np.random.default_rng(2).integers(0, 256, 4999).astype(np.uint8)
+    for n in (0, 1, 48, 960, 961, 4999):
+        whole = windows(data[:n], np.array([n]), 48)
+        parts = list(language_id.window_parts(data[:n], np.array([n]), 48, most=1000))
+        assert all(len(p[0]) <= 20 for p in parts)
+        for a, b in zip(whole, zip(*parts), strict=True):
+            assert (a == np.concatenate(b)).all()
+        for each in (1, 6, 30):
+            k = np.arange(len(whole[0]))
+            keep = k[k % -(-max(len(k), 1) // each) == 0]
+            held = language_id.spread_windows(data[:n], 48, each)
+            block, valid, _ = windows(held, np.array([len(held)]), 48)
+            assert (block == whole[0][keep]).all() and (valid == whole[1][keep]).all() and len(keep) <= each
+
+
 def test_gradients_equal_differences():
     g = np.random.default_rng(0)
     net = Network(3, 4, seed=1)

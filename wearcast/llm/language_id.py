@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearcast.llm.arrow import as_text, by_slice
+from wearcast.llm.arrow import SLICE_BYTES, as_text, by_slice
 
 WINDOW = 48
 HIDDEN = 8
@@ -39,6 +39,25 @@ def windows(data: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray,
     return FOLD[block], valid, text
 
 
+def window_parts(data: np.ndarray, size: np.ndarray, width: int, most: int = SLICE_BYTES):
+    """``windows`` a part at a time: one text of over ``most`` bytes is cut between windows.
+
+    Indexes of windows take several times the bytes they stand for; slices of several texts hold ``most`` at most."""
+    step = most // width * width
+    if len(size) != 1 or len(data) <= step:
+        yield windows(data, size, width)
+        return
+    for first in range(0, len(data), step):
+        part = data[first:first + step]
+        yield windows(part, np.array([len(part)]), width)
+
+
+def spread_windows(data: np.ndarray, width: int, each: int) -> np.ndarray:
+    """The bytes of at most ``each`` evenly spread windows of one text."""
+    step = -(-len(data) // (width * each)) * width
+    return data if step <= width else np.concatenate([data[a:a + width] for a in range(0, len(data), step)])
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -201,7 +220,11 @@ def _training_windows(docs: DataFrame, key: str, text: str, lang: str, fit_docs:
         "_l", text, chance.alias("_c")).orderBy("_c").limit(2 * fit_docs).select("_l", text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        block, valid, of = windows(*text_bytes(as_text(batch.column(1))), WINDOW)
+        data, size = text_bytes(as_text(batch.column(1)))
+        if len(size) == 1:  # as a text above the slice's size always is
+            data = spread_windows(data, WINDOW, each)
+            size = np.array([len(data)])
+        block, valid, of = windows(data, size, WINDOW)
         if not len(of):
             return None
         # Evenly spread windows of each text.
@@ -244,9 +267,9 @@ def identify(
         pred, score = ["und"] * d, np.zeros(d)
         if net is not None and letters.any():
             data, size = text_bytes(texts)
-            blocks, n, of = windows(data, size, WINDOW)
             total = np.zeros((d, len(names)))
-            np.add.at(total, of, net.label(blocks, n))
+            for blocks, n, of in window_parts(data, size, WINDOW):
+                np.add.at(total, of, net.label(blocks, n))
             total /= np.maximum(size, 1)[:, None]
             best = total.argmax(axis=1)
             for i in np.flatnonzero(letters).tolist():
