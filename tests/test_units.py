@@ -139,6 +139,17 @@ def test_a_catalog_of_many_classes_is_paged(spark):
     assert FT.feature_options(prep).count() == n + 1
 
 
+def test_the_feature_kinds_query_lists_every_option(spark, monkeypatch):
+    from wearcast.plans import queries as Q
+
+    n = 2 * Q.FT.PAGE + 1
+    prep = PP.fit_preprocess(spark.range(n).selectExpr("concat('m', lpad(id, 3, '0')) AS model", "1.0D AS volt"))
+    monkeypatch.setattr(Q, "prepared", lambda *_: type("P", (), {"prep": prep}))
+    row = Q.q_feature_kinds(spark, "").where("name = 'model'").first()
+    assert row["n_options"] == n + 1 and row["options"] == ",".join([f"m{i:03d}" for i in range(n)] + ["unknown"])
+    assert "code <" not in Q.oracle_sql()["feature_kinds"]
+
+
 def test_one_stored_histogram_per_draw(spark, monkeypatch):
     """The input is aggregated into cells once, whatever reads them, and once more for the rows at the cuts."""
     import wearcast.operators.sampling as SM
