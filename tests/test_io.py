@@ -79,3 +79,25 @@ def test_retrain_on_old_and_new(spark):
     old, new = obs.where(~odd), obs.where(odd)
     t = retrain(spark, old, new, profile="smoke")
     assert t.prepared.split.count() == obs.count()
+
+
+def _csv(spark, tmp_path):
+    from wearcast.sources.observations import read_observations
+
+    (tmp_path / "o.csv").write_text("obs_id,model,volt,age,failure_within_48h\n1,m,bad,3,true\n2,m,1.5,7,false\n")
+    return read_observations(spark, str(tmp_path / "o.csv"), "csv", unreadable="bad")
+
+
+def test_a_csv_field_is_matched_once(spark, tmp_path):
+    """Two numeric fields: two matches in the plan, however many values and reasons use them."""
+    plan = _csv(spark, tmp_path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
+
+
+def test_listing_unreadable_fields_reads_each_field_once(spark, tmp_path):
+    """No filter on the list is inferred and pushed down to the reader with all fields in it."""
+    from wearcast.sources.observations import unreadable_fields
+
+    d = unreadable_fields(_csv(spark, tmp_path), "bad")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+    assert [tuple(r) for r in d.collect()] == [("1", "volt", "bad", "not a number")]
