@@ -101,3 +101,25 @@ def test_listing_unreadable_fields_reads_each_field_once(spark, tmp_path):
     d = unreadable_fields(_csv(spark, tmp_path), "bad")
     assert d._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
     assert [tuple(r) for r in d.collect()] == [("1", "volt", "bad", "not a number")]
+
+
+def test_wide_stages_stay_within_what_hotspot_compiles(spark):
+    from wearcast.operators.features import coerce_numeric
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(name, "65535")
+    coerce_numeric(spark.createDataFrame([("1",)], "volt string"), ["volt"])
+    assert int(spark.conf.get(name)) <= 8000
+    spark.conf.set(name, "4000")
+    coerce_numeric(spark.createDataFrame([("1",)], "volt string"), ["volt"])
+    assert int(spark.conf.get(name)) == 4000  # a smaller limit of the session stays
+    spark.conf.unset(name)
+
+
+def test_a_response_floors_each_prediction_once(spark):
+    from wearcast.operators.scoring import response
+
+    d = spark.range(2).selectExpr("cast(id AS string) AS obs_id", *[f"id + 0.5D AS {S.pred_col(t)}" for t in S.TARGETS])
+    plan = response(d.cache())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FLOOR(") == len(S.TARGETS)
+    d.unpersist()
