@@ -130,3 +130,23 @@ def test_committed_tables(spark):
     log = scratch_path(spark, "csv-log")
     assert append_log(rows, log, "csv") and append_log(rows, log, "csv")
     assert read_log(spark, log, "csv").count() == 2
+
+
+def test_the_shared_log_is_written_by_as_many_tasks_as_read_it(spark, tmp_path, monkeypatch):
+    """A stream's rows stay where they are read, and still arrive in two micro-batches."""
+    from wearcast.streaming import queries as SQ
+
+    spark.read.parquet(f"{SF001}/lineitem.parquet").repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF001}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    made, real = [], SQ.scratch_path
+    monkeypatch.setattr(SQ, "scratch_path", lambda s, n: made.append(real(s, n)) or made[-1])
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # a task a file
+    try:
+        n = SQ.shared_log(spark, str(tmp_path), "2024-01-20 10:30:00").count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert n == spark.read.parquet(f"{SF001}/lineitem.parquet").count()
+    for src in (p for p in made if "/scored-" in p):
+        assert len(spark.read.parquet(src).inputFiles()) > 12
+    log = next(p for p in made if "/prediction-log-" in p)
+    assert spark.read.parquet(f"{log}/commits").count() == 1 + 2 * 2
