@@ -111,3 +111,18 @@ def test_draw_on_skewed_strata_equals_window_ranking(spark, small, n, salt):
     want = sorted(r[0] for r in d.withColumn("rn", rn).where(F.col("rn") <= F.col("take"))
                   .select("obs_id").collect())
     assert got == want and len(got) == min(n, len(rows))
+
+
+def test_the_drawn_rows_are_marked_without_a_join_by_key(spark):
+    from pyspark.sql import functions as F
+
+    from wearcast.operators.sampling import stratified_sample, with_drawn
+
+    d = spark.range(2_000).selectExpr("cast(id AS string) AS obs_id", "if(id % 5 = 0, null, concat('m', id % 3)) AS model",
+                                      "if(id % 4 = 0, 'test', 'train') AS split")
+    among = F.col("split") == "train"
+    marked = with_drawn(d, among, "model", 300)
+    got = {r[0] for r in marked.where("drawn").select("obs_id").collect()}
+    assert got == {r[0] for r in stratified_sample(d.where(among), "model", 300).select("obs_id").collect()} and len(got) == 300
+    assert marked.count() == 2_000 and marked.where("drawn IS NULL").count() == 0
+    assert "obs_id = " not in marked._jdf.queryExecution().optimizedPlan().toString()

@@ -21,7 +21,7 @@ from ..operators import metrics as M
 from ..operators import model as ML
 from ..operators.extras import fold_assignment
 from ..operators.preprocess import apply_preprocess, fit_preprocess
-from ..operators.sampling import stratified_sample
+from ..operators.sampling import with_drawn
 from ..session import written
 from .training import Prepared
 
@@ -44,13 +44,11 @@ def fold_designs(p: Prepared, k: int = 5, seed: int = S.SEED, key: str = S.KEY,
 
     def one(fold: int) -> FoldDesign:
         d = data.withColumn("split", F.when(F.col("fold") == fold, F.lit("test")).otherwise(F.lit("train")))
-        train = d.where(F.col("split") == "train")
-        prep = fit_preprocess(train)
-        drawn = stratified_sample(train, by, fit_rows, seed, key).select(F.col(key).alias("_key"), F.lit(True).alias("_in"))
-        drawn = drawn.groupBy("_key").agg(F.first("_in").alias("_in"))  # rows may share a key
-        x = apply_preprocess(d, prep).withColumns({t: F.floor(F.col(t)).cast("double") for t in targets})
-        x = x.join(drawn, x[key] == drawn["_key"], "left").select(
-            key, *prep.features, *targets, "split", F.coalesce("_in", F.lit(False)).alias("drawn"))
+        outside = F.col("split") == "train"
+        prep = fit_preprocess(d.where(outside))
+        x = apply_preprocess(with_drawn(d, outside, by, fit_rows, seed, key), prep)
+        x = x.withColumns({t: F.floor(F.col(t)).cast("double") for t in targets})
+        x = x.select(key, *prep.features, *targets, "split", "drawn")
         return FoldDesign(fold, written(x, f"fold-{fold}"), prep.features, targets)
 
     return _together(one, range(k), parallelism)
