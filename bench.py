@@ -21,7 +21,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from wearcast import schema as S  # noqa: E402
 from wearcast.operators import scoring as SC  # noqa: E402
 from wearcast.operators.preprocess import apply_preprocess  # noqa: E402
 from wearcast.plans import queries as Q  # noqa: E402
@@ -85,8 +84,8 @@ def main() -> None:
         "avg_short_term_mae_weeks": round(sum(r["Short_Term_MAE"] for r in m) / n, 4),
         "per_target": {r["Target"]: {"test_r2": round(r["Test_R2"], 4), "test_mape_pct": round(r["Test_MAPE"], 4)}
                        for r in sorted(m, key=lambda r: r["Target"])},
-        "train_rows": t.scored.where(F.col("split") == "train").count(),
-        "fit_rows": S.SAMPLE_SIZE,
+        "train_rows": (train_rows := t.scored.where(F.col("split") == "train").count()),
+        "fit_rows": train_rows,
         "profile": profile,
     }
     sf = re.search(r"sf([0-9.]+)", given)
