@@ -150,3 +150,54 @@ def test_the_shared_log_is_written_by_as_many_tasks_as_read_it(spark, tmp_path,
         assert len(spark.read.parquet(src).inputFiles()) > 12
     log = next(p for p in made if "/prediction-log-" in p)
     assert spark.read.parquet(f"{log}/commits").count() == 1 + 2 * 2
+
+
+def test_stream_score_keeps_on_disk_only_what_it_still_needs(spark, monkeypatch):
+    """No scored training rows; the split and bin numbers go with the training, the first lot's (compressed) request
+    files when the second lot is scored."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from wearcast import session
+    from wearcast.plans.queries import QUERIES
+    from wearcast.streaming import queries as SQ
+
+    made, real = [], session.scratch_path
+    for module in (session, SQ):
+        monkeypatch.setattr(module, "scratch_path", lambda s, n: made.append(real(s, n)) or made[-1])
+    before = spark.conf.get(session.CLEANUP, None)
+    obs = fixture_observations(spark, SF001)
+    assert QUERIES["stream_score"](spark, SF001).count() == obs.count()
+    assert spark.conf.get(session.CLEANUP, None) == before
+    at = lambda name: [p.removeprefix("file:") for p in made if f"/{name}-" in p]
+    assert not at("scored") and at("split") and at("binned")
+    assert not any(os.path.exists(p) for p in at("split") + at("binned"))
+    arriving = at("arriving")[0]
+    files = [f for f in os.listdir(arriving) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+    assert spark.read.text(arriving).count() == obs.where(F.crc32(S.KEY) % 2 == 1).count()
+
+
+def test_shuffle_files_go_with_their_execution(spark, tmp_path):
+    """Inside ``shuffles_dropped`` an execution leaves no shuffle files on the disks."""
+    import glob
+    import os
+    import time
+
+    from wearcast.session import shuffles_dropped
+
+    def left(d, name):
+        files = lambda: set(glob.glob("/".join([*local.split("/"), "**", "shuffle_*.data"]), recursive=True))
+        was = files()
+        d.write.parquet(str(tmp_path / name))
+        return files() - was
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    rows = spark.range(20_000).repartition(3, "id")
+    assert left(rows, "kept")
+    with shuffles_dropped(spark):
+        new, wait = left(rows, "dropped"), time.time() + 20
+        while any(map(os.path.exists, new)) and time.time() < wait:  # they go in the background
+            time.sleep(0.2)
+        assert not any(map(os.path.exists, new))
